@@ -205,7 +205,7 @@ def top_contributors(tables, window: Window, limit: int = 12) -> DataFrame:
     )
     w = W.partitionBy(REPO).orderBy(F.desc("total_activity"), F.asc_nulls_last("author"))
     return (
-        per_author.withColumn("rank", F.row_number().over(w))
+        per_author.withColumn("rank", F.row_number().over(w).cast("long"))
         .where(F.col("rank") <= limit)
         .select(REPO, "rank", "author", "commits", "pull_requests", "total_activity")
     )
