@@ -1 +1,349 @@
-"""Placeholder; filled in below."""
+"""Registered ingest queries: feeds, normalisation, upserts, cursors, scope, run log."""
+
+from __future__ import annotations
+
+import os
+import uuid
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from keelson.functions.time import ts_lit
+from keelson.operators import incremental as inc
+from keelson.operators.kpis import REPO
+from keelson.operators.upsert import evolve, keep_last, upsert
+from keelson.plans.catalog import ORDER_AS_OF, ORDER_AS_OF_SQL, register, sql_ts
+from keelson.plans.oracle import with_bindings
+from keelson.schemas import RUNS, RUNS_DEFAULTS, RUNS_LEGACY_COLUMNS
+from keelson.session import scratch_path
+from keelson.sources import feeds, testfeeds
+
+STORED_BEFORE = datetime(2001, 1, 1)
+SCOPE_STORED_BEFORE = datetime(2001, 5, 1)
+COMMIT_BATCH_SPLIT = datetime(2024, 1, 16)
+LEGACY_BEFORE = datetime(2024, 1, 16)
+
+
+# --- feeds and normalisation ------------------------------------------------------------------
+
+
+@register(
+    "feed_issues",
+    with_bindings(
+        """
+SELECT repo_full_name, issue_number, state,
+       CASE WHEN issue_number % 50 <> 0 THEN author END AS author, title,
+       '["' || title || '"' || CASE WHEN state = 'closed' THEN ', "done"' ELSE '' END || ']'
+         AS labels_json,
+       CAST(CASE WHEN issue_number % 3 <> 0 THEN issue_number % 7 ELSE 0 END AS INTEGER) AS comments,
+       issue_number % 11 = 0 AS locked, created_at, updated_at, closed_at
+FROM issues"""
+    ),
+    "SRC2 + PRJ2/8/9: issue feed parsed, PRs removed, flattened",
+)
+def _feed_issues(b):
+    raw = feeds.parse_feed(testfeeds.issue_feed(b), "issues")
+    return feeds.normalise_issues(raw).drop("arrival_seq")
+
+
+@register(
+    "feed_since",
+    with_bindings(
+        f"""
+, stored AS (
+  SELECT repo_full_name, max(updated_at) - INTERVAL 5 MINUTE AS since
+  FROM pull_requests WHERE created_at < {sql_ts(STORED_BEFORE)} GROUP BY repo_full_name)
+SELECT p.repo_full_name, p.pr_number,
+       CASE WHEN p.pr_number % 97 <> 0 THEN p.updated_at END AS updated_at
+FROM pull_requests p LEFT JOIN stored s USING (repo_full_name)
+WHERE s.since IS NULL OR p.pr_number % 97 = 0 OR p.updated_at >= s.since"""
+    ),
+    "SRC3/SRC4 + INC1-2: feed rows at or after the stored cursor minus 5 minutes",
+)
+def _feed_since(b):
+    stored = b.pull_requests.where(F.col("created_at") < ts_lit(STORED_BEFORE))
+    since = inc.cursor_of(stored, "updated_at")
+    feed = feeds.normalise_pull_requests(feeds.parse_feed(testfeeds.pull_feed(b), "pull_requests"))
+    return inc.since_filter(feed, since).select(REPO, "pr_number", "updated_at")
+
+
+@register(
+    "comment_number",
+    with_bindings(
+        """
+SELECT * FROM (
+  SELECT page_id, url,
+         TRY_CAST(nullif(regexp_extract(url, '(?:^|/)([0-9]+)/*$', 1), '') AS INTEGER)
+           AS issue_number
+  FROM pages) WHERE issue_number IS NOT NULL"""
+    ),
+    "SRC6/FN13: issue number from the URL tail; unparsable rows dropped",
+)
+def _comment_number(b):
+    p = b.table("pages").select("page_id", "url")
+    return p.select(
+        "page_id", "url", feeds.issue_number_from_url("url").alias("issue_number")
+    ).where(F.col("issue_number").isNotNull())
+
+
+@register(
+    "repo_ids",
+    with_bindings(
+        r"""
+, c AS (
+  SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS candidate FROM pages),
+n AS (
+  SELECT page_id, candidate,
+         regexp_replace(regexp_replace(candidate, '^\s+|\s+$', '', 'g'), '^/+|/+$', '', 'g') AS v
+  FROM c)
+SELECT page_id, candidate,
+       CASE WHEN len(str_split(v, '/')) = 2 AND str_split(v, '/')[1] <> ''
+             AND str_split(v, '/')[2] <> ''
+             AND str_split(v, '/')[1] NOT IN ('.', '..') AND str_split(v, '/')[2] NOT IN ('.', '..')
+            THEN v END AS repository
+FROM n"""
+    ),
+    "PRJ12: repository identifier normalisation and validation",
+)
+def _repo_ids(b):
+    p = b.table("pages").select(
+        "page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1).alias("candidate")
+    )
+    return p.select("page_id", "candidate", feeds.repository_id("candidate").alias("repository"))
+
+
+@register(
+    "normalise_repository",
+    with_bindings(
+        f"""
+SELECT repo_full_name,
+       CASE WHEN n_nationkey % 4 = 0 THEN 'about ' || repo_full_name END AS description,
+       CAST(n_nationkey * 100 AS INTEGER) AS stars,
+       CAST(CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey * 10 ELSE 0 END AS INTEGER) AS forks,
+       CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 3 ELSE n_nationkey * 7 END AS INTEGER)
+         AS watchers,
+       0 AS open_issues, 'main' AS default_branch, r_name AS language,
+       CASE WHEN n_nationkey % 3 = 1 THEN 'MIT'
+            WHEN n_nationkey % 3 = 2 THEN 'License ' || CAST(n_nationkey AS VARCHAR) END
+         AS license_name,
+       TIMESTAMP '2000-01-01 00:00:00' AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at,
+       CAST(NULL AS TIMESTAMP) AS pushed_at, {ORDER_AS_OF_SQL} AS fetched_at
+FROM repo_dim"""
+    ),
+    "SRC1/PRJ1/SNK1: repository metadata flattened with defaults",
+)
+def _normalise_repository(b):
+    raw = feeds.parse_feed(testfeeds.repository_feed(b), "repository")
+    snap = upsert(None, feeds.normalise_repository(raw, ts_lit(ORDER_AS_OF)), "repositories")
+    return snap.drop("arrival_seq")
+
+
+@register(
+    "normalise_releases",
+    with_bindings(
+        """
+SELECT repo_full_name, release_id, 'v' || CAST(release_id AS VARCHAR) AS tag_name,
+       CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS author, draft,
+       release_id % 7 = 0 AS prerelease, created_at, published_at
+FROM releases"""
+    ),
+    "SRC5/PRJ5/SNK5/INC4: release feed, full refresh per repository",
+)
+def _normalise_releases(b):
+    raw = feeds.parse_feed(testfeeds.release_feed(b), "releases")
+    batch = feeds.normalise_releases(raw)
+    return inc.replace_releases(None, batch).drop("arrival_seq")
+
+
+# --- upserts --------------------------------------------------------------------------------
+
+
+@register(
+    "upsert_keep_last",
+    with_bindings(
+        """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+             ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn
+  FROM lineitem) WHERE rn = 1"""
+    ),
+    "WIN1/SNK2-7: keep the last arrival per key (lineitem, duplicate keys)",
+)
+def _upsert_keep_last(b):
+    li = b.table("lineitem")
+    return keep_last(
+        li, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
+    )
+
+
+UPSERT_COMMITS_SQL = with_bindings(
+    """
+, raw AS (
+  SELECT repo_full_name, CAST(user_id AS VARCHAR) || '-' || event_type AS sha,
+         CASE WHEN user_id % 3 <> 0 THEN 'u' ELSE 'name' END || CAST(user_id AS VARCHAR) AS author,
+         props AS message,
+         CASE WHEN NOT (event_type = 'error' AND value < 5) THEN ts END AS authored_at,
+         coalesce(CASE WHEN event_type <> 'error' THEN ts + INTERVAL 60 SECOND END,
+                  CASE WHEN NOT (event_type = 'error' AND value < 5) THEN ts END) AS committed_at,
+         event_id AS arrival_seq
+  FROM ev)
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_full_name, sha ORDER BY arrival_seq DESC) AS rn
+  FROM raw WHERE committed_at IS NOT NULL) WHERE rn = 1"""
+)
+
+
+def commit_batches(b):
+    feed = testfeeds.commit_feed(b)
+    early = F.col("ts") < ts_lit(COMMIT_BATCH_SPLIT)
+    first = feeds.normalise_commits(feeds.parse_feed(feed.where(early), "commits"))
+    second = feeds.normalise_commits(feeds.parse_feed(feed.where(~early), "commits"))
+    return first, second
+
+
+@register("upsert_commits", UPSERT_COMMITS_SQL, "SRC4/PRJ4/SNK4: commits in two batches, keep-last")
+def _upsert_commits(b):
+    first, second = commit_batches(b)
+    return upsert(upsert(None, first, "commits"), second, "commits")
+
+
+# --- cursors, scope, results, run log, schema evolution ----------------------------------------
+
+_CURSOR_PARTS = "\nUNION ALL\n".join(
+    f"SELECT repo_full_name, '{e}' AS entity_type, max({c}) AS latest, "
+    f"max({c}) - INTERVAL 5 MINUTE AS since FROM {t} GROUP BY repo_full_name"
+    for e, (t, c) in inc.CURSOR_COLUMNS.items()
+)
+
+
+@register("cursors", with_bindings(_CURSOR_PARTS), "INC1-2/AGG15/FN14: per-entity cursors")
+def _cursors(b):
+    return inc.cursors(b)
+
+
+@register(
+    "collection_result",
+    with_bindings(
+        """
+, pe AS (
+  SELECT repo_full_name, run_day, entity_type, CAST(sum(items) AS BIGINT) AS items,
+         bool_or(items = 100) AS truncated
+  FROM page_log GROUP BY repo_full_name, run_day, entity_type)
+SELECT repo_full_name, run_day, """
+        + ", ".join(
+            f"CAST(coalesce(sum(items) FILTER (WHERE entity_type = '{e}'), 0) AS BIGINT) AS {e}_loaded"
+            for e in inc.ENTITIES
+        )
+        + """,
+       CAST(sum(items) AS BIGINT) AS total_loaded,
+       coalesce(string_agg(entity_type, ',' ORDER BY entity_type) FILTER (WHERE truncated), '')
+         AS truncated_entities
+FROM pe GROUP BY repo_full_name, run_day"""
+    ),
+    "AGG21/AGG22: rows loaded per run and truncated entities",
+)
+def _collection_result(b):
+    return inc.collection_results(b.page_log)
+
+
+@register(
+    "review_scope",
+    with_bindings(
+        f"""
+, stored AS (SELECT * FROM pull_requests WHERE created_at < {sql_ts(SCOPE_STORED_BEFORE)}),
+cur AS (
+  SELECT repo_full_name, max(updated_at) - INTERVAL 5 MINUTE AS since
+  FROM stored GROUP BY repo_full_name),
+newb AS (
+  SELECT p.* FROM pull_requests p LEFT JOIN cur USING (repo_full_name)
+  WHERE cur.since IS NULL OR p.updated_at >= cur.since),
+scope AS (
+  SELECT repo_full_name, pr_number FROM newb
+  WHERE created_at >= {ORDER_AS_OF_SQL} - INTERVAL 180 DAY
+  UNION
+  SELECT repo_full_name, pr_number FROM stored
+  WHERE created_at >= {ORDER_AS_OF_SQL} - INTERVAL 180 DAY
+    AND repo_full_name IN (SELECT repo_full_name FROM cur))
+SELECT s.repo_full_name, s.pr_number, count(r.pr_number) AS reviews
+FROM scope s LEFT JOIN pr_reviews r
+  ON r.repo_full_name = s.repo_full_name AND r.pr_number = s.pr_number
+GROUP BY s.repo_full_name, s.pr_number"""
+    ),
+    "INC5/SET7/SRC7: PRs whose reviews are collected, with review counts",
+)
+def _review_scope(b):
+    stored = b.pull_requests.where(F.col("created_at") < ts_lit(SCOPE_STORED_BEFORE))
+    since = inc.cursor_of(stored, "updated_at")
+    new = inc.since_filter(b.pull_requests, since)
+    incremental = since.select(REPO, F.lit(True).alias("is_incremental"))
+    scope = inc.review_scope(new, stored, incremental, ORDER_AS_OF)
+    counts = (
+        inc.reviews_in_scope(b.pr_reviews, scope)
+        .groupBy(REPO, "pr_number")
+        .agg(F.count(F.lit(1)).alias("reviews"))
+    )
+    return scope.join(counts, [REPO, "pr_number"], "left").fillna(0, subset=["reviews"])
+
+
+@register(
+    "run_log",
+    with_bindings(
+        """
+SELECT CAST(event_id AS VARCHAR) AS run_id, repo_full_name, ts AS started_at,
+       CASE WHEN event_type <> 'view'
+            THEN ts + INTERVAL 1 SECOND * CAST(floor(value * 60) AS BIGINT) END AS finished_at,
+       CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' ELSE 'success' END
+         AS status,
+       CASE WHEN event_type = 'error' THEN props END AS error_message
+FROM ev"""
+    ),
+    "SNK8/SNK9: append-only run events reduced to the current run state",
+)
+def _run_log(b):
+    runs = b.pipeline_runs.join(b._ev.select(F.col("event_id").cast("string").alias("run_id"), "value"), "run_id")
+    runs = runs.withColumn(
+        "finished_at",
+        F.when(
+            F.col("status") != "running",
+            F.timestamp_micros(
+                F.unix_micros("started_at") + F.floor(F.col("value") * 60).cast("long") * 1_000_000
+            ),
+        ),
+    )
+    return inc.current_runs(inc.run_events(runs)).select(
+        "run_id", REPO, "started_at", "finished_at", "status", "error_message"
+    )
+
+
+@register(
+    "schema_evolve",
+    with_bindings(
+        f"""
+SELECT run_id, repo_full_name, started_at, finished_at, status, issues_loaded,
+       pull_requests_loaded, commits_loaded, releases_loaded,
+       CASE WHEN started_at < {sql_ts(LEGACY_BEFORE)} THEN 0 ELSE 1 END AS issue_comments_loaded,
+       CASE WHEN started_at < {sql_ts(LEGACY_BEFORE)} THEN 0 ELSE 1 END AS pr_reviews_loaded,
+       CASE WHEN started_at < {sql_ts(LEGACY_BEFORE)} THEN 0 ELSE 10 END AS max_pages,
+       started_at >= {sql_ts(LEGACY_BEFORE)} AS is_incremental, error_message
+FROM runs"""
+    ),
+    "SNK14: legacy and current run files read together with mergeSchema",
+)
+def _schema_evolve(b):
+    runs = b.pipeline_runs
+    legacy_rows = F.col("started_at") < ts_lit(LEGACY_BEFORE)
+    legacy = runs.where(legacy_rows).select(*RUNS_LEGACY_COLUMNS)
+    current = runs.where(~legacy_rows).withColumns(
+        {
+            "issue_comments_loaded": F.lit(1),
+            "pr_reviews_loaded": F.lit(1),
+            "max_pages": F.lit(10),
+            "is_incremental": F.lit(True),
+        }
+    )
+    base = scratch_path(b.spark, f"runs-{uuid.uuid4().hex}")
+    legacy.write.parquet(os.path.join(base, "layout=legacy"))
+    current.write.parquet(os.path.join(base, "layout=current"))
+    merged = b.spark.read.option("mergeSchema", True).parquet(base).drop("layout")
+    types = {f.name: f.dataType for f in RUNS.fields}
+    return evolve(merged, [f.name for f in RUNS.fields], RUNS_DEFAULTS, types)

@@ -1 +1 @@
-"""Placeholder; filled in below."""
+"""Structured Streaming queries (filled in next)."""
