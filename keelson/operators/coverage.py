@@ -14,7 +14,7 @@ idempotent on re-run and needs no read-modify-write:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,12 +73,20 @@ def latest_run(runs: DataFrame) -> DataFrame:
     return runs.groupBy(REPO).agg(latest.alias("r")).select(REPO, "r.*")
 
 
+def page_limit_hit(page: str, items: str, max_pages: int | str, per_page: int = PER_PAGE) -> Column:
+    """INC6: a run is truncated when its last allowed page came back full --
+    more data may exist beyond the limit (a conservative false positive when
+    the data ends exactly there)."""
+    mp = F.col(max_pages) if isinstance(max_pages, str) else F.lit(max_pages)
+    return (F.col(page) == mp) & (F.col(items) == per_page)
+
+
 def run_stats(page_log: DataFrame) -> DataFrame:
-    """Pagination statistics per (repository, entity, run)."""
+    """Pagination statistics per (repository, entity, run): pages, items, truncated."""
     return page_log.groupBy(REPO, "entity_type", "run_day").agg(
         F.count(F.lit(1)).alias("pages"),
         F.sum("items").cast("long").alias("items"),
-        F.bool_or(F.col("items") == PER_PAGE).alias("truncated"),
+        F.bool_or("limit_hit").alias("truncated"),
     )
 
 

@@ -93,7 +93,7 @@ def collection_results(page_log: DataFrame) -> DataFrame:
     sorted list of entities whose pagination hit the limit."""
     per_entity = page_log.groupBy(REPO, "run_day", "entity_type").agg(
         F.sum("items").cast("long").alias("items"),
-        F.bool_or(F.col("items") == 100).alias("truncated"),
+        F.bool_or("limit_hit").alias("truncated"),
     )
     e = F.col("entity_type")
     aggs = [

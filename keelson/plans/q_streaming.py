@@ -1 +1,58 @@
-"""Structured Streaming queries (filled in next)."""
+"""Registered Structured Streaming queries (run to completion with availableNow)."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from keelson.operators.upsert import upsert
+from keelson.plans.catalog import register
+from keelson.plans.oracle import with_bindings
+from keelson.plans.q_ingest import UPSERT_COMMITS_SQL
+from keelson.session import scratch_path
+from keelson.sources import feeds, testfeeds
+from keelson.streaming.activity import event_stream, run_activity_stream
+from keelson.streaming.upsert import run_upsert_stream
+
+
+@register(
+    "activity_stream",
+    with_bindings(
+        """
+, counts AS (
+  SELECT repo_full_name, time_bucket(INTERVAL 1 DAY, ts) AS window_start,
+         time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
+         event_type AS activity_type, count(*) AS activity_count
+  FROM ev GROUP BY ALL)
+SELECT * FROM counts
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 5 MINUTE"""
+    ),
+    "INC9: watermarked 1-day activity counts; append mode emits closed windows only",
+)
+def _activity_stream(b):
+    return run_activity_stream(b, scratch_path(b.spark, f"activity-{uuid.uuid4().hex}"))
+
+
+@register(
+    "stream_upsert_commits",
+    UPSERT_COMMITS_SQL,
+    "INC3: commits landed per day, merged batch by batch with foreachBatch",
+)
+def _stream_upsert_commits(b):
+    spark = b.spark
+    base = scratch_path(spark, f"commit-stream-{uuid.uuid4().hex}")
+    landing = os.path.join(base, "landing")
+    # Land the raw events as a feed would arrive: one folder per day.
+    events = b.table("events")
+    events.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(landing)
+    stream = event_stream(spark, landing, events.schema, max_files=8)
+    feed = testfeeds.commit_feed(b, b.events_with_repo(stream))
+    rows = feeds.normalise_commits(feeds.parse_feed(feed, "commits"))
+    return run_upsert_stream(
+        rows,
+        os.path.join(base, "snapshot"),
+        os.path.join(base, "checkpoint"),
+        lambda current, batch: upsert(current, batch, "commits"),
+    )

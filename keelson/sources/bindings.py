@@ -210,9 +210,12 @@ class Bindings:
 
     @cached_property
     def _ev(self) -> DataFrame:
-        events = self.table("events").select(
-            "event_id", "ts", "user_id", "event_type", "value", "props"
-        )
+        return self.events_with_repo(self.table("events"))
+
+    def events_with_repo(self, events: DataFrame) -> DataFrame:
+        """Attach the repository to raw events (batch or streaming) via the
+        static customer and repository dimensions."""
+        events = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
         customer = self.table("customer").select("c_custkey", "c_nationkey")
         return (
             events.join(customer, events.user_id == customer.c_custkey)
@@ -278,7 +281,9 @@ class Bindings:
 
     @cached_property
     def page_log(self) -> DataFrame:
-        """One row per fetched page: (repo, entity, run day, sequence, item count)."""
+        """One row per fetched page: (repo, entity, run day, sequence, item count,
+        whether the page hit the pagination limit). In the bound log every full
+        page counts as the limit page."""
         mapping = F.create_map(*[F.lit(x) for kv in PAGE_ENTITY.items() for x in kv])
         return self._ev.select(
             "repo_full_name",
@@ -288,7 +293,7 @@ class Bindings:
             F.col("event_id").alias("page_seq"),
             F.when(F.col("value") > 60, 100).otherwise(40).alias("items"),
             F.col("ts").alias("fetched_at"),
-        )
+        ).withColumn("limit_hit", F.col("items") == 100)
 
 
 def bind(spark: SparkSession, sf_dir: str) -> Bindings:

@@ -76,10 +76,11 @@ def pull_feed(b: Bindings) -> DataFrame:
     return p.select(*_envelope(F.lit("r2"), n, payload))
 
 
-def commit_feed(b: Bindings) -> DataFrame:
+def commit_feed(b: Bindings, ev: DataFrame | None = None) -> DataFrame:
     """Commits from events: ``sha`` repeats per (user, event type) so later
-    arrivals replace earlier ones; error events with value < 5 carry no date."""
-    e = b._ev
+    arrivals replace earlier ones; error events with value < 5 carry no date.
+    ``ev`` may be a streaming DataFrame of events with their repository."""
+    e = b._ev if ev is None else ev
     uid = F.col("user_id").cast("string")
     is_error = F.col("event_type") == "error"
     author_date = F.when(~(is_error & (F.col("value") < 5)), iso_micros("ts"))
