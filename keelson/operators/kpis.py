@@ -10,9 +10,9 @@ Scale notes:
 * counts and rates are partial aggregates (map-side combine before the
   shuffle), so a repository holding a third of all rows costs one row per
   map task in the exchange;
-* exact percentiles use Spark's ``percentile``: its partial state is a
-  value->frequency map, and durations are whole minutes, so a hot group's
-  state is bounded by the number of distinct minute values, not by rows;
+* exact percentiles are computed from a (repo, value) -> frequency table built
+  by a partial aggregate; durations are whole minutes, so a hot repository's
+  quantile task sees at most the number of distinct minute values, not rows;
 * distinct counts are two-level aggregations ``(repo, author)`` then ``repo``,
   avoiding the ``Expand`` that several ``count(DISTINCT)`` would plan.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keelson.functions.numeric import interpolated_quantiles, round_half_away, round_half_even
 from keelson.functions.predicates import not_bot, older_than
 from keelson.functions.time import (
     Window,
@@ -39,11 +40,14 @@ REPO = "repo_full_name"
 
 def rate(num: Column, den: Column) -> Column:
     """``round(100.0 * num / nullif(den, 0), 1)`` as DOUBLE."""
-    return F.round(F.lit(100.0) * num / F.nullif(den, F.lit(0)), 1)
+    return round_half_away(F.lit(100.0) * num / F.nullif(den, F.lit(0)), 1)
 
 
-def _quantile(x: Column, p: float) -> Column:
-    return F.round(F.percentile(x, F.lit(p)), 1)
+def _with_quantiles(agg: DataFrame, rows: DataFrame, value: str, names: tuple[str, str]) -> DataFrame:
+    """Join exact median / P90 (rounded to 0.1) of ``value`` onto per-repo ``agg``."""
+    q = interpolated_quantiles(rows, [REPO], value, {names[0]: 0.5, names[1]: 0.9})
+    q = q.select(REPO, *[round_half_away(F.col(n), 1).alias(n) for n in names])
+    return agg.join(q, REPO, "left")
 
 
 def _repos(tables) -> DataFrame:
@@ -92,18 +96,23 @@ def issue_kpis(tables, window: Window, as_of: datetime) -> DataFrame:
         REPO, "state", "created_at", "closed_at"
     )
     state = F.col("state")
-    closed = F.when(F.col("closed_at").isNotNull(), hours_between("created_at", "closed_at"))
     agg = i.groupBy(REPO).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(state == "open").alias("open"),
         F.count_if(state == "closed").alias("closed"),
         rate(F.count_if(state == "closed"), F.count(F.lit(1))).alias("close_rate"),
-        _quantile(closed, 0.5).alias("median_close_hours"),
-        _quantile(closed, 0.9).alias("p90_close_hours"),
         F.count_if((state == "open") & older_than("created_at", 90, end)).alias("stale_open"),
     )
+    hours = i.where(F.col("closed_at").isNotNull()).select(
+        REPO, hours_between("created_at", "closed_at").alias("h")
+    )
+    agg = _with_quantiles(agg, hours, "h", ("median_close_hours", "p90_close_hours"))
     out = _repos(tables).join(agg, REPO, "left")
-    return _fill_counts(out, ["total", "open", "closed", "stale_open"])
+    out = _fill_counts(out, ["total", "open", "closed", "stale_open"])
+    return out.select(
+        REPO, "total", "open", "closed", "close_rate", "median_close_hours", "p90_close_hours",
+        "stale_open",
+    )
 
 
 def pr_kpis(tables, window: Window, as_of: datetime | None = None) -> DataFrame:
@@ -111,7 +120,6 @@ def pr_kpis(tables, window: Window, as_of: datetime | None = None) -> DataFrame:
         REPO, "state", "draft", "created_at", "closed_at", "merged_at"
     )
     merged = F.col("merged_at").isNotNull()
-    merge_h = F.when(merged, hours_between("created_at", "merged_at"))
     agg = p.groupBy(REPO).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("state") == "open").alias("open"),
@@ -120,11 +128,13 @@ def pr_kpis(tables, window: Window, as_of: datetime | None = None) -> DataFrame:
         rate(
             F.count_if(merged), F.count_if(~F.col("draft") & F.col("closed_at").isNotNull())
         ).alias("merge_rate"),
-        _quantile(merge_h, 0.5).alias("median_merge_hours"),
-        _quantile(merge_h, 0.9).alias("p90_merge_hours"),
     )
-    out = _repos(tables).join(agg, REPO, "left")
-    return _fill_counts(out, ["total", "open", "merged"])
+    hours = p.where(merged).select(REPO, hours_between("created_at", "merged_at").alias("h"))
+    agg = _with_quantiles(agg, hours, "h", ("median_merge_hours", "p90_merge_hours"))
+    out = _fill_counts(_repos(tables).join(agg, REPO, "left"), ["total", "open", "merged"])
+    return out.select(
+        REPO, "total", "open", "merged", "merge_rate", "median_merge_hours", "p90_merge_hours"
+    )
 
 
 # --- contributor activity -------------------------------------------------------------
@@ -238,7 +248,7 @@ def contributor_retention(tables, window: Window) -> DataFrame:
         "month_number",
         "cohort_size",
         "active_contributors",
-        F.round(F.lit(100.0) * F.col("active_contributors") / F.col("cohort_size"), 1).alias(
+        round_half_away(F.lit(100.0) * F.col("active_contributors") / F.col("cohort_size"), 1).alias(
             "retention_rate"
         ),
     )
@@ -297,14 +307,15 @@ def _response_kpis(
     scoped = items.where(window.contains("created_at")).select(REPO, number, "author", "created_at")
     joined = scoped.join(first, [REPO, number], "left")
     responded = F.col("first_response_at").isNotNull() & F.col("author").isNotNull()
-    h = F.when(responded, hours_between("created_at", "first_response_at"))
     agg = joined.groupBy(REPO).agg(
         F.count_if(responded).alias(count_l),
-        _quantile(h, 0.5).alias(median_l),
-        _quantile(h, 0.9).alias(p90_l),
         F.count(F.lit(1)).alias(total_l),
         (F.count(F.lit(1)) - F.count_if(responded)).alias(missing_l),
     )
+    hours = joined.where(responded).select(
+        REPO, hours_between("created_at", "first_response_at").alias("h")
+    )
+    agg = _with_quantiles(agg, hours, "h", (median_l, p90_l))
     out = _repos(tables).join(agg, REPO, "left")
     return _fill_counts(out, [count_l, total_l, missing_l]).select(
         REPO, count_l, median_l, p90_l, total_l, missing_l
@@ -385,7 +396,7 @@ def backlog_kpis(tables, window: Window, as_of: datetime) -> DataFrame:
 
     def pct(num: str, den: str) -> Column:
         return F.when(
-            F.col(den) > 0, F.bround(F.lit(100.0) * F.col(num) / F.col(den), 1)
+            F.col(den) > 0, round_half_even(F.lit(100.0) * F.col(num) / F.col(den), 1)
         )
 
     return out.select(
