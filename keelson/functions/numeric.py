@@ -2,9 +2,9 @@
 
 * ``round_half_away`` / ``round_half_even``: round ``x * 10^d`` to an integer
   then divide, which is how the reference's SQL engine rounds DOUBLEs.
-* ``fma``: fused multiply-add ``a * b + c`` with a single rounding, built from
-  error-free transformations (Dekker's TwoProduct, Knuth's TwoSum) in plain
-  Column arithmetic, so it stays inside whole-stage codegen.
+* ``fma_sql``: fused multiply-add ``a * b + c`` with a single rounding, built
+  from error-free transformations (Dekker's TwoProduct, Knuth's TwoSum) as
+  plain double arithmetic, so it stays inside whole-stage codegen.
 * ``interpolated_quantiles``: exact continuous quantiles (linear interpolation
   between the order statistics at floor/ceil of ``(n - 1) * p``), computed as
   ``fma(lo, 1 - d, hi * d)`` like the reference engine.
@@ -29,27 +29,24 @@ def round_half_even(x: Column, digits: int = 1) -> Column:
     return F.bround(x * F.lit(m), 0) / F.lit(m)
 
 
-def _split(df: DataFrame, x: str, hi: str, lo: str) -> DataFrame:
-    t = F.col(x) * F.lit(_SPLIT)
-    df = df.withColumn(hi, t - (t - F.col(x)))
-    return df.withColumn(lo, F.col(x) - F.col(hi))
+def fma_sql(a: str, b: str, c: str) -> str:
+    """SQL text of ``a * b + c`` rounded once (all operands DOUBLE expressions).
 
-
-def with_fma(df: DataFrame, a: str, b: str, c: str, out: str) -> DataFrame:
-    """Add column ``out = fma(a, b, c)``; helper columns are dropped again."""
-    tmp = [f"_fma_{k}" for k in ("p", "ah", "al", "bh", "bl", "e", "s", "bb", "t")]
-    p, ah, al, bh, bl, e, s, bb, t = (F.col(n) for n in tmp)
-    df = df.withColumn(tmp[0], F.col(a) * F.col(b))
-    df = _split(df, a, tmp[1], tmp[2])
-    df = _split(df, b, tmp[3], tmp[4])
-    # a*b == p + e exactly
-    df = df.withColumn(tmp[5], ((ah * bh - p) + ah * bl + al * bh) + al * bl)
-    # p + c == s + t exactly
-    df = df.withColumn(tmp[6], p + F.col(c))
-    df = df.withColumn(tmp[7], s - p)
-    df = df.withColumn(tmp[8], (p - (s - bb)) + (F.col(c) - bb))
-    df = df.withColumn(out, s + (t + e))
-    return df.drop(*tmp)
+    Error-free transformations: Veltkamp split + Dekker's TwoProduct give
+    ``a*b == p + e`` exactly, Knuth's TwoSum gives ``p + c == s + t`` exactly,
+    and ``s + (t + e)`` is the fused result. Repeated sub-terms are shared at
+    run time by whole-stage codegen's subexpression elimination.
+    """
+    a, b, c = f"({a})", f"({b})", f"({c})"
+    p = f"({a} * {b})"
+    ta, tb = f"({a} * {_SPLIT})", f"({b} * {_SPLIT})"
+    ah, bh = f"({ta} - ({ta} - {a}))", f"({tb} - ({tb} - {b}))"
+    al, bl = f"({a} - {ah})", f"({b} - {bh})"
+    e = f"((({ah} * {bh} - {p}) + {ah} * {bl} + {al} * {bh}) + {al} * {bl})"
+    s_ = f"({p} + {c})"
+    bb = f"({s_} - {p})"
+    t = f"(({p} - ({s_} - {bb})) + ({c} - {bb}))"
+    return f"({s_} + ({t} + {e}))"
 
 
 def interpolated_quantiles(
@@ -62,28 +59,33 @@ def interpolated_quantiles(
     durations in whole minutes that is bounded by the span of the data, not by
     the number of rows, which keeps a hot group's task small.
     """
-    v = F.col(value)
-    freq = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = freq.withColumn("_cum", F.sum("_c").over(upto)).withColumn(
-        "_n", F.sum("_c").over(W.partitionBy(*keys))
+    keys_sql = ", ".join(f"`{k}`" for k in keys)
+    freq = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(F.expr("count(1) AS _c"))
+    )
+    ranked = freq.selectExpr(
+        "*",
+        f"sum(_c) OVER (PARTITION BY {keys_sql} ORDER BY `{value}` "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum",
+        f"sum(_c) OVER (PARTITION BY {keys_sql}) AS _n",
     )
-    prev = F.col("_cum") - F.col("_c")
     aggs = []
     for name, p in probs.items():
-        rn = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        frn, crn = F.floor(rn), F.ceil(rn)
+        rn = f"(CAST(_n - 1 AS DOUBLE) * {float(p)!r})"
         aggs += [
-            F.max(F.when((prev <= frn) & (frn < F.col("_cum")), v)).alias(f"_{name}_lo"),
-            F.max(F.when((prev <= crn) & (crn < F.col("_cum")), v)).alias(f"_{name}_hi"),
-            F.max(rn - frn).alias(f"_{name}_d"),
+            f"max(CASE WHEN _cum - _c <= floor({rn}) AND floor({rn}) < _cum THEN `{value}` END) AS _{name}_lo",
+            f"max(CASE WHEN _cum - _c <= ceil({rn}) AND ceil({rn}) < _cum THEN `{value}` END) AS _{name}_hi",
+            f"max({rn} - floor({rn})) AS _{name}_d",
         ]
-    out = ranked.groupBy(*keys).agg(*aggs)
-    for name in probs:
-        lo, hi, d = f"_{name}_lo", f"_{name}_hi", f"_{name}_d"
-        out = out.withColumn("_omd", F.lit(1.0) - F.col(d)).withColumn("_hid", F.col(hi) * F.col(d))
-        out = with_fma(out, lo, "_omd", "_hid", f"_{name}_i")
-        out = out.withColumn(
-            name, F.when(F.col(d) == 0, F.col(lo)).otherwise(F.col(f"_{name}_i"))
-        ).drop(lo, hi, d, "_omd", "_hid", f"_{name}_i")
-    return out
+    out = ranked.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+    # Reference engine: lo * (1 - d) + hi * d, contracted to one fused multiply-add.
+    return out.selectExpr(
+        *[f"`{k}`" for k in keys],
+        *[
+            f"CASE WHEN _{n}_d = 0 THEN _{n}_lo "
+            f"ELSE {fma_sql(f'_{n}_lo', f'1.0D - _{n}_d', f'_{n}_hi * _{n}_d')} END AS `{n}`"
+            for n in probs
+        ],
+    )

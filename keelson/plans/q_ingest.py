@@ -16,7 +16,7 @@ from keelson.plans.catalog import ORDER_AS_OF, ORDER_AS_OF_SQL, register, sql_ts
 from keelson.plans.oracle import with_bindings
 from keelson.schemas import RUNS, RUNS_DEFAULTS, RUNS_LEGACY_COLUMNS
 from keelson.session import scratch_path
-from keelson.sources import feeds, testfeeds
+from keelson.sources import feeds, landing
 
 STORED_BEFORE = datetime(2001, 1, 1)
 SCOPE_STORED_BEFORE = datetime(2001, 5, 1)
@@ -42,7 +42,7 @@ FROM issues"""
     "SRC2 + PRJ2/8/9: issue feed parsed, PRs removed, flattened",
 )
 def _feed_issues(b):
-    raw = feeds.parse_feed(testfeeds.issue_feed(b), "issues")
+    raw = feeds.read_feed(b.spark, "issues", landing.land(b, "issues"))
     return feeds.normalise_issues(raw).drop("arrival_seq")
 
 
@@ -61,9 +61,11 @@ WHERE s.since IS NULL OR p.pr_number % 97 = 0 OR p.updated_at >= s.since"""
     "SRC3/SRC4 + INC1-2: feed rows at or after the stored cursor minus 5 minutes",
 )
 def _feed_since(b):
-    stored = b.pull_requests.where(F.col("created_at") < ts_lit(STORED_BEFORE))
+    stored = b.stored().pull_requests.where(F.col("created_at") < ts_lit(STORED_BEFORE))
     since = inc.cursor_of(stored, "updated_at")
-    feed = feeds.normalise_pull_requests(feeds.parse_feed(testfeeds.pull_feed(b), "pull_requests"))
+    feed = feeds.normalise_pull_requests(
+        feeds.read_feed(b.spark, "pull_requests", landing.land(b, "pull_requests"))
+    )
     return inc.since_filter(feed, since).select(REPO, "pr_number", "updated_at")
 
 
@@ -133,7 +135,7 @@ FROM repo_dim"""
     "SRC1/PRJ1/SNK1: repository metadata flattened with defaults",
 )
 def _normalise_repository(b):
-    raw = feeds.parse_feed(testfeeds.repository_feed(b), "repository")
+    raw = feeds.read_feed(b.spark, "repository", landing.land(b, "repository"))
     snap = upsert(None, feeds.normalise_repository(raw, ts_lit(ORDER_AS_OF)), "repositories")
     return snap.drop("arrival_seq")
 
@@ -150,7 +152,7 @@ FROM releases"""
     "SRC5/PRJ5/SNK5/INC4: release feed, full refresh per repository",
 )
 def _normalise_releases(b):
-    raw = feeds.parse_feed(testfeeds.release_feed(b), "releases")
+    raw = feeds.read_feed(b.spark, "releases", landing.land(b, "releases"))
     batch = feeds.normalise_releases(raw)
     return inc.replace_releases(None, batch).drop("arrival_seq")
 
@@ -194,10 +196,12 @@ SELECT * EXCLUDE (rn) FROM (
 
 
 def commit_batches(b):
-    feed = testfeeds.commit_feed(b)
-    early = F.col("ts") < ts_lit(COMMIT_BATCH_SPLIT)
-    first = feeds.normalise_commits(feeds.parse_feed(feed.where(early), "commits"))
-    second = feeds.normalise_commits(feeds.parse_feed(feed.where(~early), "commits"))
+    """Two landed batches of the commit feed, split on the ``day`` folder
+    (partition pruning: each batch lists only its own folders)."""
+    feed = feeds.read_feed(b.spark, "commits", landing.land(b, "commits"))
+    early = F.col("day") < F.lit(COMMIT_BATCH_SPLIT.date())
+    first = feeds.normalise_commits(feed.where(early))
+    second = feeds.normalise_commits(feed.where(~early))
     return first, second
 
 
@@ -218,7 +222,7 @@ _CURSOR_PARTS = "\nUNION ALL\n".join(
 
 @register("cursors", with_bindings(_CURSOR_PARTS), "INC1-2/AGG15/FN14: per-entity cursors")
 def _cursors(b):
-    return inc.cursors(b)
+    return inc.cursors(b.stored())
 
 
 @register(
@@ -243,7 +247,7 @@ FROM pe GROUP BY repo_full_name, run_day"""
     "AGG21/AGG22: rows loaded per run and truncated entities",
 )
 def _collection_result(b):
-    return inc.collection_results(b.page_log)
+    return inc.collection_results(b.stored().page_log)
 
 
 @register(
@@ -272,13 +276,14 @@ GROUP BY s.repo_full_name, s.pr_number"""
     "INC5/SET7/SRC7: PRs whose reviews are collected, with review counts",
 )
 def _review_scope(b):
-    stored = b.pull_requests.where(F.col("created_at") < ts_lit(SCOPE_STORED_BEFORE))
+    prs = b.stored().pull_requests
+    stored = prs.where(F.col("created_at") < ts_lit(SCOPE_STORED_BEFORE))
     since = inc.cursor_of(stored, "updated_at")
-    new = inc.since_filter(b.pull_requests, since)
+    new = inc.since_filter(prs, since)
     incremental = since.select(REPO, F.lit(True).alias("is_incremental"))
     scope = inc.review_scope(new, stored, incremental, ORDER_AS_OF)
     counts = (
-        inc.reviews_in_scope(b.pr_reviews, scope)
+        inc.reviews_in_scope(b.stored().pr_reviews, scope)
         .groupBy(REPO, "pr_number")
         .agg(F.count(F.lit(1)).alias("reviews"))
     )
@@ -330,7 +335,7 @@ FROM runs"""
     "SNK14: legacy and current run files read together with mergeSchema",
 )
 def _schema_evolve(b):
-    runs = b.pipeline_runs
+    runs = b.stored().pipeline_runs
     legacy_rows = F.col("started_at") < ts_lit(LEGACY_BEFORE)
     legacy = runs.where(legacy_rows).select(*RUNS_LEGACY_COLUMNS)
     current = runs.where(~legacy_rows).withColumns(

@@ -5,15 +5,16 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from keelson.operators.upsert import upsert
 from keelson.plans.catalog import register
 from keelson.plans.oracle import with_bindings
 from keelson.plans.q_ingest import UPSERT_COMMITS_SQL
+from keelson.schemas import ENVELOPE, RAW
 from keelson.session import scratch_path
-from keelson.sources import feeds, testfeeds
-from keelson.streaming.activity import event_stream, run_activity_stream
+from keelson.sources import feeds, landing
+from keelson.streaming.activity import run_activity_stream
 from keelson.streaming.upsert import run_upsert_stream
 
 
@@ -43,13 +44,14 @@ def _activity_stream(b):
 def _stream_upsert_commits(b):
     spark = b.spark
     base = scratch_path(spark, f"commit-stream-{uuid.uuid4().hex}")
-    landing = os.path.join(base, "landing")
-    # Land the raw events as a feed would arrive: one folder per day.
-    events = b.table("events")
-    events.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(landing)
-    stream = event_stream(spark, landing, events.schema, max_files=8)
-    feed = testfeeds.commit_feed(b, b.events_with_repo(stream))
-    rows = feeds.normalise_commits(feeds.parse_feed(feed, "commits"))
+    # The landed commit feed (one folder per day) is consumed as a file stream.
+    schema = StructType(ENVELOPE.fields + RAW["commits"].fields)
+    stream = (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", 64)
+        .json(landing.land(b, "commits"))
+    )
+    rows = feeds.normalise_commits(stream)
     return run_upsert_stream(
         rows,
         os.path.join(base, "snapshot"),

@@ -296,5 +296,14 @@ class Bindings:
         ).withColumn("limit_hit", F.col("items") == 100)
 
 
+    def stored(self):
+        """The entity tables materialised as Parquet (see :mod:`keelson.sources.warehouse`)."""
+        if "_stored" not in self.__dict__:
+            from keelson.sources.warehouse import stored_tables
+
+            self.__dict__["_stored"] = stored_tables(self)
+        return self.__dict__["_stored"]
+
+
 def bind(spark: SparkSession, sf_dir: str) -> Bindings:
     return Bindings(spark, sf_dir)

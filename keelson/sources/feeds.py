@@ -201,11 +201,12 @@ def repository_id(raw: str | Column) -> Column:
     c = F.col(raw) if isinstance(raw, str) else raw
     value = F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"^/+|/+$", "")
     parts = F.split(value, "/")
+    owner, name = F.get(parts, 0), F.get(parts, 1)
     ok = (
         (F.size(parts) == 2)
-        & (F.length(parts[0]) > 0)
-        & (F.length(parts[1]) > 0)
-        & ~parts[0].isin(".", "..")
-        & ~parts[1].isin(".", "..")
+        & (F.length(owner) > 0)
+        & (F.length(name) > 0)
+        & ~owner.isin(".", "..")
+        & ~name.isin(".", "..")
     )
     return F.when(ok, value)

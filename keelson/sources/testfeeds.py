@@ -27,6 +27,8 @@ def iso_seconds(c: str | Column) -> Column:
 
 
 def _envelope(run_id: Column, seq: Column, payload: Column) -> list[Column]:
+    """Envelope columns plus the record as JSON text (``to_json`` drops NULL
+    fields, so optional keys are truly absent)."""
     return [REPO, run_id.alias("run_id"), seq.cast("long").alias("arrival_seq"), F.to_json(payload).alias("payload")]
 
 
@@ -100,7 +102,10 @@ def commit_feed(b: Bindings, ev: DataFrame | None = None) -> DataFrame:
             ),
         ).alias("commit"),
     )
-    return e.select(*_envelope(F.date_format("ts", "yyyyMMdd"), F.col("event_id"), payload), "ts")
+    return e.select(
+        *_envelope(F.date_format("ts", "yyyyMMdd"), F.col("event_id"), payload),
+        F.to_date("ts").alias("day"),
+    )
 
 
 def repository_feed(b: Bindings) -> DataFrame:
