@@ -50,36 +50,48 @@ def fma_sql(a: str, b: str, c: str) -> str:
 
 
 def interpolated_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    probs: dict[str, float],
+    values_as: str | None = None,
+    rows_as: str | None = None,
 ) -> DataFrame:
     """One row per group with one column per requested quantile (NULL if no values).
 
     Rows are first reduced to (group, value, frequency) with a partial
     aggregate, so the per-group window runs over *distinct* values only; for
     durations in whole minutes that is bounded by the span of the data, not by
-    the number of rows, which keeps a hot group's task small.
+    the number of rows, which keeps a hot group's task small. NULL values are
+    kept in the frequency table, so ``values_as`` / ``rows_as`` can return the
+    non-NULL and total row counts from the same pass.
     """
     keys_sql = ", ".join(f"`{k}`" for k in keys)
-    freq = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.expr("count(1) AS _c"))
-    )
+    v = f"`{value}`"
+    freq = df.groupBy(*keys, value).agg(F.expr("count(1) AS _c"))
     ranked = freq.selectExpr(
         "*",
-        f"sum(_c) OVER (PARTITION BY {keys_sql} ORDER BY `{value}` "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum",
-        f"sum(_c) OVER (PARTITION BY {keys_sql}) AS _n",
+        f"coalesce(sum(CASE WHEN {v} IS NOT NULL THEN _c END) OVER (PARTITION BY {keys_sql} "
+        f"ORDER BY {v} ASC NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS _cum",
+        f"coalesce(sum(CASE WHEN {v} IS NOT NULL THEN _c END) OVER (PARTITION BY {keys_sql}), 0) AS _n",
+        f"sum(_c) OVER (PARTITION BY {keys_sql}) AS _rows",
     )
     aggs = []
     for name, p in probs.items():
         rn = f"(CAST(_n - 1 AS DOUBLE) * {float(p)!r})"
+        hit = "{v} IS NOT NULL AND _cum - _c <= {i} AND {i} < _cum"
         aggs += [
-            f"max(CASE WHEN _cum - _c <= floor({rn}) AND floor({rn}) < _cum THEN `{value}` END) AS _{name}_lo",
-            f"max(CASE WHEN _cum - _c <= ceil({rn}) AND ceil({rn}) < _cum THEN `{value}` END) AS _{name}_hi",
+            f"max(CASE WHEN {hit.format(v=v, i=f'floor({rn})')} THEN {v} END) AS _{name}_lo",
+            f"max(CASE WHEN {hit.format(v=v, i=f'ceil({rn})')} THEN {v} END) AS _{name}_hi",
             f"max({rn} - floor({rn})) AS _{name}_d",
         ]
+    aggs += ["max(_n) AS _n", "max(_rows) AS _rows"]
     out = ranked.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+    counts = []
+    if values_as:
+        counts.append(f"_n AS `{values_as}`")
+    if rows_as:
+        counts.append(f"_rows AS `{rows_as}`")
     # Reference engine: lo * (1 - d) + hi * d, contracted to one fused multiply-add.
     return out.selectExpr(
         *[f"`{k}`" for k in keys],
@@ -88,4 +100,5 @@ def interpolated_quantiles(
             f"ELSE {fma_sql(f'_{n}_lo', f'1.0D - _{n}_d', f'_{n}_hi * _{n}_d')} END AS `{n}`"
             for n in probs
         ],
+        *counts,
     )

@@ -43,6 +43,11 @@ def rate(num: Column, den: Column) -> Column:
     return round_half_away(F.lit(100.0) * num / F.nullif(den, F.lit(0)), 1)
 
 
+def _round1(column: str) -> str:
+    """SQL text of the reference engine's ``round(x, 1)`` for DOUBLE."""
+    return f"round(`{column}` * 10.0D, 0) / 10.0D"
+
+
 def _with_quantiles(agg: DataFrame, rows: DataFrame, value: str, names: tuple[str, str]) -> DataFrame:
     """Join exact median / P90 (rounded to 0.1) of ``value`` onto per-repo ``agg``."""
     q = interpolated_quantiles(rows, [REPO], value, {names[0]: 0.5, names[1]: 0.9})
@@ -307,18 +312,22 @@ def _response_kpis(
     scoped = items.where(window.contains("created_at")).select(REPO, number, "author", "created_at")
     joined = scoped.join(first, [REPO, number], "left")
     responded = F.col("first_response_at").isNotNull() & F.col("author").isNotNull()
-    agg = joined.groupBy(REPO).agg(
-        F.count_if(responded).alias(count_l),
-        F.count(F.lit(1)).alias(total_l),
-        (F.count(F.lit(1)) - F.count_if(responded)).alias(missing_l),
+    # One pass: unresponded items carry a NULL duration, so the quantile pass
+    # also yields the responded (non-NULL) and total (all rows) counts.
+    hours = joined.select(
+        REPO, F.when(responded, hours_between("created_at", "first_response_at")).alias("h")
     )
-    hours = joined.where(responded).select(
-        REPO, hours_between("created_at", "first_response_at").alias("h")
+    q = interpolated_quantiles(
+        hours, [REPO], "h", {median_l: 0.5, p90_l: 0.9}, values_as=count_l, rows_as=total_l
     )
-    agg = _with_quantiles(agg, hours, "h", (median_l, p90_l))
-    out = _repos(tables).join(agg, REPO, "left")
-    return _fill_counts(out, [count_l, total_l, missing_l]).select(
-        REPO, count_l, median_l, p90_l, total_l, missing_l
+    out = _repos(tables).join(q, REPO, "left")
+    return out.selectExpr(
+        REPO,
+        f"coalesce({count_l}, 0) AS {count_l}",
+        f"{_round1(median_l)} AS {median_l}",
+        f"{_round1(p90_l)} AS {p90_l}",
+        f"coalesce({total_l}, 0) AS {total_l}",
+        f"coalesce({total_l}, 0) - coalesce({count_l}, 0) AS {missing_l}",
     )
 
 
