@@ -21,9 +21,19 @@ OPEN_END = datetime(2286, 7, 5)
 NAMED_WINDOWS = {"all": None, "30d": 30, "90d": 90, "180d": 180}
 
 
+def ts_sql(value: datetime) -> str:
+    """SQL text of a timestamp literal in the session zone (UTC)."""
+    return f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}'"
+
+
 def ts_lit(value: datetime) -> Column:
     """Timestamp literal parsed in the session zone (UTC); never via Python tz."""
-    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+    return F.expr(ts_sql(value))
+
+
+def _ref(column: str | Column) -> str | None:
+    """SQL text for a plain column name (None for Column objects)."""
+    return f"`{column}`" if isinstance(column, str) else None
 
 
 @dataclass(frozen=True)
@@ -64,9 +74,11 @@ class Window:
         return self.end or as_of
 
     def contains(self, column: str | Column) -> Column:
-        c = F.col(column) if isinstance(column, str) else column
         start, end = self.bounds()
-        return (c >= ts_lit(start)) & (c < ts_lit(end))
+        if isinstance(column, str):
+            c = _ref(column) if "." not in column else column
+            return F.expr(f"{c} >= {ts_sql(start)} AND {c} < {ts_sql(end)}")
+        return (column >= ts_lit(start)) & (column < ts_lit(end))
 
 
 def minutes_between(start: str | Column, end: str | Column) -> Column:
@@ -74,6 +86,10 @@ def minutes_between(start: str | Column, end: str | Column) -> Column:
 
     Both instants are floored to the minute first, so 10:00:59 -> 10:01:01 is 1.
     """
+    if isinstance(start, str) and isinstance(end, str):
+        return F.expr(
+            f"floor(unix_seconds({_ref(end)}) / 60) - floor(unix_seconds({_ref(start)}) / 60)"
+        )
     s = F.col(start) if isinstance(start, str) else start
     e = F.col(end) if isinstance(end, str) else end
     return F.floor(F.unix_seconds(e) / 60) - F.floor(F.unix_seconds(s) / 60)
@@ -81,6 +97,11 @@ def minutes_between(start: str | Column, end: str | Column) -> Column:
 
 def hours_between(start: str | Column, end: str | Column) -> Column:
     """Boundary-counted minutes expressed in hours (``minutes / 60.0``), as DOUBLE."""
+    if isinstance(start, str) and isinstance(end, str):
+        return F.expr(
+            f"CAST(floor(unix_seconds({_ref(end)}) / 60) - floor(unix_seconds({_ref(start)}) / 60)"
+            " AS DOUBLE) / 60.0D"
+        )
     return minutes_between(start, end).cast("double") / F.lit(60.0)
 
 

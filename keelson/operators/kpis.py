@@ -29,6 +29,7 @@ from keelson.functions.numeric import interpolated_quantiles, round_half_away, r
 from keelson.functions.predicates import not_bot, older_than
 from keelson.functions.time import (
     Window,
+    ts_sql,
     hours_between,
     month_start,
     months_between_starts,
@@ -43,24 +44,43 @@ def rate(num: Column, den: Column) -> Column:
     return round_half_away(F.lit(100.0) * num / F.nullif(den, F.lit(0)), 1)
 
 
-def _round1(column: str) -> str:
+def round1_sql(x: str) -> str:
     """SQL text of the reference engine's ``round(x, 1)`` for DOUBLE."""
-    return f"round(`{column}` * 10.0D, 0) / 10.0D"
+    return f"round(({x}) * 10.0D, 0) / 10.0D"
 
 
-def _with_quantiles(agg: DataFrame, rows: DataFrame, value: str, names: tuple[str, str]) -> DataFrame:
-    """Join exact median / P90 (rounded to 0.1) of ``value`` onto per-repo ``agg``."""
-    q = interpolated_quantiles(rows, [REPO], value, {names[0]: 0.5, names[1]: 0.9})
-    q = q.select(REPO, *[round_half_away(F.col(n), 1).alias(n) for n in names])
-    return agg.join(q, REPO, "left")
+def rate_sql(num: str, den: str) -> str:
+    """SQL text of ``round(100.0 * num / nullif(den, 0), 1)``."""
+    return round1_sql(f"100.0D * ({num}) / nullif({den}, 0)")
 
 
 def _repos(tables) -> DataFrame:
     return tables.repositories.select(REPO)
 
 
-def _fill_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.fillna(0, subset=columns)
+def merge_by_repo(parts: list[DataFrame]) -> DataFrame:
+    """Combine one-row-per-repository frames without joins.
+
+    Each part carries its own (uniquely named) columns; the union of all parts
+    is reduced by a single ``groupBy(repo)`` where ``max`` picks the one
+    non-NULL value of each column. One small shuffle replaces a chain of
+    joins, and a repository present in any part (e.g. ``repositories``) gets
+    a row even when other parts have none.
+    """
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    cols = [c for c in u.columns if c != REPO]
+    return u.groupBy(REPO).agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in cols])
+
+
+def finish(df: DataFrame, columns: dict[str, str], keep: tuple[str, ...] = (REPO,)) -> DataFrame:
+    """Project ``name -> SQL expression`` (defaults, rates and rounding)."""
+    return df.selectExpr(*[f"`{k}`" for k in keep], *[f"{e} AS `{n}`" for n, e in columns.items()])
+
+
+def _agg(df: DataFrame, *exprs: str) -> DataFrame:
+    return df.groupBy(REPO).agg(*[F.expr(e) for e in exprs])
 
 
 # --- M1 / M2 --------------------------------------------------------------------------
@@ -70,76 +90,111 @@ def repositories(tables) -> DataFrame:
     return tables.repositories.select(REPO).orderBy(REPO)
 
 
-def overview(tables) -> DataFrame:
-    """Lifetime counts per repository (not windowed); draft releases excluded."""
+def _overview_parts(tables, x: str = "o_") -> list[DataFrame]:
     kinds = (
         tables.issues.select(REPO, F.lit("i").alias("k"))
         .unionByName(tables.pull_requests.select(REPO, F.lit("p").alias("k")))
         .unionByName(tables.commits.select(REPO, F.lit("c").alias("k")))
         .unionByName(tables.releases.where(~F.col("draft")).select(REPO, F.lit("r").alias("k")))
     )
-    k = F.col("k")
-    counts = kinds.groupBy(REPO).agg(
-        F.count_if(k == "i").alias("issues"),
-        F.count_if(k == "p").alias("pull_requests"),
-        F.count_if(k == "c").alias("commits"),
-        F.count_if(k == "r").alias("releases"),
-    )
-    r = tables.repositories.select(
-        REPO, "description", "stars", "forks", "language", "license_name", "fetched_at"
+    counts = _agg(
+        kinds,
+        f"count_if(k = 'i') AS {x}issues",
+        f"count_if(k = 'p') AS {x}pull_requests",
+        f"count_if(k = 'c') AS {x}commits",
+        f"count_if(k = 'r') AS {x}releases",
     )
-    out = r.join(counts, REPO, "left")
-    return _fill_counts(out, ["issues", "pull_requests", "commits", "releases"])
+    return [counts]
+
+
+def _overview_cols(x: str = "o_") -> dict[str, str]:
+    return {n: f"coalesce({x}{n}, 0)" for n in ("issues", "pull_requests", "commits", "releases")}
+
+
+REPO_COLUMNS = ("description", "stars", "forks", "language", "license_name", "fetched_at")
+
+
+def overview(tables) -> DataFrame:
+    """Lifetime counts per repository (not windowed); draft releases excluded."""
+    r = tables.repositories.select(REPO, *REPO_COLUMNS)
+    m = merge_by_repo([r, *_overview_parts(tables)])
+    return finish(m, _overview_cols(), keep=(REPO, *REPO_COLUMNS))
 
 
 # --- M3 / M4 --------------------------------------------------------------------------
 
 
-def issue_kpis(tables, window: Window, as_of: datetime) -> DataFrame:
+def _issue_parts(tables, window: Window, as_of: datetime, x: str = "i_") -> list[DataFrame]:
     end = window.end_or(as_of)
     i = tables.issues.where(window.contains("created_at")).select(
         REPO, "state", "created_at", "closed_at"
     )
-    state = F.col("state")
-    agg = i.groupBy(REPO).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(state == "open").alias("open"),
-        F.count_if(state == "closed").alias("closed"),
-        rate(F.count_if(state == "closed"), F.count(F.lit(1))).alias("close_rate"),
-        F.count_if((state == "open") & older_than("created_at", 90, end)).alias("stale_open"),
+    agg = _agg(
+        i,
+        f"count(1) AS {x}total",
+        f"count_if(state = 'open') AS {x}open",
+        f"count_if(state = 'closed') AS {x}closed",
+        f"count_if(state = 'open' AND created_at < {ts_sql(end - timedelta(days=90))}) AS {x}stale",
     )
-    hours = i.where(F.col("closed_at").isNotNull()).select(
+    hours = i.where("closed_at IS NOT NULL").select(
         REPO, hours_between("created_at", "closed_at").alias("h")
     )
-    agg = _with_quantiles(agg, hours, "h", ("median_close_hours", "p90_close_hours"))
-    out = _repos(tables).join(agg, REPO, "left")
-    out = _fill_counts(out, ["total", "open", "closed", "stale_open"])
-    return out.select(
-        REPO, "total", "open", "closed", "close_rate", "median_close_hours", "p90_close_hours",
-        "stale_open",
-    )
+    q = interpolated_quantiles(hours, [REPO], "h", {f"{x}median": 0.5, f"{x}p90": 0.9})
+    return [agg, q]
 
 
-def pr_kpis(tables, window: Window, as_of: datetime | None = None) -> DataFrame:
+def _issue_cols(x: str = "i_") -> dict[str, str]:
+    return {
+        "total": f"coalesce({x}total, 0)",
+        "open": f"coalesce({x}open, 0)",
+        "closed": f"coalesce({x}closed, 0)",
+        "close_rate": rate_sql(f"coalesce({x}closed, 0)", f"coalesce({x}total, 0)"),
+        "median_close_hours": round1_sql(f"{x}median"),
+        "p90_close_hours": round1_sql(f"{x}p90"),
+        "stale_open": f"coalesce({x}stale, 0)",
+    }
+
+
+def issue_kpis(tables, window: Window, as_of: datetime) -> DataFrame:
+    """Issues created in the window: counts, close rate, exact median / P90
+    close time, and open issues older than 90 days at the window end."""
+    m = merge_by_repo([_repos(tables), *_issue_parts(tables, window, as_of)])
+    return finish(m, _issue_cols())
+
+
+def _pr_parts(tables, window: Window, x: str = "p_") -> list[DataFrame]:
     p = tables.pull_requests.where(window.contains("created_at")).select(
         REPO, "state", "draft", "created_at", "closed_at", "merged_at"
     )
-    merged = F.col("merged_at").isNotNull()
-    agg = p.groupBy(REPO).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("state") == "open").alias("open"),
-        F.count_if(merged).alias("merged"),
-        # numerator: every merged PR (drafts too); denominator: closed non-drafts
-        rate(
-            F.count_if(merged), F.count_if(~F.col("draft") & F.col("closed_at").isNotNull())
-        ).alias("merge_rate"),
+    agg = _agg(
+        p,
+        f"count(1) AS {x}total",
+        f"count_if(state = 'open') AS {x}open",
+        f"count_if(merged_at IS NOT NULL) AS {x}merged",
+        f"count_if(NOT draft AND closed_at IS NOT NULL) AS {x}closed_nd",
     )
-    hours = p.where(merged).select(REPO, hours_between("created_at", "merged_at").alias("h"))
-    agg = _with_quantiles(agg, hours, "h", ("median_merge_hours", "p90_merge_hours"))
-    out = _fill_counts(_repos(tables).join(agg, REPO, "left"), ["total", "open", "merged"])
-    return out.select(
-        REPO, "total", "open", "merged", "merge_rate", "median_merge_hours", "p90_merge_hours"
+    hours = p.where("merged_at IS NOT NULL").select(
+        REPO, hours_between("created_at", "merged_at").alias("h")
     )
+    q = interpolated_quantiles(hours, [REPO], "h", {f"{x}median": 0.5, f"{x}p90": 0.9})
+    return [agg, q]
+
+
+def _pr_cols(x: str = "p_") -> dict[str, str]:
+    return {
+        "total": f"coalesce({x}total, 0)",
+        "open": f"coalesce({x}open, 0)",
+        "merged": f"coalesce({x}merged, 0)",
+        # numerator: every merged PR (drafts too); denominator: closed non-drafts
+        "merge_rate": rate_sql(f"coalesce({x}merged, 0)", f"coalesce({x}closed_nd, 0)"),
+        "median_merge_hours": round1_sql(f"{x}median"),
+        "p90_merge_hours": round1_sql(f"{x}p90"),
+    }
+
+
+def pr_kpis(tables, window: Window, as_of: datetime | None = None) -> DataFrame:
+    m = merge_by_repo([_repos(tables), *_pr_parts(tables, window)])
+    return finish(m, _pr_cols())
 
 
 # --- contributor activity -------------------------------------------------------------
@@ -157,26 +212,37 @@ def activity(tables, window: Window, with_type: bool = False) -> DataFrame:
     return c.select(*cols_c).unionByName(p.select(*cols_p))
 
 
-def contributor_kpis(tables, window: Window, as_of: datetime) -> DataFrame:
-    """Distinct contributors, those active in the 90 days before the window end
-    (or ``as_of``), and the busiest contributor's share of all activity."""
+def _contributor_parts(tables, window: Window, as_of: datetime, x: str = "c_") -> list[DataFrame]:
     cutoff = window.end_or(as_of) - timedelta(days=90)
     per_author = (
         activity(tables, window)
         .groupBy(REPO, "author")
-        .agg(F.count(F.lit(1)).alias("events"), F.max("occurred_at").alias("last_at"))
-    )
-    agg = per_author.groupBy(REPO).agg(
-        F.count(F.lit(1)).alias("contributors"),
-        F.count_if(F.col("last_at") >= ts_lit(cutoff)).alias("active_90d"),
-        F.coalesce(rate(F.max("events"), F.sum("events")), F.lit(0.0)).alias(
-            "top_contributor_share"
-        ),
-    )
-    out = _repos(tables).join(agg, REPO, "left")
-    return out.fillna(0, subset=["contributors", "active_90d"]).fillna(
-        0.0, subset=["top_contributor_share"]
-    )
+        .agg(F.expr("count(1) AS events"), F.expr("max(occurred_at) AS last_at"))
+    )
+    return [
+        _agg(
+            per_author,
+            f"count(1) AS {x}contributors",
+            f"count_if(last_at >= {ts_sql(cutoff)}) AS {x}active",
+            f"max(events) AS {x}max_events",
+            f"sum(events) AS {x}sum_events",
+        )
+    ]
+
+
+def _contributor_cols(x: str = "c_") -> dict[str, str]:
+    return {
+        "contributors": f"coalesce({x}contributors, 0)",
+        "active_90d": f"coalesce({x}active, 0)",
+        "top_contributor_share": f"coalesce({rate_sql(f'{x}max_events', f'{x}sum_events')}, 0.0D)",
+    }
+
+
+def contributor_kpis(tables, window: Window, as_of: datetime) -> DataFrame:
+    """Distinct contributors, those active in the 90 days before the window end
+    (or ``as_of``), and the busiest contributor's share of all activity."""
+    m = merge_by_repo([_repos(tables), *_contributor_parts(tables, window, as_of)])
+    return finish(m, _contributor_cols())
 
 
 def monthly_activity(tables, window: Window) -> DataFrame:
@@ -298,127 +364,122 @@ def first_responses(items: DataFrame, events: DataFrame, number: str, event_time
     return others.groupBy(REPO, number).agg(F.min("t").alias("first_response_at"))
 
 
-def _response_kpis(
-    tables,
-    window: Window,
-    items: DataFrame,
-    events: DataFrame,
-    number: str,
-    event_time: str,
-    labels: tuple[str, str, str, str, str],
-) -> DataFrame:
-    count_l, median_l, p90_l, total_l, missing_l = labels
+ISSUE_RESPONSE = (
+    "responded_issues",
+    "median_first_response_hours",
+    "p90_first_response_hours",
+    "total_issues",
+    "no_response",
+)
+PR_RESPONSE = ("reviewed_prs", "median_first_review_hours", "p90_first_review_hours", "total_prs", "no_review")
+
+
+def _response_parts(
+    window: Window, items: DataFrame, events: DataFrame, number: str, event_time: str, x: str
+) -> list[DataFrame]:
     first = first_responses(items, events, number, event_time)
     scoped = items.where(window.contains("created_at")).select(REPO, number, "author", "created_at")
     joined = scoped.join(first, [REPO, number], "left")
-    responded = F.col("first_response_at").isNotNull() & F.col("author").isNotNull()
     # One pass: unresponded items carry a NULL duration, so the quantile pass
     # also yields the responded (non-NULL) and total (all rows) counts.
     hours = joined.select(
-        REPO, F.when(responded, hours_between("created_at", "first_response_at")).alias("h")
+        REPO,
+        F.expr(
+            "CASE WHEN first_response_at IS NOT NULL AND author IS NOT NULL THEN "
+            "CAST(floor(unix_seconds(first_response_at) / 60) - floor(unix_seconds(created_at) / 60)"
+            " AS DOUBLE) / 60.0D END AS h"
+        ),
     )
     q = interpolated_quantiles(
-        hours, [REPO], "h", {median_l: 0.5, p90_l: 0.9}, values_as=count_l, rows_as=total_l
+        hours, [REPO], "h", {f"{x}median": 0.5, f"{x}p90": 0.9}, values_as=f"{x}n", rows_as=f"{x}rows"
     )
-    out = _repos(tables).join(q, REPO, "left")
-    return out.selectExpr(
-        REPO,
-        f"coalesce({count_l}, 0) AS {count_l}",
-        f"{_round1(median_l)} AS {median_l}",
-        f"{_round1(p90_l)} AS {p90_l}",
-        f"coalesce({total_l}, 0) AS {total_l}",
-        f"coalesce({total_l}, 0) - coalesce({count_l}, 0) AS {missing_l}",
+    return [q]
+
+
+def _response_cols(labels: tuple[str, str, str, str, str], x: str) -> dict[str, str]:
+    count_l, median_l, p90_l, total_l, missing_l = labels
+    return {
+        count_l: f"coalesce({x}n, 0)",
+        median_l: round1_sql(f"{x}median"),
+        p90_l: round1_sql(f"{x}p90"),
+        total_l: f"coalesce({x}rows, 0)",
+        missing_l: f"coalesce({x}rows, 0) - coalesce({x}n, 0)",
+    }
+
+
+def _issue_response_parts(tables, window: Window, x: str = "ir_") -> list[DataFrame]:
+    return _response_parts(
+        window, tables.issues, tables.issue_comments, "issue_number", "created_at", x
     )
 
 
+def _pr_response_parts(tables, window: Window, x: str = "pr_") -> list[DataFrame]:
+    return _response_parts(window, tables.pull_requests, tables.pr_reviews, "pr_number", "submitted_at", x)
+
+
 def issue_response_kpis(tables, window: Window, as_of: datetime | None = None) -> DataFrame:
-    return _response_kpis(
-        tables,
-        window,
-        tables.issues,
-        tables.issue_comments,
-        "issue_number",
-        "created_at",
-        (
-            "responded_issues",
-            "median_first_response_hours",
-            "p90_first_response_hours",
-            "total_issues",
-            "no_response",
-        ),
-    )
+    m = merge_by_repo([_repos(tables), *_issue_response_parts(tables, window)])
+    return finish(m, _response_cols(ISSUE_RESPONSE, "ir_"))
 
 
 def pr_response_kpis(tables, window: Window, as_of: datetime | None = None) -> DataFrame:
-    return _response_kpis(
-        tables,
-        window,
-        tables.pull_requests,
-        tables.pr_reviews,
-        "pr_number",
-        "submitted_at",
-        (
-            "reviewed_prs",
-            "median_first_review_hours",
-            "p90_first_review_hours",
-            "total_prs",
-            "no_review",
-        ),
-    )
+    m = merge_by_repo([_repos(tables), *_pr_response_parts(tables, window)])
+    return finish(m, _response_cols(PR_RESPONSE, "pr_"))
 
 
 # --- M15 backlog ---------------------------------------------------------------------
 
 
-def backlog_kpis(tables, window: Window, as_of: datetime) -> DataFrame:
-    """Open items aged 30 / 90 days at the window end (start is ignored).
+BACKLOG_COUNTS = (
+    "open_issues", "issue_stale_30", "issue_stale_90", "open_prs", "pr_stale_30", "pr_stale_90"
+)
 
-    Percentages round half-to-even (``bround``), unlike the other rates.
-    """
+
+def _backlog_parts(tables, window: Window, as_of: datetime, x: str = "b_") -> list[DataFrame]:
     end = window.end_or(as_of)
-    before_end = F.col("created_at") < ts_lit(end)
+    before_end = F.expr(f"created_at < {ts_sql(end)} AND state = 'open'")
     both = (
-        tables.issues.where(before_end)
-        .select(REPO, "state", "created_at", F.lit("i").alias("k"))
+        tables.issues.where(before_end).select(REPO, "created_at", F.lit("i").alias("k"))
         .unionByName(
-            tables.pull_requests.where(before_end).select(
-                REPO, "state", "created_at", F.lit("p").alias("k")
-            )
+            tables.pull_requests.where(before_end).select(REPO, "created_at", F.lit("p").alias("k"))
         )
-        .where(F.col("state") == "open")
     )
-    k = F.col("k")
-    s30 = older_than("created_at", 30, end)
-    s90 = older_than("created_at", 90, end)
-    agg = both.groupBy(REPO).agg(
-        F.count_if(k == "i").alias("open_issues"),
-        F.count_if((k == "i") & s30).alias("issue_stale_30"),
-        F.count_if((k == "i") & s90).alias("issue_stale_90"),
-        F.count_if(k == "p").alias("open_prs"),
-        F.count_if((k == "p") & s30).alias("pr_stale_30"),
-        F.count_if((k == "p") & s90).alias("pr_stale_90"),
-    )
-    counts = [
-        "open_issues", "issue_stale_30", "issue_stale_90", "open_prs", "pr_stale_30", "pr_stale_90"
+    s30, s90 = ts_sql(end - timedelta(days=30)), ts_sql(end - timedelta(days=90))
+    return [
+        _agg(
+            both,
+            f"count_if(k = 'i') AS {x}open_issues",
+            f"count_if(k = 'i' AND created_at < {s30}) AS {x}issue_stale_30",
+            f"count_if(k = 'i' AND created_at < {s90}) AS {x}issue_stale_90",
+            f"count_if(k = 'p') AS {x}open_prs",
+            f"count_if(k = 'p' AND created_at < {s30}) AS {x}pr_stale_30",
+            f"count_if(k = 'p' AND created_at < {s90}) AS {x}pr_stale_90",
+        )
     ]
-    out = _fill_counts(_repos(tables).join(agg, REPO, "left"), counts)
 
-    def pct(num: str, den: str) -> Column:
-        return F.when(
-            F.col(den) > 0, round_half_even(F.lit(100.0) * F.col(num) / F.col(den), 1)
-        )
 
-    return out.select(
-        REPO,
-        "open_issues",
-        "issue_stale_30",
-        "issue_stale_90",
-        pct("issue_stale_90", "open_issues").alias("issue_backlog_90_pct"),
-        "open_prs",
-        "pr_stale_30",
-        "pr_stale_90",
-        pct("pr_stale_90", "open_prs").alias("pr_backlog_90_pct"),
-    )
+def _backlog_cols(x: str = "b_") -> dict[str, str]:
+    def pct(num: str, den: str) -> str:
+        # half-to-even on x*10, unlike the other rates
+        return f"CASE WHEN {den} > 0 THEN bround((100.0D * {num} / {den}) * 10.0D, 0) / 10.0D END"
+
+    c = {n: f"coalesce({x}{n}, 0)" for n in BACKLOG_COUNTS}
+    return {
+        "open_issues": c["open_issues"],
+        "issue_stale_30": c["issue_stale_30"],
+        "issue_stale_90": c["issue_stale_90"],
+        "issue_backlog_90_pct": pct(f"{x}issue_stale_90", f"{x}open_issues"),
+        "open_prs": c["open_prs"],
+        "pr_stale_30": c["pr_stale_30"],
+        "pr_stale_90": c["pr_stale_90"],
+        "pr_backlog_90_pct": pct(f"{x}pr_stale_90", f"{x}open_prs"),
+    }
+
+
+def backlog_kpis(tables, window: Window, as_of: datetime) -> DataFrame:
+    """Open items aged 30 / 90 days at the window end (start is ignored)."""
+    m = merge_by_repo([_repos(tables), *_backlog_parts(tables, window, as_of)])
+    return finish(m, _backlog_cols())
 
 
 # --- M16 comparison ----------------------------------------------------------------------
@@ -430,35 +491,35 @@ def comparison_kpis(
     """One row per repository. With an explicit ``repositories`` list, only those
     rows are returned and ``position`` keeps the caller's order (unknown names
     give a row of NULLs, like the reference's empty overview)."""
-    i = issue_kpis(tables, window, as_of).select(
-        REPO,
-        F.col("close_rate").alias("issue_close_rate"),
-        F.col("median_close_hours").alias("issue_median_close_hours"),
-    )
-    p = pr_kpis(tables, window).select(
-        REPO,
-        F.col("merge_rate").alias("pr_merge_rate"),
-        F.col("median_merge_hours").alias("pr_median_merge_hours"),
-    )
-    c = contributor_kpis(tables, window, as_of).select(REPO, "active_90d", "top_contributor_share")
-    o = tables.repositories.select(REPO, "language", "stars")
-    out = o.join(i, REPO).join(p, REPO).join(c, REPO)
-    cols = [
-        F.col(REPO).alias("repository"),
-        "language",
-        "stars",
-        "issue_close_rate",
-        "issue_median_close_hours",
-        "pr_merge_rate",
-        "pr_median_merge_hours",
-        "active_90d",
-        "top_contributor_share",
+    parts = [
+        tables.repositories.select(REPO, "language", "stars"),
+        *_issue_parts(tables, window, as_of),
+        *_pr_parts(tables, window),
+        *_contributor_parts(tables, window, as_of),
     ]
+    i, p, c = _issue_cols(), _pr_cols(), _contributor_cols()
+    out = finish(
+        merge_by_repo(parts),
+        {
+            "repository": REPO,
+            "language": "language",
+            "stars": "stars",
+            "issue_close_rate": i["close_rate"],
+            "issue_median_close_hours": i["median_close_hours"],
+            "pr_merge_rate": p["merge_rate"],
+            "pr_median_merge_hours": p["median_merge_hours"],
+            "active_90d": c["active_90d"],
+            "top_contributor_share": c["top_contributor_share"],
+        },
+        keep=(),
+    )
     if repositories is None:
-        return out.select(*cols)
+        return out
     # The requested list is typed by the caller, so its size is bounded by the
     # request itself; broadcasting it is safe at any data scale.
     order = out.sparkSession.createDataFrame(
-        [(name, idx) for idx, name in enumerate(repositories)], f"{REPO} string, position long"
+        [(name, idx) for idx, name in enumerate(repositories)], "repository string, position long"
+    )
+    return F.broadcast(order).join(out, "repository", "left").select(
+        "position", *[c for c in out.columns]
     )
-    return F.broadcast(order).join(out, REPO, "left").select("position", *cols)

@@ -17,15 +17,13 @@ from keelson.operators import kpis, rules
 from keelson.operators.kpis import REPO
 
 
-def _struct_of(df: DataFrame, name: str) -> DataFrame:
-    fields = [c for c in df.columns if c != REPO]
-    return df.select(REPO, F.struct(*fields).alias(name))
+def _named_struct(cols: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in cols.items()) + ")"
 
 
 def summary_json(tables, window: Window, as_of: datetime) -> DataFrame:
     """One JSON document per repository: overview, issue / PR / contributor KPIs,
     coverage rows and data-quality flags (NULL fields kept, timestamps ISO-Z)."""
-    ov = kpis.overview(tables).withColumn("fetched_at", iso_z("fetched_at"))
     coverage = cov.coverage(tables, tables.page_log)
     cov_rows = coverage.groupBy(REPO).agg(
         F.sort_array(
@@ -51,24 +49,33 @@ def summary_json(tables, window: Window, as_of: datetime) -> DataFrame:
             "data_quality"
         )
     )
-    doc = (
-        ov.select(REPO, F.struct(*[c for c in ov.columns]).alias("overview"))
-        .join(_struct_of(kpis.issue_kpis(tables, window, as_of), "issues"), REPO)
-        .join(_struct_of(kpis.pr_kpis(tables, window), "pull_requests"), REPO)
-        .join(_struct_of(kpis.contributor_kpis(tables, window, as_of), "contributors"), REPO)
-        .join(cov_rows, REPO, "left")
-        .join(flag_rows, REPO, "left")
+    repo_cols = tables.repositories.select(
+        REPO, *[c for c in kpis.REPO_COLUMNS if c != "fetched_at"], iso_z("fetched_at").alias("fetched_at")
     )
-    payload = F.struct(
-        F.col(REPO).alias("repository"),
-        "overview",
-        "issues",
-        "pull_requests",
-        "contributors",
-        F.coalesce("coverage", F.array()).alias("coverage"),
-        F.coalesce("data_quality", F.array()).alias("data_quality"),
+    parts = [
+        repo_cols,
+        *kpis._overview_parts(tables),
+        *kpis._issue_parts(tables, window, as_of),
+        *kpis._pr_parts(tables, window),
+        *kpis._contributor_parts(tables, window, as_of),
+        cov_rows,
+        flag_rows,
+    ]
+    overview_cols = {REPO: REPO, **{c: c for c in kpis.REPO_COLUMNS}, **kpis._overview_cols()}
+    payload = _named_struct(
+        {
+            "repository": REPO,
+            "overview": _named_struct(overview_cols),
+            "issues": _named_struct(kpis._issue_cols()),
+            "pull_requests": _named_struct(kpis._pr_cols()),
+            "contributors": _named_struct(kpis._contributor_cols()),
+            "coverage": "coalesce(coverage, array())",
+            "data_quality": "coalesce(data_quality, array())",
+        }
+    )
+    return kpis.merge_by_repo(parts).selectExpr(
+        REPO, f"to_json({payload}, map('ignoreNullFields', 'false')) AS summary"
     )
-    return doc.select(REPO, F.to_json(payload, {"ignoreNullFields": "false"}).alias("summary"))
 
 
 def write_summary(df: DataFrame, path: str) -> None:
