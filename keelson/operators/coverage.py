@@ -150,3 +150,40 @@ def coverage(tables, page_log: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) ->
         ),
         "refreshed_at",
     )
+
+
+# Display labels of completeness and scope.
+COMPLETENESS_LABELS = {True: "complete", False: "may be incomplete"}
+SCOPE_LABELS = {"trailing_180_days": "PRs of the last 180 days", "full_history": "full history"}
+
+
+def coverage_view(coverage: DataFrame, entity_labels: dict[str, str]) -> DataFrame:
+    """PRJ13: coverage rows relabelled for display (entity, completeness, scope)."""
+    label = F.create_map(*[F.lit(x) for kv in entity_labels.items() for x in kv])
+    scope = F.create_map(*[F.lit(x) for kv in SCOPE_LABELS.items() for x in kv])
+    return coverage.select(
+        REPO,
+        label[F.col("entity_type")].alias("entity"),
+        F.col("record_count").alias("records"),
+        F.col("first_observed_at").alias("first_record"),
+        F.col("last_observed_at").alias("last_record"),
+        F.col("pages_fetched").alias("pages_this_run"),
+        F.col("max_pages").alias("page_limit"),
+        F.when(F.col("history_complete"), COMPLETENESS_LABELS[True])
+        .otherwise(COMPLETENESS_LABELS[False])
+        .alias("history"),
+        scope[F.col("coverage_scope")].alias("scope"),
+    )
+
+
+def coverage_summary(coverage: DataFrame, runs: DataFrame) -> DataFrame:
+    """AGG19: per repository with coverage -- complete entities, entities,
+    records stored, latest refresh and the latest run's status."""
+    summary = coverage.groupBy(REPO).agg(
+        F.expr("count_if(history_complete) AS complete_entities"),
+        F.expr("count(1) AS entities"),
+        F.expr("sum(record_count) AS records_stored"),
+        F.expr("max(refreshed_at) AS latest_refresh"),
+    )
+    status = latest_run(runs).select(REPO, F.col("status").alias("latest_status"))
+    return summary.join(status, REPO, "left")
