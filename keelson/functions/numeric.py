@@ -56,6 +56,7 @@ def interpolated_quantiles(
     probs: dict[str, float],
     values_as: str | None = None,
     rows_as: str | None = None,
+    counts_if: dict[str, str] | None = None,
 ) -> DataFrame:
     """One row per group with one column per requested quantile (NULL if no values).
 
@@ -64,11 +65,15 @@ def interpolated_quantiles(
     durations in whole minutes that is bounded by the span of the data, not by
     the number of rows, which keeps a hot group's task small. NULL values are
     kept in the frequency table, so ``values_as`` / ``rows_as`` can return the
-    non-NULL and total row counts from the same pass.
+    non-NULL and total row counts from the same pass, and ``counts_if``
+    (``name -> SQL condition``) adds conditional row counts per group.
     """
+    counts_if = counts_if or {}
     keys_sql = ", ".join(f"`{k}`" for k in keys)
     v = f"`{value}`"
-    freq = df.groupBy(*keys, value).agg(F.expr("count(1) AS _c"))
+    freq = df.groupBy(*keys, value).agg(
+        F.expr("count(1) AS _c"), *[F.expr(f"count_if({c}) AS `{n}`") for n, c in counts_if.items()]
+    )
     ranked = freq.selectExpr(
         "*",
         f"coalesce(sum(CASE WHEN {v} IS NOT NULL THEN _c END) OVER (PARTITION BY {keys_sql} "
@@ -86,6 +91,7 @@ def interpolated_quantiles(
             f"max({rn} - floor({rn})) AS _{name}_d",
         ]
     aggs += ["max(_n) AS _n", "max(_rows) AS _rows"]
+    aggs += [f"sum(`{n}`) AS `{n}`" for n in counts_if]
     out = ranked.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
     counts = []
     if values_as:
@@ -101,4 +107,5 @@ def interpolated_quantiles(
             for n in probs
         ],
         *counts,
+        *[f"`{n}`" for n in counts_if],
     )

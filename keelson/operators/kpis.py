@@ -124,23 +124,36 @@ def overview(tables) -> DataFrame:
 # --- M3 / M4 --------------------------------------------------------------------------
 
 
+def _hours_sql(start: str, end: str) -> str:
+    return (
+        f"CAST(floor(unix_seconds({end}) / 60) - floor(unix_seconds({start}) / 60) AS DOUBLE) / 60.0D"
+    )
+
+
 def _issue_parts(tables, window: Window, as_of: datetime, x: str = "i_") -> list[DataFrame]:
+    """Counts and close-time quantiles in one pass over the windowed issues."""
     end = window.end_or(as_of)
-    i = tables.issues.where(window.contains("created_at")).select(
-        REPO, "state", "created_at", "closed_at"
-    )
-    agg = _agg(
-        i,
-        f"count(1) AS {x}total",
-        f"count_if(state = 'open') AS {x}open",
-        f"count_if(state = 'closed') AS {x}closed",
-        f"count_if(state = 'open' AND created_at < {ts_sql(end - timedelta(days=90))}) AS {x}stale",
+    rows = tables.issues.where(window.contains("created_at")).select(
+        REPO,
+        "state",
+        "created_at",
+        F.expr(
+            f"CASE WHEN closed_at IS NOT NULL THEN {_hours_sql('created_at', 'closed_at')} END AS h"
+        ),
     )
-    hours = i.where("closed_at IS NOT NULL").select(
-        REPO, hours_between("created_at", "closed_at").alias("h")
+    q = interpolated_quantiles(
+        rows,
+        [REPO],
+        "h",
+        {f"{x}median": 0.5, f"{x}p90": 0.9},
+        rows_as=f"{x}total",
+        counts_if={
+            f"{x}open": "state = 'open'",
+            f"{x}closed": "state = 'closed'",
+            f"{x}stale": f"state = 'open' AND created_at < {ts_sql(end - timedelta(days=90))}",
+        },
     )
-    q = interpolated_quantiles(hours, [REPO], "h", {f"{x}median": 0.5, f"{x}p90": 0.9})
-    return [agg, q]
+    return [q]
 
 
 def _issue_cols(x: str = "i_") -> dict[str, str]:
@@ -163,21 +176,29 @@ def issue_kpis(tables, window: Window, as_of: datetime) -> DataFrame:
 
 
 def _pr_parts(tables, window: Window, x: str = "p_") -> list[DataFrame]:
-    p = tables.pull_requests.where(window.contains("created_at")).select(
-        REPO, "state", "draft", "created_at", "closed_at", "merged_at"
-    )
-    agg = _agg(
-        p,
-        f"count(1) AS {x}total",
-        f"count_if(state = 'open') AS {x}open",
-        f"count_if(merged_at IS NOT NULL) AS {x}merged",
-        f"count_if(NOT draft AND closed_at IS NOT NULL) AS {x}closed_nd",
+    """Counts and merge-time quantiles in one pass over the windowed PRs."""
+    rows = tables.pull_requests.where(window.contains("created_at")).select(
+        REPO,
+        "state",
+        "draft",
+        "closed_at",
+        F.expr(
+            f"CASE WHEN merged_at IS NOT NULL THEN {_hours_sql('created_at', 'merged_at')} END AS h"
+        ),
     )
-    hours = p.where("merged_at IS NOT NULL").select(
-        REPO, hours_between("created_at", "merged_at").alias("h")
+    q = interpolated_quantiles(
+        rows,
+        [REPO],
+        "h",
+        {f"{x}median": 0.5, f"{x}p90": 0.9},
+        values_as=f"{x}merged",
+        rows_as=f"{x}total",
+        counts_if={
+            f"{x}open": "state = 'open'",
+            f"{x}closed_nd": "NOT draft AND closed_at IS NOT NULL",
+        },
     )
-    q = interpolated_quantiles(hours, [REPO], "h", {f"{x}median": 0.5, f"{x}p90": 0.9})
-    return [agg, q]
+    return [q]
 
 
 def _pr_cols(x: str = "p_") -> dict[str, str]:
