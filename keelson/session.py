@@ -46,12 +46,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when it is unset (local tests) do we create a private folder under the
     system temp dir and register it, so lineage can be cut with ``checkpoint()``.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        # Unset (local tests only): a private folder, registered for checkpoint().
         current = tempfile.mkdtemp(prefix="keelson-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
         spark.sparkContext.setCheckpointDir(current)
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)

@@ -9,7 +9,6 @@ would land pages. Queries then read them with :func:`keelson.sources.feeds.read_
 
 from __future__ import annotations
 
-import hashlib
 import os
 
 from pyspark.sql import DataFrame
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from keelson.schemas import ENVELOPE, RAW
 from keelson.session import scratch_path
 from keelson.sources import testfeeds
-from keelson.sources.warehouse import _fs_exists
+from keelson.sources.warehouse import _fs_exists, fingerprint, publish
 
 # Landed feeds, their builders and folder partitioning.
 FEEDS = {
@@ -40,8 +39,7 @@ def records(feed: DataFrame, entity: str) -> DataFrame:
 
 
 def landing_root(b) -> str:
-    tag = hashlib.sha1(os.path.abspath(b.sf_dir).encode()).hexdigest()[:12]
-    return scratch_path(b.spark, f"landing-{tag}")
+    return scratch_path(b.spark, f"landing-{fingerprint(b.sf_dir)}")
 
 
 def land(b, entity: str) -> str:
@@ -51,8 +49,8 @@ def land(b, entity: str) -> str:
         builder, part = FEEDS[entity]
         out = records(builder(b), entity)
         n = b.spark.sparkContext.defaultParallelism
-        writer = out.repartition(n, "arrival_seq").write.mode("overwrite")
+        writer = out.repartition(n, "arrival_seq").write
         if part:
             writer = writer.partitionBy(part)
-        writer.json(path)
+        publish(b.spark, writer.json, path)
     return path

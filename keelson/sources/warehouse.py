@@ -7,13 +7,16 @@ machine-local path on a cluster); later queries reuse them. Each table is
 hash-partitioned on its natural key (unique, hence skew-free) into one file
 per core of the cluster, and sorted by time within files so Parquet
 row-group statistics let time-window filters skip data.
-A table counts as present only when its ``_SUCCESS`` marker exists.
+A table counts as present only when its ``_SUCCESS`` marker exists; tables
+are published by an atomic rename, and the folder name carries a fingerprint
+of the inputs and of the deriving code.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,10 +37,31 @@ LAYOUT = {
 }
 
 
-def _fs_exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _fs_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def publish(spark: SparkSession, write, path: str) -> None:
+    """Write to a private temporary folder, then rename it into place.
+
+    The rename is atomic on HDFS-like and local file systems, so readers see
+    either no table or a complete one; if a concurrent run published first,
+    its (identical) table is kept and ours is discarded.
+    """
+    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+    write(tmp)
+    src, fs = _fs(spark, tmp)
+    dst, _ = _fs(spark, path)
+    if not fs.exists(dst) and fs.rename(src, dst):
+        return
+    fs.delete(src, True)
 
 
 def write_table(df: DataFrame, path: str, keys: tuple[str, ...], time_col: str | None) -> None:
@@ -47,7 +71,7 @@ def write_table(df: DataFrame, path: str, keys: tuple[str, ...], time_col: str |
     out = df.repartition(n, *keys)
     if time_col:
         out = out.sortWithinPartitions(time_col)
-    out.write.mode("overwrite").parquet(path)
+    publish(df.sparkSession, lambda target: out.write.parquet(target), path)
 
 
 def store(spark: SparkSession, source, root: str) -> Tables:
@@ -64,14 +88,33 @@ def store(spark: SparkSession, source, root: str) -> Tables:
 _OPENED: dict[tuple[str, str], Tables] = {}
 
 
+_SOURCES = ("bindings.py", "testfeeds.py", "warehouse.py", "landing.py", "feeds.py")
+
+
+def fingerprint(sf_dir: str) -> str:
+    """Tag of derived folders: the input files (name, size, mtime) and the code
+    that derives from them, so a change to either never reuses stale tables."""
+    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    try:
+        for name in sorted(os.listdir(sf_dir)):
+            st = os.stat(os.path.join(sf_dir, name))
+            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+    except OSError:
+        pass  # non-local input: the path and the code still identify it
+    here = os.path.dirname(os.path.abspath(__file__))
+    for src in _SOURCES:
+        with open(os.path.join(here, src), "rb") as f:
+            h.update(f.read())
+    return h.hexdigest()[:16]
+
+
 def stored_tables(bindings) -> Tables:
     """Stored entities for a testdata folder, materialised on first use.
 
     Opened tables are remembered per (application, folder) so repeated queries
     in one session skip re-listing the files; a missing marker reopens them."""
     spark = bindings.spark
-    tag = hashlib.sha1(os.path.abspath(bindings.sf_dir).encode()).hexdigest()[:12]
-    root = scratch_path(spark, f"warehouse-{tag}")
+    root = scratch_path(spark, f"warehouse-{fingerprint(bindings.sf_dir)}")
     key = (spark.sparkContext.applicationId, root)
     cached = _OPENED.get(key)
     if cached is not None and _fs_exists(spark, os.path.join(root, "page_log", "_SUCCESS")):
