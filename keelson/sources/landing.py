@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from keelson.schemas import ENVELOPE, RAW
 from keelson.session import scratch_path
 from keelson.sources import testfeeds
-from keelson.sources.warehouse import _fs_exists, fingerprint, publish
+from keelson.sources.warehouse import _fs_exists, file_count, fingerprint, publish
 
 # Landed feeds, their builders and folder partitioning.
 FEEDS = {
@@ -48,8 +48,7 @@ def land(b, entity: str) -> str:
     if not _fs_exists(b.spark, os.path.join(path, "_SUCCESS")):
         builder, part = FEEDS[entity]
         out = records(builder(b), entity)
-        n = b.spark.sparkContext.defaultParallelism
-        writer = out.repartition(n, "arrival_seq").write
+        writer = out.repartition(file_count(out), "arrival_seq").write
         if part:
             writer = writer.partitionBy(part)
         publish(b.spark, writer.json, path)

@@ -4,9 +4,9 @@ In a deployment the ingest job writes the normalised entity tables and every
 metric reads them. Here the first query over a testdata folder writes them
 into the shared folder named by ``spark.checkpoint.dir`` (never a
 machine-local path on a cluster); later queries reuse them. Each table is
-hash-partitioned on its natural key (unique, hence skew-free) into one file
-per core of the cluster, and sorted by time within files so Parquet
-row-group statistics let time-window filters skip data.
+hash-partitioned on its natural key (unique, hence skew-free) into files of
+about 256 MB (at least one per core), and sorted by time within files so
+Parquet row-group statistics let time-window filters skip data.
 A table counts as present only when its ``_SUCCESS`` marker exists; tables
 are published by an atomic rename, and the folder name carries a fingerprint
 of the inputs and of the deriving code.
@@ -64,11 +64,24 @@ def publish(spark: SparkSession, write, path: str) -> None:
     fs.delete(src, True)
 
 
+TARGET_FILE_BYTES = 256 * 1024 * 1024
+MAX_FILES = 200_000
+
+
+def file_count(df: DataFrame) -> int:
+    """Files to write: about 256 MB each by Catalyst's size estimate, and at
+    least one per core so every later scan uses the whole cluster."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # estimate unavailable: fall back to the core count
+        est = 0
+    return int(min(MAX_FILES, max(cores, -(-est // TARGET_FILE_BYTES))))
+
+
 def write_table(df: DataFrame, path: str, keys: tuple[str, ...], time_col: str | None) -> None:
-    # Hash on the natural key (unique per row, so no skew) into one file per
-    # core of the cluster; on a large cluster that is thousands of files.
-    n = df.sparkSession.sparkContext.defaultParallelism
-    out = df.repartition(n, *keys)
+    # Hash on the natural key (unique per row, so no skew).
+    out = df.repartition(file_count(df), *keys)
     if time_col:
         out = out.sortWithinPartitions(time_col)
     publish(df.sparkSession, lambda target: out.write.parquet(target), path)
