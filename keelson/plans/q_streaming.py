@@ -14,7 +14,9 @@ from keelson.plans.q_ingest import UPSERT_COMMITS_SQL
 from keelson.schemas import ENVELOPE, RAW
 from keelson.session import scratch_path
 from keelson.sources import feeds, landing
+from keelson.sources.warehouse import table_path
 from keelson.streaming.activity import run_activity_stream
+from keelson.streaming.coverage import fold as coverage_fold
 from keelson.streaming.upsert import run_upsert_stream
 
 
@@ -58,3 +60,33 @@ def _stream_upsert_commits(b):
         os.path.join(base, "checkpoint"),
         lambda current, batch: upsert(current, batch, "commits"),
     )
+
+
+@register(
+    "stream_coverage_fold",
+    with_bindings(
+        """
+, stats AS (
+  SELECT repo_full_name, entity_type, run_day, count(*) AS pages,
+         bool_or(items = 100) AS truncated, max(fetched_at) AS refreshed_at
+  FROM page_log GROUP BY repo_full_name, entity_type, run_day)
+SELECT repo_full_name, entity_type, max(run_day) AS last_run_day,
+       arg_max(pages, run_day) AS last_pages, arg_max(truncated, run_day) AS last_truncated,
+       bool_or(truncated) AS ever_truncated, max(refreshed_at) AS refreshed_at
+FROM stats GROUP BY repo_full_name, entity_type"""
+    ),
+    "INC7: streaming history-completeness fold over the page log (foreachBatch state)",
+)
+def _stream_coverage_fold(b):
+    spark = b.spark
+    base = scratch_path(spark, f"coverage-stream-{uuid.uuid4().hex}")
+    # The stored page log is consumed as a file stream, a few files per batch.
+    source = table_path(b, "page_log")
+    schema = b.stored().page_log.schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(source)
+    return run_upsert_stream(
+        stream,
+        os.path.join(base, "state"),
+        os.path.join(base, "checkpoint"),
+        coverage_fold,
+    )

@@ -134,3 +134,9 @@ def stored_tables(bindings) -> Tables:
         return cached
     _OPENED[key] = store(spark, bindings, root)
     return _OPENED[key]
+
+
+def table_path(bindings, name: str) -> str:
+    """Folder of one stored entity table (materialising the tables if needed)."""
+    stored_tables(bindings)
+    return os.path.join(scratch_path(bindings.spark, f"warehouse-{fingerprint(bindings.sf_dir)}"), name)

@@ -33,3 +33,25 @@ def test_stream_upsert_equals_batch_upsert(spark):
     streamed = q["stream_upsert_commits"](spark, SF)
     batch = q["upsert_commits"](spark, SF)
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def test_streamed_coverage_fold_equals_batch_fold(spark):
+    import __spark_entry__ as E
+
+    from keelson.streaming.coverage import fold
+
+    streamed = E.queries()["stream_coverage_fold"](spark, SF)
+    b = Bindings(spark, SF)
+    batch = fold(None, b.stored().page_log).select(*streamed.columns)
+    batch = batch.withColumn("refreshed_at", F.col("refreshed_at").cast("timestamp_ntz"))
+    assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def test_fold_is_associative_across_batches(spark):
+    from keelson.streaming.coverage import fold
+
+    log = Bindings(spark, SF).stored().page_log
+    early = F.col("run_day") < F.lit("2024-01-10").cast("date")
+    split = fold(fold(None, log.where(early)), log.where(~early))
+    whole = fold(None, log)
+    assert split.exceptAll(whole).count() == 0 and whole.exceptAll(split).count() == 0
