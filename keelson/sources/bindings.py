@@ -10,10 +10,12 @@ columns and pushes filters into the scan for each metric separately.
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,16 @@ class Bindings:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Spread a scan over all cores when its files yield fewer splits than
+        cores (e.g. a single-row-group file), so the derivation is parallel.
+        Sources with at least one split per core -- any large input -- are
+        left alone, so this never adds a shuffle at scale."""
+        cores = self.spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
+
     # --- dimensions ---------------------------------------------------------------
 
     @cached_property
@@ -86,8 +98,10 @@ class Bindings:
 
     @cached_property
     def _items(self) -> DataFrame:
-        orders = self.table("orders").select(
-            "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
+        orders = self.spread(
+            self.table("orders").select(
+                "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
+            )
         )
         customer = self.table("customer").select("c_custkey", "c_nationkey")
         number = F.col("o_orderkey")
@@ -156,8 +170,10 @@ class Bindings:
 
     @cached_property
     def item_events(self) -> DataFrame:
-        li = self.table("lineitem").select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"
+        li = self.spread(
+            self.table("lineitem").select(
+                "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"
+            )
         )
         supp = F.col("l_suppkey")
         s = supp.cast("string")
@@ -210,7 +226,7 @@ class Bindings:
 
     @cached_property
     def _ev(self) -> DataFrame:
-        return self.events_with_repo(self.table("events"))
+        return self.events_with_repo(self.spread(self.table("events")))
 
     def events_with_repo(self, events: DataFrame) -> DataFrame:
         """Attach the repository to raw events (batch or streaming) via the
@@ -296,6 +312,21 @@ class Bindings:
         ).withColumn("limit_hit", F.col("items") == 100)
 
 
+    @contextmanager
+    def shared_inputs(self):
+        """Persist the two joins every bound entity derives from (orders with
+        their repository, events with their repository) while several entities
+        are written, then release them. Lost cached blocks are recomputed from
+        lineage, so this is safe under executor loss."""
+        shared = [self._items, self._ev]
+        for df in shared:
+            df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield self
+        finally:
+            for df in shared:
+                df.unpersist()
+
     def stored(self):
         """The entity tables materialised as Parquet (see :mod:`keelson.sources.warehouse`)."""
         if "_stored" not in self.__dict__:

@@ -15,6 +15,7 @@ of the inputs and of the deriving code.
 from __future__ import annotations
 
 import hashlib
+from contextlib import nullcontext
 import os
 import uuid
 
@@ -89,13 +90,16 @@ def write_table(df: DataFrame, path: str, keys: tuple[str, ...], time_col: str |
 
 def store(spark: SparkSession, source, root: str) -> Tables:
     """Write every entity of ``source`` (missing ones only) and return the stored tables."""
-    frames = {}
-    for name, (keys, time_col) in LAYOUT.items():
-        path = os.path.join(root, name)
-        if not _fs_exists(spark, os.path.join(path, "_SUCCESS")):
-            write_table(getattr(source, name), path, keys, time_col)
-        frames[name] = spark.read.parquet(path)
-    return Tables(**frames)
+    missing = [
+        name for name in LAYOUT if not _fs_exists(spark, os.path.join(root, name, "_SUCCESS"))
+    ]
+    if missing:
+        shared = source.shared_inputs() if hasattr(source, "shared_inputs") else nullcontext()
+        with shared:
+            for name in missing:
+                keys, time_col = LAYOUT[name]
+                write_table(getattr(source, name), os.path.join(root, name), keys, time_col)
+    return Tables(**{name: spark.read.parquet(os.path.join(root, name)) for name in LAYOUT})
 
 
 _OPENED: dict[tuple[str, str], Tables] = {}
