@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keelson.functions.numeric import interpolated_quantiles, round_half_away, round_half_even
+from keelson.functions.numeric import quantiles, round_half_away, round_half_even
 from keelson.functions.predicates import not_bot, older_than
 from keelson.functions.time import (
     Window,
@@ -141,7 +141,7 @@ def _issue_parts(tables, window: Window, as_of: datetime, x: str = "i_") -> list
             f"CASE WHEN closed_at IS NOT NULL THEN {_hours_sql('created_at', 'closed_at')} END AS h"
         ),
     )
-    q = interpolated_quantiles(
+    q = quantiles(
         rows,
         [REPO],
         "h",
@@ -186,7 +186,7 @@ def _pr_parts(tables, window: Window, x: str = "p_") -> list[DataFrame]:
             f"CASE WHEN merged_at IS NOT NULL THEN {_hours_sql('created_at', 'merged_at')} END AS h"
         ),
     )
-    q = interpolated_quantiles(
+    q = quantiles(
         rows,
         [REPO],
         "h",
@@ -411,7 +411,7 @@ def _response_parts(
             " AS DOUBLE) / 60.0D END AS h"
         ),
     )
-    q = interpolated_quantiles(
+    q = quantiles(
         hours, [REPO], "h", {f"{x}median": 0.5, f"{x}p90": 0.9}, values_as=f"{x}n", rows_as=f"{x}rows"
     )
     return [q]
