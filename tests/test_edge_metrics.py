@@ -195,3 +195,18 @@ def test_maintainer_task_priorities(spark):
     assert out[("PR", 9)]["reason"] == "awaiting_first_review" and out[("PR", 9)]["priority"] == "high"
     assert out[("Issue", 1)]["url"] == "https://github.com/owner/repo/issues/1"
     assert c < NOW
+
+
+def test_tasks_do_not_mix_repositories_with_equal_numbers(spark):
+    # N20: the responded set must be keyed by (repository, number)
+    c = ago(40)
+    t = make_tables(
+        spark,
+        repos=("a/x", "b/y"),
+        issues=[issue(1, c, repo="a/x"), issue(1, c, repo="b/y")],
+        comments=[("a/x", 1, 1, "bob", c + timedelta(hours=3))],
+    )
+    out = {r["repo_full_name"]: r for r in tasks.maintainer_tasks(t, ALL, NOW).collect()}
+    assert out["a/x"]["reason"] == "open_30d" and out["a/x"]["priority"] == "medium"
+    assert out["b/y"]["reason"] == "no_response_7d" and out["b/y"]["priority"] == "high"
+    assert out["b/y"]["url"] == "https://github.com/b/y/issues/1"
