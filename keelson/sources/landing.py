@@ -53,3 +53,11 @@ def land(b, entity: str) -> str:
             writer = writer.partitionBy(part)
         publish(b.spark, writer.json, path)
     return path
+
+
+def land_all(b) -> None:
+    """Land every feed (missing ones only) as concurrent Spark jobs."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=len(FEEDS)) as pool:
+        list(pool.map(lambda name: land(b, name), FEEDS))

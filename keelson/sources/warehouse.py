@@ -15,6 +15,7 @@ of the inputs and of the deriving code.
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import nullcontext
 import os
 import uuid
@@ -66,6 +67,7 @@ def publish(spark: SparkSession, write, path: str) -> None:
 
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
+WRITERS = 4  # concurrent table-writing jobs
 MAX_FILES = 200_000
 
 
@@ -95,10 +97,14 @@ def store(spark: SparkSession, source, root: str) -> Tables:
     ]
     if missing:
         shared = source.shared_inputs() if hasattr(source, "shared_inputs") else nullcontext()
-        with shared:
-            for name in missing:
-                keys, time_col = LAYOUT[name]
-                write_table(getattr(source, name), os.path.join(root, name), keys, time_col)
+
+        def write(name: str) -> None:
+            keys, time_col = LAYOUT[name]
+            write_table(getattr(source, name), os.path.join(root, name), keys, time_col)
+
+        # Independent tables are written as concurrent Spark jobs.
+        with shared, ThreadPoolExecutor(max_workers=WRITERS) as pool:
+            list(pool.map(write, missing))
     return Tables(**{name: spark.read.parquet(os.path.join(root, name)) for name in LAYOUT})
 
 
