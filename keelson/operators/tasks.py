@@ -12,10 +12,10 @@ from keelson.functions.predicates import older_than
 from keelson.functions.time import Window, days_between, ts_lit
 from keelson.operators.kpis import REPO, first_responses
 
-# Task codes (the reference shows localised text for these).
+# Priority codes (the reference shows localised text for these)
+# and the base of item links, ``<base><repo>/issues/<n>`` and ``<base><repo>/pull/<n>``.
 HIGH, MEDIUM = "high", "medium"
-ISSUE_URL = "https://github.com/{repo}/issues/{n}"
-PR_URL = "https://github.com/{repo}/pull/{n}"
+ITEM_URL_BASE = "https://github.com/"
 
 
 def _responded(
@@ -34,7 +34,7 @@ def _responded(
 
 def _url(kind: str, number: str):
     return F.concat(
-        F.lit("https://github.com/"), F.col(REPO), F.lit(f"/{kind}/"), F.col(number).cast("string")
+        F.lit(ITEM_URL_BASE), F.col(REPO), F.lit(f"/{kind}/"), F.col(number).cast("string")
     )
 
 
