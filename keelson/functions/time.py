@@ -156,8 +156,3 @@ def parse_timestamp(column: str | Column) -> Column:
         F.coalesce(iso, rfc)
     )
 
-
-def to_ntz(column: str | Column) -> Column:
-    """Cast a UTC timestamp to ``timestamp_ntz`` (plain wall clock) for export."""
-    c = F.col(column) if isinstance(column, str) else column
-    return c.cast("timestamp_ntz")

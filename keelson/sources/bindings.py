@@ -335,6 +335,3 @@ class Bindings:
             self.__dict__["_stored"] = stored_tables(self)
         return self.__dict__["_stored"]
 
-
-def bind(spark: SparkSession, sf_dir: str) -> Bindings:
-    return Bindings(spark, sf_dir)

@@ -192,3 +192,10 @@ def test_collection_result_lists_truncated_entities(spark):
     r = rows(inc.collection_results(t.page_log))["owner/repo"]
     assert r["truncated_entities"] == "commits,issues"
     assert r["total_loaded"] == 203 and r["pr_reviews_loaded"] == 0
+
+
+def test_repository_exists_marks_incremental_runs(spark):
+    t = make_tables(spark, repos=("a/x",))
+    cand = spark.createDataFrame([("a/x",), ("new/repo",)], "repo_full_name string")
+    got = {r["repo_full_name"]: r["is_incremental"] for r in inc.repository_exists(t, cand).collect()}
+    assert got == {"a/x": True, "new/repo": False}
