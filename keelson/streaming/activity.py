@@ -30,11 +30,20 @@ def event_stream(spark: SparkSession, source_dir: str, schema: StructType, glob:
     return reader.parquet(source_dir)
 
 
-def activity_counts(events: DataFrame, delay: str = "5 minutes", size: str = "1 day") -> DataFrame:
-    """Windowed counts; ``events`` needs repo_full_name, ts (timestamp), event_type."""
+def activity_counts(
+    events: DataFrame, delay: str = "5 minutes", size: str = "1 day", key: str | None = "event_id"
+) -> DataFrame:
+    """Windowed counts; ``events`` needs repo_full_name, ts (timestamp), event_type.
+
+    Events re-landed by the collector's cursor overlap are dropped by ``key``
+    with ``dropDuplicatesWithinWatermark`` (first arrival wins; events are
+    immutable), whose state is also bounded by the watermark.
+    """
+    watermarked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    if key:
+        watermarked = watermarked.dropDuplicatesWithinWatermark([key])
     return (
-        events.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", delay)
+        watermarked
         .groupBy(REPO, F.window("ts", size).alias("w"), F.col("event_type").alias("activity_type"))
         .agg(F.count(F.lit(1)).alias("activity_count"))
         .select(
@@ -47,11 +56,16 @@ def activity_counts(events: DataFrame, delay: str = "5 minutes", size: str = "1
     )
 
 
-def run_activity_stream(b: Bindings, out_dir: str, delay: str = "5 minutes") -> DataFrame:
+def run_activity_stream(
+    b: Bindings, out_dir: str, delay: str = "5 minutes", source_dir: str | None = None
+) -> DataFrame:
     """Run the stream over everything available now, then return the sink."""
     spark = b.spark
     schema = b.table("events").schema
-    stream = event_stream(spark, b.sf_dir, schema, glob="events.parquet")
+    if source_dir is None:
+        stream = event_stream(spark, b.sf_dir, schema, glob="events.parquet")
+    else:
+        stream = event_stream(spark, source_dir, schema)
     counts = activity_counts(b.events_with_repo(stream), delay)
     sink = os.path.join(out_dir, "sink")
     query = (

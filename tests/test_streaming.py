@@ -55,3 +55,14 @@ def test_fold_is_associative_across_batches(spark):
     split = fold(fold(None, log.where(early)), log.where(~early))
     whole = fold(None, log)
     assert split.exceptAll(whole).count() == 0 and whole.exceptAll(split).count() == 0
+
+
+def test_relanded_events_are_counted_once(spark):
+    b = Bindings(spark, SF)
+    landing = scratch_path(spark, f"t-dup-{uuid.uuid4().hex}")
+    events = b.table("events")
+    events.unionByName(events).coalesce(1).write.parquet(landing)  # every event landed twice
+    streamed = run_activity_stream(b, scratch_path(spark, f"t-dupact-{uuid.uuid4().hex}"), source_dir=landing)
+    clean = run_activity_stream(b, scratch_path(spark, f"t-act-{uuid.uuid4().hex}"))
+    assert streamed.count() > 0
+    assert streamed.exceptAll(clean).count() == 0 and clean.exceptAll(streamed).count() == 0
