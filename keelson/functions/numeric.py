@@ -13,7 +13,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _SPLIT = 134217729.0  # 2**27 + 1, Veltkamp splitter for IEEE doubles

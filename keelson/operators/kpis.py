@@ -21,29 +21,17 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keelson.functions.numeric import quantiles, round_half_away, round_half_even
-from keelson.functions.predicates import not_bot, older_than
-from keelson.functions.time import (
-    Window,
-    ts_sql,
-    hours_between,
-    month_start,
-    months_between_starts,
-    ts_lit,
-)
+from keelson.functions.numeric import quantiles, round_half_away
+from keelson.functions.predicates import not_bot
+from keelson.functions.time import Window, month_start, months_between_starts, ts_sql
 
 REPO = "repo_full_name"
 
 
-def rate(num: Column, den: Column) -> Column:
-    """``round(100.0 * num / nullif(den, 0), 1)`` as DOUBLE."""
-    return round_half_away(F.lit(100.0) * num / F.nullif(den, F.lit(0)), 1)
-
-
 def round1_sql(x: str) -> str:
     """SQL text of the reference engine's ``round(x, 1)`` for DOUBLE."""
     return f"round(({x}) * 10.0D, 0) / 10.0D"
