@@ -46,6 +46,11 @@ def _repos(tables) -> DataFrame:
     return tables.repositories.select(REPO)
 
 
+def for_repository(df: DataFrame, repository: str) -> DataFrame:
+    """FLT1: one repository's rows of any all-repositories result (a pushed-down filter)."""
+    return df.where(F.col(REPO) == repository)
+
+
 def merge_by_repo(parts: list[DataFrame]) -> DataFrame:
     """Combine one-row-per-repository frames without joins.
 

@@ -210,3 +210,9 @@ def test_tasks_do_not_mix_repositories_with_equal_numbers(spark):
     assert out["a/x"]["reason"] == "open_30d" and out["a/x"]["priority"] == "medium"
     assert out["b/y"]["reason"] == "no_response_7d" and out["b/y"]["priority"] == "high"
     assert out["b/y"]["url"] == "https://github.com/b/y/issues/1"
+
+
+def test_single_repository_is_a_filter(spark):
+    t = make_tables(spark, repos=("a/x", "b/y"), issues=[issue(1, ago(3), repo="a/x")])
+    one = kpis.for_repository(kpis.issue_kpis(t, ALL, NOW), "a/x").collect()
+    assert len(one) == 1 and one[0]["total"] == 1
