@@ -35,10 +35,21 @@ def duck():
     return con
 
 
+# Spark type name -> the oracle engine's type name.
+TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+    "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE",
+}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(ORACLE[name])
+    want_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    got_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert got_types == want_types
     cur = duck.execute(ORACLE[name])
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
