@@ -110,12 +110,14 @@ def test_repository_ids(spark):
 
 def test_time_parsing_and_formatting(spark):
     df = spark.createDataFrame(
-        [("2026-06-15T08:30:00Z",), ("2026-06-15T20:00:00+08:00",), ("Mon, 15 Jun 2026 08:30:00 GMT",), ("junk",), ("",)],
+        [("2026-06-15T08:30:00Z",), ("2026-06-15T20:00:00+08:00",), ("Mon, 15 Jun 2026 08:30:00 GMT",), ("junk",), ("",),
+         ("2026-06-15T08:30:00",)],
         "s string",
     )
     out = [r[0] for r in df.select(parse_timestamp("s")).collect()]
     assert out[:3] == [datetime(2026, 6, 15, 8, 30), datetime(2026, 6, 15, 12, 0), datetime(2026, 6, 15, 8, 30)]
-    assert out[3:] == [None, None]
+    assert out[3:5] == [None, None]
+    assert out[5] == datetime(2026, 6, 15, 8, 30)  # naive text is taken as UTC
     assert df.select(iso_z(parse_timestamp("s"))).first()[0] == "2026-06-15T08:30:00Z"
 
 
