@@ -163,7 +163,7 @@ def top_k(
         .withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
     )
     asked = clean.where("asks").select("vec_id", "vector").distinct()
-    asked_once = asked.groupBy("vector").agg(F.min("vec_id").alias("query"))
+    asked_once = cut(asked.select("vector").distinct().withColumn("query", F.monotonically_increasing_id()))
 
     width = max(1, clean.agg(F.max(F.size("vector"))).first()[0] or 0)
     if width > MAX_WIDTH:

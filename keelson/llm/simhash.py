@@ -120,6 +120,7 @@ def plan(sample: np.ndarray, total: int, max_bits: int) -> list[tuple[int, int]]
     sum ``max_bits - parts + 1`` (minus one means: not searched) where the
     estimated signatures and candidate pairs grow least; the cheapest wins.
     """
+    sample = sample if len(sample) else np.zeros(1, np.uint64)
     best: tuple[float, list[tuple[int, int]]] = (float("inf"), [])
     x = sample[:, None] ^ sample[None, :]
     upper = np.triu_indices(len(sample), 1)
