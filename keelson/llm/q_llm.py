@@ -97,11 +97,11 @@ WITH sized AS (
   SELECT d.doc_id, d.source, concat_ws('|', 'mix-1', coalesce(d.doc_id::VARCHAR, '-'), md5(d.body)) AS ident, p.draws, p.one
   FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
 ), uniform AS (
-  SELECT *, list_transform(range(1, draws + 1), j -> ('0x' || substr(md5(ident || '|' || j::VARCHAR), 1, 13))::BIGINT
+  SELECT *, list_transform(range(1, draws + 1), lambda j: ('0x' || substr(md5(ident || '|' || j::VARCHAR), 1, 13))::BIGINT
          / 4503599627370496.0) AS us FROM draws
 ), counted AS (
-  SELECT *, list_sum(list_transform(us, u -> len(list_filter(range(0, 64), k ->
-         list_sum(list_transform(range(0, k + 1), i -> exp(-one) * pow(one, i) / gamma(i + 1))) <= u))))::INT AS n_copies
+  SELECT *, list_sum(list_transform(us, lambda u: len(list_filter(range(0, 64), lambda k:
+         list_sum(list_transform(range(0, k + 1), lambda i: exp(-one) * pow(one, i) / gamma(i + 1))) <= u))))::INT AS n_copies
   FROM uniform
 ), copies AS (
   SELECT doc_id, source, ident, n_copies, unnest(range(0, n_copies))::INT AS copy FROM counted
@@ -113,8 +113,8 @@ FROM copies
 
 _TOP_ORACLE = """
 WITH clean AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
   FROM clean q JOIN clean c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
