@@ -111,45 +111,3 @@ def interpolated_quantiles(
 
 
 # Session setting selecting the quantile method for every KPI.
-QUANTILE_CONF = "keelson.quantiles"  # "exact" (default, reference parity) or "approx"
-APPROX_ACCURACY = 10000  # relative error about 1 / accuracy of the rank
-
-
-def approximate_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: dict[str, float],
-    values_as: str | None = None,
-    rows_as: str | None = None,
-    counts_if: dict[str, str] | None = None,
-) -> DataFrame:
-    """Same contract as :func:`interpolated_quantiles`, computed with
-    ``percentile_approx`` (a mergeable sketch per group): one aggregation, no
-    shuffle of distinct values and no window, for groups whose span of
-    distinct values is itself too large. Results are within ~1/accuracy of the
-    true rank, so they are not bit-equal to the reference."""
-    v = f"`{value}`"
-    names = list(probs)
-    arr = ", ".join(repr(float(probs[n])) for n in names)
-    aggs = [f"percentile_approx({v}, array({arr}), {APPROX_ACCURACY}) AS _q"]
-    if values_as:
-        aggs.append(f"count({v}) AS `{values_as}`")
-    if rows_as:
-        aggs.append(f"count(1) AS `{rows_as}`")
-    aggs += [f"count_if({c}) AS `{n}`" for n, c in (counts_if or {}).items()]
-    out = df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
-    rest = [c for c in out.columns if c not in (*keys, "_q")]
-    return out.selectExpr(
-        *[f"`{k}`" for k in keys],
-        *[f"CAST(_q[{i}] AS DOUBLE) AS `{n}`" for i, n in enumerate(names)],
-        *[f"`{c}`" for c in rest],
-    )
-
-
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], **kw) -> DataFrame:
-    """Exact (default) or approximate quantiles, chosen by the session setting
-    ``keelson.quantiles``."""
-    mode = df.sparkSession.conf.get(QUANTILE_CONF, "exact")
-    fn = approximate_quantiles if mode == "approx" else interpolated_quantiles
-    return fn(df, keys, value, probs, **kw)

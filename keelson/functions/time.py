@@ -133,6 +133,21 @@ def iso_z(column: str | Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+#: Rewrites of ISO-8601 forms to the one with separators, seconds, at most six digits of a
+#: second and a colon in the offset.
+_ISO_FORMS = (
+    (r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3"),
+    (r"([T ])(\d{2})(\d{2})(\d{2})(?=$|[Z+.,-])", "$1$2:$3:$4"),
+    (r"([T ])(\d{2})(\d{2})(?=$|[Z+-])", "$1$2:$3"),
+    (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(?=$|[Z+-])", "$1:00"),
+    (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?=$|[Z+-])", "$1:00"),
+    (r"(:\d{2}),(\d)", "$1.$2"),
+    (r"(\.\d{6})\d+", "$1"),
+    (r"([T ][\d:.]+[+-]\d{2})(\d{2})$", "$1:$2"),
+    (r"([T ][\d:.]+[+-]\d{2})$", "$1:00"),
+)
+
+
 def parse_timestamp(column: str | Column) -> Column:
     """Parse ISO-8601 text (``Z`` or offset), falling back to RFC 2822 dates.
 
@@ -140,19 +155,20 @@ def parse_timestamp(column: str | Column) -> Column:
     """
     c = F.col(column) if isinstance(column, str) else column
     text = F.trim(c)
-    iso = F.coalesce(
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd")),
-    )
-    # RFC 2822: "Mon, 15 Jun 2026 08:30:00 GMT" -> drop the weekday, then parse.
-    rfc_body = F.regexp_replace(text, r"^[A-Za-z]{3},\s*", "")
-    rfc = F.coalesce(
-        F.try_to_timestamp(rfc_body, F.lit("d MMM yyyy HH:mm:ss z")),
-        F.try_to_timestamp(rfc_body, F.lit("d MMM yyyy HH:mm:ss Z")),
-    )
-    return F.when((c.isNull()) | (text == ""), F.lit(None).cast("timestamp")).otherwise(
-        F.coalesce(iso, rfc)
-    )
+    for pattern, to in _ISO_FORMS:
+        text = F.regexp_replace(text, pattern, to)
+
+    def parsed(t: Column) -> Column:
+        # RFC 2822: "Mon, 15 Jun 2026 08:30:00 GMT" -> drop the weekday, then parse.
+        rfc = F.regexp_replace(t, r"^[A-Za-z]{3},\s*", "")
+        forms = (
+            "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+            "yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd",
+        )
+        return F.coalesce(
+            *[F.try_to_timestamp(t, F.lit(f)) for f in forms],
+            *[F.try_to_timestamp(rfc, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z")],
+        )
 
+    # A lambda's variable, so the rewrites are evaluated once, not once per form.
+    return F.transform(F.array(text), parsed)[0]

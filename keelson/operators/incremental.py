@@ -142,9 +142,8 @@ def cursor_of(stored: DataFrame, column: str) -> DataFrame:
 
 
 def replace_releases(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Releases are always fetched in full: replace each collected repository's
-    rows, then reduce duplicates within the batch by id (last arrival wins)."""
-    from keelson.operators.upsert import keep_last, replace_for_repositories
+    """Releases are fetched in full but merged by id: a stored release that the
+    batch lacks stays, since a feed cut short must not lose history."""
+    from keelson.operators.upsert import upsert
 
-    deduped = keep_last(batch, [REPO, "release_id"], ["arrival_seq"])
-    return replace_for_repositories(existing, deduped)
+    return upsert(existing, batch, "releases")

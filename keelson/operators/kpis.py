@@ -19,13 +19,15 @@ Scale notes:
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keelson.functions.numeric import quantiles, round_half_away
+from keelson.functions.numeric import interpolated_quantiles, round_half_away
 from keelson.functions.predicates import not_bot
 from keelson.functions.time import Window, month_start, months_between_starts, ts_sql
 
@@ -57,14 +59,15 @@ def merge_by_repo(parts: list[DataFrame]) -> DataFrame:
     Each part carries its own (uniquely named) columns; the union of all parts
     is reduced by a single ``groupBy(repo)`` where ``max`` picks the one
     non-NULL value of each column. One small shuffle replaces a chain of
-    joins, and a repository present in any part (e.g. ``repositories``) gets
-    a row even when other parts have none.
+    joins. The first part is the anchor (``repositories``): its repositories
+    get a row even where other parts have none, and no other repository does.
     """
-    u = parts[0]
+    u = parts[0].withColumn("_anchor", F.lit(True))
     for p in parts[1:]:
         u = u.unionByName(p, allowMissingColumns=True)
     cols = [c for c in u.columns if c != REPO]
-    return u.groupBy(REPO).agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in cols])
+    merged = u.groupBy(REPO).agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in cols])
+    return merged.where("_anchor").drop("_anchor")
 
 
 def finish(df: DataFrame, columns: dict[str, str], keep: tuple[str, ...] = (REPO,)) -> DataFrame:
@@ -134,7 +137,7 @@ def _issue_parts(tables, window: Window, as_of: datetime, x: str = "i_") -> list
             f"CASE WHEN closed_at IS NOT NULL THEN {_hours_sql('created_at', 'closed_at')} END AS h"
         ),
     )
-    q = quantiles(
+    q = interpolated_quantiles(
         rows,
         [REPO],
         "h",
@@ -179,7 +182,7 @@ def _pr_parts(tables, window: Window, x: str = "p_") -> list[DataFrame]:
             f"CASE WHEN merged_at IS NOT NULL THEN {_hours_sql('created_at', 'merged_at')} END AS h"
         ),
     )
-    q = quantiles(
+    q = interpolated_quantiles(
         rows,
         [REPO],
         "h",
@@ -404,7 +407,7 @@ def _response_parts(
             " AS DOUBLE) / 60.0D END AS h"
         ),
     )
-    q = quantiles(
+    q = interpolated_quantiles(
         hours, [REPO], "h", {f"{x}median": 0.5, f"{x}p90": 0.9}, values_as=f"{x}n", rows_as=f"{x}rows"
     )
     return [q]
@@ -503,8 +506,14 @@ def comparison_kpis(
     tables, window: Window, as_of: datetime, repositories: list[str] | None = None
 ) -> DataFrame:
     """One row per repository. With an explicit ``repositories`` list, only those
-    rows are returned and ``position`` keeps the caller's order (unknown names
-    give a row of NULLs, like the reference's empty overview)."""
+    rows are returned and ``position`` keeps the caller's order; unknown names get
+    no contributors and otherwise NULLs. The list reaches every scan first."""
+    if repositories is not None:
+        spark = tables.repositories.sparkSession
+        order = spark.createDataFrame(list(enumerate(repositories)), "position long, repository string")
+        listed = order.select(F.col("repository").alias(REPO)).distinct()
+        names = ("repositories", "issues", "pull_requests", "commits")
+        tables = replace(tables, **{n: getattr(tables, n).join(listed, REPO, "left_semi") for n in names})
     parts = [
         tables.repositories.select(REPO, "language", "stars"),
         *_issue_parts(tables, window, as_of),
@@ -529,11 +538,5 @@ def comparison_kpis(
     )
     if repositories is None:
         return out
-    # The requested list is typed by the caller, so its size is bounded by the
-    # request itself; broadcasting it is safe at any data scale.
-    order = out.sparkSession.createDataFrame(
-        [(name, idx) for idx, name in enumerate(repositories)], "repository string, position long"
-    )
-    return F.broadcast(order).join(out, "repository", "left").select(
-        "position", *[c for c in out.columns]
-    )
+    found = order.join(out, "repository", "left").na.fill({"active_90d": 0, "top_contributor_share": 0.0})
+    return found.select("position", *out.columns)

@@ -38,7 +38,8 @@ def _url(kind: str, number: str):
     )
 
 
-def maintainer_tasks(tables, window: Window, as_of: datetime, limit: int = 20) -> DataFrame:
+def maintainer_tasks(tables, window: Window, as_of: datetime, limit: int | None = 20) -> DataFrame:
+    """Follow-ups ranked per repository, at most ``limit`` each; ``None``: all of them, unranked (no window)."""
     end = window.end_or(as_of)
     o90 = older_than("created_at", 90, end)
     o30 = older_than("created_at", 30, end)
@@ -84,12 +85,15 @@ def maintainer_tasks(tables, window: Window, as_of: datetime, limit: int = 20) -
         _url("pull", "pr_number").alias("url"),
     )
 
+    every = issue_tasks.unionByName(pr_tasks)
+    columns = ["priority", "task_type", "item_number", "title", "age_days", "reason", "url"]
+    if limit is None:
+        return every.select(REPO, *columns)
     w = W.partitionBy(REPO).orderBy(
         F.desc("sort_rank"), F.desc("age_days"), F.asc("task_type"), F.asc("item_number")
     )
     return (
-        issue_tasks.unionByName(pr_tasks)
-        .withColumn("rank", F.row_number().over(w).cast("long"))
+        every.withColumn("rank", F.row_number().over(w).cast("long"))
         .where(F.col("rank") <= limit)
-        .select(REPO, "rank", "priority", "task_type", "item_number", "title", "age_days", "reason", "url")
+        .select(REPO, "rank", *columns)
     )

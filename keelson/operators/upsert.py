@@ -47,16 +47,6 @@ def upsert(existing: DataFrame | None, batch: DataFrame, entity: str, seq: str =
     return keep_last(rows, KEYS[entity], [seq])
 
 
-def replace_for_repositories(existing: DataFrame | None, batch: DataFrame, repo: str = "repo_full_name") -> DataFrame:
-    """Full refresh (releases): rows of the repositories present in ``batch``
-    are replaced wholesale; other repositories keep their rows."""
-    if existing is None:
-        return batch
-    touched = batch.select(repo).distinct()
-    kept = existing.join(touched, repo, "left_anti")
-    return kept.unionByName(batch, allowMissingColumns=True)
-
-
 def evolve(df: DataFrame, columns: Sequence[str], defaults: dict, types: dict | None = None) -> DataFrame:
     """Bring rows written under an older layout to the current one (SNK14):
     missing columns are added and NULLs in added columns take their defaults.

@@ -88,10 +88,7 @@ def with_bindings(body: str) -> str:
     return "WITH " + BINDINGS.strip() + "\n" + body
 
 
-NOT_BOT = (
-    "NOT (starts_with({c}, 'dependabot') OR starts_with({c}, 'github-actions') "
-    "OR ends_with({c}, '[bot]') OR {c} = 'codecov')"
-)
+NOT_BOT = r"NOT regexp_matches({c}, '^dependabot|^github-actions|^codecov$|\[bot\]$')"
 
 
 def not_bot(column: str) -> str:

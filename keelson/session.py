@@ -50,7 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
-        # Unset (local tests only): a private folder, registered for checkpoint().
+        # Unset: a private folder, which only a local master can share with its executors.
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="keelson-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
     elif spark.sparkContext.getCheckpointDir() is None:

@@ -54,16 +54,6 @@ class Bindings:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
 
-    def spread(self, df: DataFrame) -> DataFrame:
-        """Spread a scan over all cores when its files yield fewer splits than
-        cores (e.g. a single-row-group file), so the derivation is parallel.
-        Sources with at least one split per core -- any large input -- are
-        left alone, so this never adds a shuffle at scale."""
-        cores = self.spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-        return df
-
     # --- dimensions ---------------------------------------------------------------
 
     @cached_property
@@ -98,7 +88,7 @@ class Bindings:
 
     @cached_property
     def _items(self) -> DataFrame:
-        orders = self.spread(
+        orders = (
             self.table("orders").select(
                 "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
             )
@@ -170,7 +160,7 @@ class Bindings:
 
     @cached_property
     def item_events(self) -> DataFrame:
-        li = self.spread(
+        li = (
             self.table("lineitem").select(
                 "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"
             )
@@ -226,7 +216,7 @@ class Bindings:
 
     @cached_property
     def _ev(self) -> DataFrame:
-        return self.events_with_repo(self.spread(self.table("events")))
+        return self.events_with_repo((self.table("events")))
 
     def events_with_repo(self, events: DataFrame) -> DataFrame:
         """Attach the repository to raw events (batch or streaming) via the

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from keelson.schemas import ENVELOPE, RAW
 from keelson.session import scratch_path
 from keelson.sources import testfeeds
-from keelson.sources.warehouse import _fs_exists, file_count, fingerprint, publish
+from keelson.sources.warehouse import _fs_exists, fingerprint, publish
 
 # Landed feeds, their builders and folder partitioning.
 FEEDS = {
@@ -39,7 +39,7 @@ def records(feed: DataFrame, entity: str) -> DataFrame:
 
 
 def landing_root(b) -> str:
-    return scratch_path(b.spark, f"landing-{fingerprint(b.sf_dir)}")
+    return scratch_path(b.spark, f"landing-{fingerprint(b)}")
 
 
 def land(b, entity: str) -> str:
@@ -48,9 +48,9 @@ def land(b, entity: str) -> str:
     if not _fs_exists(b.spark, os.path.join(path, "_SUCCESS")):
         builder, part = FEEDS[entity]
         out = records(builder(b), entity)
-        writer = out.repartition(file_count(out), "arrival_seq").write
-        if part:
-            writer = writer.partitionBy(part)
+        # One cluster of files per day; Spark splits a large day and merges small ones by bytes.
+        out = out.hint("rebalance", F.col(part)) if part else out.hint("rebalance")
+        writer = out.write.partitionBy(part) if part else out.write
         publish(b.spark, writer.json, path)
     return path
 

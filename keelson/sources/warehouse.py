@@ -4,8 +4,8 @@ In a deployment the ingest job writes the normalised entity tables and every
 metric reads them. Here the first query over a testdata folder writes them
 into the shared folder named by ``spark.checkpoint.dir`` (never a
 machine-local path on a cluster); later queries reuse them. Each table is
-hash-partitioned on its natural key (unique, hence skew-free) into files of
-about 256 MB (at least one per core), and sorted by time within files so
+clustered on its natural key into files that Spark sizes at run time from the
+bytes written (the session's advisory partition size), and sorted by time within files so
 Parquet row-group statistics let time-window filters skip data.
 A table counts as present only when its ``_SUCCESS`` marker exists; tables
 are published by an atomic rename, and the folder name carries a fingerprint
@@ -15,12 +15,15 @@ of the inputs and of the deriving code.
 from __future__ import annotations
 
 import hashlib
+import importlib
+import inspect
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import nullcontext
 import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keelson.operators.tables import Tables
 from keelson.session import scratch_path
@@ -66,25 +69,13 @@ def publish(spark: SparkSession, write, path: str) -> None:
     fs.delete(src, True)
 
 
-TARGET_FILE_BYTES = 256 * 1024 * 1024
 WRITERS = 4  # concurrent table-writing jobs
-MAX_FILES = 200_000
-
-
-def file_count(df: DataFrame) -> int:
-    """Files to write: about 256 MB each by Catalyst's size estimate, and at
-    least one per core so every later scan uses the whole cluster."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # estimate unavailable: fall back to the core count
-        est = 0
-    return int(min(MAX_FILES, max(cores, -(-est // TARGET_FILE_BYTES))))
 
 
 def write_table(df: DataFrame, path: str, keys: tuple[str, ...], time_col: str | None) -> None:
-    # Hash on the natural key (unique per row, so no skew).
-    out = df.repartition(file_count(df), *keys)
+    # Clustered on the natural key; Spark sizes the files at run time from the bytes that it
+    # shuffles (spark.sql.adaptive.advisoryPartitionSizeInBytes), splitting and merging.
+    out = df.hint("rebalance", *[F.col(k) for k in keys])
     if time_col:
         out = out.sortWithinPartitions(time_col)
     publish(df.sparkSession, lambda target: out.write.parquet(target), path)
@@ -111,23 +102,23 @@ def store(spark: SparkSession, source, root: str) -> Tables:
 _OPENED: dict[tuple[str, str], Tables] = {}
 
 
-_SOURCES = ("bindings.py", "testfeeds.py", "warehouse.py", "landing.py", "feeds.py")
+_SOURCES = ("bindings", "testfeeds", "warehouse", "landing", "feeds")
 
 
-def fingerprint(sf_dir: str) -> str:
-    """Tag of derived folders: the input files (name, size, mtime) and the code
-    that derives from them, so a change to either never reuses stale tables."""
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    try:
-        for name in sorted(os.listdir(sf_dir)):
-            st = os.stat(os.path.join(sf_dir, name))
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
-    except OSError:
-        pass  # non-local input: the path and the code still identify it
-    here = os.path.dirname(os.path.abspath(__file__))
+def fingerprint(bindings) -> str:
+    """Tag of derived folders: every input file (path, size, time; listed by
+    Hadoop, so any store) and the code that derives from them, so a change to
+    either never reuses stale tables."""
+    path, fs = _fs(bindings.spark, bindings.sf_dir)
+    h = hashlib.sha1(str(fs.makeQualified(path)).encode())
+    found = []
+    files = fs.listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    h.update("\n".join(sorted(found)).encode())
     for src in _SOURCES:
-        with open(os.path.join(here, src), "rb") as f:
-            h.update(f.read())
+        h.update(inspect.getsource(importlib.import_module(f"{__package__}.{src}")).encode())
     return h.hexdigest()[:16]
 
 
@@ -137,7 +128,7 @@ def stored_tables(bindings) -> Tables:
     Opened tables are remembered per (application, folder) so repeated queries
     in one session skip re-listing the files; a missing marker reopens them."""
     spark = bindings.spark
-    root = scratch_path(spark, f"warehouse-{fingerprint(bindings.sf_dir)}")
+    root = scratch_path(spark, f"warehouse-{fingerprint(bindings)}")
     key = (spark.sparkContext.applicationId, root)
     cached = _OPENED.get(key)
     if cached is not None and _fs_exists(spark, os.path.join(root, "page_log", "_SUCCESS")):
@@ -149,4 +140,4 @@ def stored_tables(bindings) -> Tables:
 def table_path(bindings, name: str) -> str:
     """Folder of one stored entity table (materialising the tables if needed)."""
     stored_tables(bindings)
-    return os.path.join(scratch_path(bindings.spark, f"warehouse-{fingerprint(bindings.sf_dir)}"), name)
+    return os.path.join(scratch_path(bindings.spark, f"warehouse-{fingerprint(bindings)}"), name)

@@ -216,3 +216,21 @@ def test_single_repository_is_a_filter(spark):
     t = make_tables(spark, repos=("a/x", "b/y"), issues=[issue(1, ago(3), repo="a/x")])
     one = kpis.for_repository(kpis.issue_kpis(t, ALL, NOW), "a/x").collect()
     assert len(one) == 1 and one[0]["total"] == 1
+
+
+def test_only_stored_repositories_get_rows(spark):
+    from keelson.operators import kpis
+
+    orphan = [("orphan/r", 1, "open", "a", "t", ago(3), ago(1), None)]
+    t = make_tables(spark, issues=orphan)
+    assert [r.repo_full_name for r in kpis.overview(t).collect()] == ["owner/repo"]
+    assert [r.repo_full_name for r in kpis.issue_kpis(t, Window.all(), NOW).collect()] == ["owner/repo"]
+
+
+def test_comparison_of_a_list_keeps_order_and_unknown_names(spark):
+    from keelson.operators import kpis
+
+    t = make_tables(spark, repos=("a/a", "b/b"))
+    rows = kpis.comparison_kpis(t, Window.all(), NOW, ["b/b", "none/none", "a/a"]).orderBy("position").collect()
+    assert [r.repository for r in rows] == ["b/b", "none/none", "a/a"]
+    assert (rows[1].active_90d, rows[1].top_contributor_share, rows[1].stars) == (0, 0.0, None)

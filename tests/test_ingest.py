@@ -201,3 +201,31 @@ def test_repository_exists_marks_incremental_runs(spark):
     cand = spark.createDataFrame([("a/x",), ("new/repo",)], "repo_full_name string")
     got = {r["repo_full_name"]: r["is_incremental"] for r in inc.repository_exists(t, cand).collect()}
     assert got == {"a/x": True, "new/repo": False}
+
+
+def test_every_iso_form_parses(spark):
+    from datetime import datetime
+
+    from keelson.functions.time import parse_timestamp
+
+    want = datetime(2026, 6, 15, 8, 30)
+    texts = {
+        "2026-06-15T08:30:00Z": want, "2026-06-15T08:30Z": want, "20260615T083000Z": want, "20260615T0830Z": want,
+        "2026-06-15T16:30:00+0800": want, "2026-06-15T16:30:00+08": want, "2026-06-15T16:30+08:00": want,
+        "2026-06-15 08:30:00": want, "2026-06-15T08:30": want, "2026-06-15": datetime(2026, 6, 15), "20260615": datetime(2026, 6, 15),
+        "2026-06-15T08:30:00.1234567Z": want.replace(microsecond=123456), "2026-06-15T08:30:00,5Z": want.replace(microsecond=500000),
+        "2026-06-15T08:30:00.123+00:00": want.replace(microsecond=123000), "2026-06-15T03:30:00-05:00": want,
+        "Mon, 15 Jun 2026 08:30:00 GMT": want, "2026-06-15T08Z": want.replace(minute=0), "": None, "soon": None, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_timestamp("t").cast("timestamp_ntz").alias("ts"))
+    assert {r.t: r.ts for r in df.collect()} == texts
+
+
+def test_releases_missing_from_a_batch_stay(spark):
+    from keelson.operators.incremental import replace_releases
+
+    schema = "repo_full_name string, release_id long, tag_name string, arrival_seq long"
+    stored = spark.createDataFrame([("o/r", 1, "v1", 1), ("o/r", 2, "v2", 2)], schema)
+    batch = spark.createDataFrame([("o/r", 2, "v2b", 3), ("o/r", 3, "v3", 4)], schema)
+    got = {r.release_id: r.tag_name for r in replace_releases(stored, batch).collect()}
+    assert got == {1: "v1", 2: "v2b", 3: "v3"}

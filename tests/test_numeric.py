@@ -45,23 +45,3 @@ def test_rounding_matches_duckdb(spark):
     ).fetchone()
     assert [r[0] for r in got] == want[0]
     assert [r[1] for r in got] == want[1]
-
-
-def test_approximate_quantiles_option(spark):
-    from keelson.functions.numeric import QUANTILE_CONF
-    from keelson.functions.time import Window
-    from keelson.operators import kpis
-
-    from .conftest import NOW, ago, issue, make_tables
-
-    iss = [issue(i, ago(200), state="closed", closed=ago(200 - i % 50)) for i in range(1, 400)]
-    t = make_tables(spark, issues=iss)
-    exact = kpis.issue_kpis(t, Window.all(), NOW).first()
-    spark.conf.set(QUANTILE_CONF, "approx")
-    try:
-        approx = kpis.issue_kpis(t, Window.all(), NOW).first()
-    finally:
-        spark.conf.unset(QUANTILE_CONF)
-    assert approx["total"] == exact["total"] == 399
-    assert abs(approx["median_close_hours"] - exact["median_close_hours"]) <= 24.0
-    assert abs(approx["p90_close_hours"] - exact["p90_close_hours"]) <= 24.0
