@@ -42,12 +42,13 @@ def source_rates(
     else:
         w = weights.select(F.col("source").alias("__s"), F.col("weight").cast("double").alias("weight"))
         weighted = sizes.join(w, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").na.fill({"weight": 0.0})
-    total = weighted.agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
-    mean = F.when(
-        (F.col("bytes") > 0) & (F.col("all_weight") > 0),
-        F.lit(epochs) * F.col("all_bytes") * F.col("weight") / F.col("all_weight") / F.col("bytes"),
-    ).otherwise(F.lit(epochs))
-    rated = weighted.join(F.broadcast(total)).select("source", mean.alias("mean"))  # `total` is one row
+    weighted = cut(weighted)
+    all_bytes, all_weight = weighted.agg(F.sum("bytes"), F.sum("weight")).first()
+    mean = F.lit(epochs)
+    if all_weight:
+        wanted = F.lit(epochs * all_bytes) * F.col("weight") / F.lit(all_weight) / F.col("bytes")
+        mean = F.when(F.col("bytes") > 0, wanted).otherwise(mean)
+    rated = weighted.select("source", mean.cast("double").alias("mean"))
     draws = F.greatest(F.ceil(F.col("mean") / DRAW_MEAN), F.lit(1))
     terms = F.expr(
         f"aggregate(sequence(1, {TERMS - 1}), "
@@ -71,7 +72,7 @@ def mix(
 ) -> DataFrame:
     """``docs`` repeated to the target weights, with copy, n_copies and shuffle_key, shuffled globally."""
     own = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
-    rates = cut(source_rates(docs, weights, epochs, source_col, text_col))
+    rates = source_rates(docs, weights, epochs, source_col, text_col)
     rates = maybe_broadcast(rates.withColumnRenamed("source", "__source"), rates.count())
     ident = F.concat_ws(
         "|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.md5(F.coalesce(F.col(text_col), F.lit("")))
