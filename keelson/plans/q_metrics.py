@@ -247,3 +247,17 @@ JOIN ({_pulls(ALL)}) p USING (repo_full_name) JOIN ({_contributors(EVENT_AS_OF_S
 register("comparison_kpis", with_bindings(_COMPARISON), "M16 cross-repository comparison")(
     lambda b: kpis.comparison_kpis(b.stored(), ALL, EVENT_AS_OF)
 )
+
+LISTED = ("ASIA/NATION_12", "none/none", "EUROPE/NATION_3", "AFRICA/NATION_0")
+
+register(
+    "comparison_list",
+    with_bindings(
+        f"""{_COMPARISON.replace("SELECT repo_full_name AS repository", ", compared AS (SELECT repo_full_name AS repository")})
+SELECT l.position, l.repository, c.* EXCLUDE (repository, active_90d, top_contributor_share),
+       coalesce(c.active_90d, 0) AS active_90d, coalesce(c.top_contributor_share, 0.0)::DOUBLE AS top_contributor_share
+FROM (VALUES {", ".join(f"({i}::BIGINT, '{n}')" for i, n in enumerate(LISTED))}) l(position, repository)
+LEFT JOIN compared c USING (repository)"""
+    ),
+    "M16/JN11 comparison of a caller's list, in its order",
+)(lambda b: kpis.comparison_kpis(b.stored(), ALL, EVENT_AS_OF, list(LISTED)))
