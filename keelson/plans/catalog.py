@@ -47,8 +47,8 @@ def sql_ts(value: datetime) -> str:
 
 
 def sql_window(window: Window, column: str) -> str:
-    start, end = window.bounds()
-    return f"{column} >= {sql_ts(start)} AND {column} < {sql_ts(end)}"
+    ends = ((">=", window.start), ("<", window.end))
+    return " AND ".join([f"{column} IS NOT NULL", *(f"{column} {op} {sql_ts(at)}" for op, at in ends if at)])
 
 
 ALL = Window.all()
@@ -75,6 +75,6 @@ __all__ = [
 
 def load_all() -> dict[str, Query]:
     """Import every query module so their ``@register`` calls run."""
-    from keelson.plans import q_ingest, q_metrics, q_reports, q_streaming  # noqa: F401
+    from keelson.plans import q_ingest, q_metrics, q_reports, q_streaming, q_windows  # noqa: F401
 
     return REGISTRY

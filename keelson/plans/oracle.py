@@ -2,9 +2,7 @@
 
 The oracle re-derives each entity from the raw testdata tables with the
 binding text of FIXTURES.md §4 (DuckDB dialect) and then states each metric in
-the reference's SQL shape, widened from one repository to all of them (every
-per-repository scalar becomes a GROUP BY, every repository-less join key gains
-``repo_full_name``). Nothing here is shared with the Spark code path.
+its own terms for all repositories at once. Nothing here is shared with the Spark code path.
 """
 
 from __future__ import annotations
@@ -38,18 +36,19 @@ pull_requests AS (
          CASE WHEN number % 4 <> 0 THEN closed_at END AS merged_at
   FROM closed WHERE o_orderpriority < '3'),
 item_events AS (
-  SELECT l_orderkey AS number, l_linenumber,
+  SELECT l_orderkey AS number, l_linenumber, l_orderkey * 8 + l_linenumber AS event_id, l_suppkey,
          CASE WHEN l_suppkey % 10 = 0 THEN concat('svc', CAST(l_suppkey AS VARCHAR), '[bot]')
               WHEN l_suppkey % 10 = 1 THEN 'codecov'
               WHEN l_suppkey % 10 = 2 THEN concat('dependabot-', CAST(l_suppkey AS VARCHAR))
               ELSE concat('u', CAST(l_suppkey AS VARCHAR)) END AS author,
          l_shipdate + INTERVAL '1' SECOND * (l_partkey * 31 % 86400) AS created_at
-  FROM lineitem),
+  FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY created_at DESC, l_suppkey DESC) = 1),
 issue_comments AS (
-  SELECT i.repo_full_name, e.number AS issue_number, e.author, e.created_at
+  SELECT i.repo_full_name, e.number AS issue_number, e.event_id AS comment_id, e.author, e.created_at
   FROM item_events e JOIN issues i ON i.issue_number = e.number),
 pr_reviews AS (
-  SELECT p.repo_full_name, e.number AS pr_number, e.author, e.created_at AS submitted_at
+  SELECT p.repo_full_name, e.number AS pr_number, e.event_id AS review_id, e.author, e.created_at AS submitted_at
   FROM item_events e JOIN pull_requests p ON p.pr_number = e.number),
 ev AS (
   SELECT d.repo_full_name, e.* FROM events e

@@ -212,12 +212,128 @@ def _upsert_commits(b):
     return upsert(upsert(None, first, "commits"), second, "commits")
 
 
+# Stored issues and PRs are earlier versions (open, as created); the batch replaces some, adds some.
+_OLD_SEQ = 1_000_000_000_000
+
+
+def _earlier(rows):
+    return rows.withColumns(
+        {
+            "state": F.lit("open"),
+            "updated_at": F.col("created_at"),
+            "closed_at": F.lit(None).cast("timestamp"),
+            "arrival_seq": F.col("arrival_seq") - _OLD_SEQ,
+        }
+    )
+
+
+@register(
+    "upsert_issues",
+    with_bindings(
+        """
+SELECT repo_full_name, issue_number, CASE WHEN issue_number % 5 <> 0 THEN state ELSE 'open' END AS state,
+       CASE WHEN issue_number % 50 <> 0 THEN author END AS author, title, created_at,
+       CASE WHEN issue_number % 5 <> 0 THEN updated_at ELSE created_at END AS updated_at,
+       CASE WHEN issue_number % 5 <> 0 THEN closed_at END AS closed_at
+FROM issues WHERE issue_number % 15 <> 0"""
+    ),
+    "SNK2/INC3: an issue batch merged into stored issues, applied twice",
+)
+def _upsert_issues(b):
+    rows = feeds.normalise_issues(feeds.read_feed(b.spark, "issues", landing.land(b, "issues")))
+    batch = rows.where("issue_number % 5 <> 0")
+    merged = upsert(_earlier(rows.where("issue_number % 3 <> 0")), batch, "issues")
+    return upsert(merged, batch, "issues").select(
+        REPO, "issue_number", "state", "author", "title", "created_at", "updated_at", "closed_at"
+    )
+
+
+@register(
+    "upsert_pull_requests",
+    with_bindings(
+        """
+SELECT repo_full_name, pr_number, CASE WHEN pr_number % 5 <> 0 THEN state ELSE 'open' END AS state, author, title,
+       draft, 0 AS comments, 0 AS review_comments, created_at,
+       CASE WHEN pr_number % 5 = 0 THEN created_at WHEN pr_number % 97 <> 0 THEN updated_at END AS updated_at,
+       CASE WHEN pr_number % 5 <> 0 THEN closed_at END AS closed_at,
+       CASE WHEN pr_number % 5 <> 0 THEN merged_at END AS merged_at, CAST(NULL AS VARCHAR) AS merge_commit_sha
+FROM pull_requests WHERE pr_number % 15 <> 0"""
+    ),
+    "SRC3/PRJ3/SNK3: a PR batch merged into stored PRs",
+)
+def _upsert_pull_requests(b):
+    rows = feeds.normalise_pull_requests(feeds.read_feed(b.spark, "pull_requests", landing.land(b, "pull_requests")))
+    stored = _earlier(rows.where("pr_number % 3 <> 0")).withColumn("merged_at", F.lit(None).cast("timestamp"))
+    return upsert(stored, rows.where("pr_number % 5 <> 0"), "pull_requests").drop("arrival_seq")
+
+
+def _event_batches(b, entity: str):
+    """The landed feed in two batches: later arrivals first, so a stored newer version must win."""
+    feed = feeds.read_feed(b.spark, entity, landing.land(b, entity))
+    rows = feeds.NORMALISERS[entity](feed)
+    late = F.col("arrival_seq") % 2 == 1
+    return upsert(upsert(None, rows.where(late), entity), rows.where(~late), entity).drop("arrival_seq")
+
+
+@register(
+    "upsert_issue_comments",
+    with_bindings(
+        """
+SELECT repo_full_name, CAST(issue_number AS INTEGER) AS issue_number, comment_id,
+       CASE WHEN issue_number % 50 <> 0 THEN author END AS author,
+       'line ' || (comment_id % 8)::VARCHAR AS body, created_at
+FROM issue_comments WHERE issue_number % 41 <> 0"""
+    ),
+    "SRC6/PRJ6/SNK6/PRJ9: comment feed in every time format, rows without an issue dropped, keep-last",
+)
+def _upsert_issue_comments(b):
+    return _event_batches(b, "issue_comments")
+
+
+@register(
+    "upsert_pr_reviews",
+    with_bindings(
+        """
+SELECT repo_full_name, pr_number, review_id, author,
+       CASE WHEN review_id % 8 IN (3, 6) THEN 'APPROVED' ELSE 'COMMENTED' END AS state,
+       CASE WHEN review_id % 2 = 0 THEN 'line ' || (review_id % 8)::VARCHAR END AS body, submitted_at
+FROM pr_reviews WHERE pr_number % 43 <> 0"""
+    ),
+    "SRC7/PRJ7/SNK7: review feed, pending reviews dropped, keep-last",
+)
+def _upsert_pr_reviews(b):
+    return _event_batches(b, "pr_reviews")
+
+
+@register(
+    "repository_exists",
+    with_bindings(
+        r"""
+, named AS (
+  SELECT n_nationkey, n_name, r_name, CASE n_nationkey % 3 WHEN 0 THEN r_name || '/' || n_name
+         WHEN 1 THEN lower(r_name) || '/' || n_name ELSE r_name || '/' || n_name || '_fork' END AS repo_full_name
+  FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT repo_full_name, repo_full_name IN (SELECT repo_full_name FROM repositories) AS is_incremental FROM named"""
+    ),
+    "AGG18: which of the asked repositories are stored already",
+)
+def _repository_exists(b):
+    k, name = F.col("n_nationkey"), F.concat("r_name", F.lit("/"), "n_name")
+    other = F.when(k % 3 == 1, F.concat(F.lower("r_name"), F.lit("/"), "n_name")).otherwise(F.concat(name, F.lit("_fork")))
+    asked = b.table("nation").join(b.table("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return inc.repository_exists(b.stored(), asked.select(F.when(k % 3 == 0, name).otherwise(other).alias(REPO)))
+
+
 # --- cursors, scope, results, run log, schema evolution ----------------------------------------
 
 _CURSOR_PARTS = "\nUNION ALL\n".join(
     f"SELECT repo_full_name, '{e}' AS entity_type, max({c}) AS latest, "
     f"max({c}) - INTERVAL 5 MINUTE AS since FROM {t} GROUP BY repo_full_name"
-    for e, (t, c) in inc.CURSOR_COLUMNS.items()
+    for e, t, c in (
+        ("issues", "issues", "updated_at"), ("pull_requests", "pull_requests", "updated_at"),
+        ("commits", "commits", "committed_at"), ("issue_comments", "issue_comments", "created_at"),
+        ("pr_reviews", "pr_reviews", "submitted_at"),
+    )
 )
 
 
@@ -237,7 +353,7 @@ def _cursors(b):
 SELECT repo_full_name, run_day, """
         + ", ".join(
             f"CAST(coalesce(sum(items) FILTER (WHERE entity_type = '{e}'), 0) AS BIGINT) AS {e}_loaded"
-            for e in inc.ENTITIES
+            for e in ("issues", "pull_requests", "commits", "releases", "issue_comments", "pr_reviews")
         )
         + """,
        CAST(sum(items) AS BIGINT) AS total_loaded,

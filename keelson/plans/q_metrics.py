@@ -138,37 +138,36 @@ register(
     "M5 contributor KPIs, trailing 30 days",
 )(lambda b: kpis.contributor_kpis(b.stored(), RECENT_30_EVENTS, EVENT_AS_OF))
 
-register(
-    "monthly_activity",
-    with_bindings(
-        f"""{_ITEM}
+
+def _monthly(window) -> str:
+    return f"""{_ITEM}
 SELECT repo_full_name, date_trunc('month', done_on) AS month, activity_type, count(*) AS activity_count
 FROM (SELECT repo_full_name, created_at AS done_on, CASE kind WHEN 'pr' THEN 'PR' ELSE 'Issue' END AS activity_type FROM item
       UNION ALL SELECT repo_full_name, committed_at, 'Commit' FROM commits)
-WHERE {sql_window(ALL, "done_on")} GROUP BY ALL"""
-    ),
-    "M6 monthly activity",
-)(lambda b: kpis.monthly_activity(b.stored(), ALL))
+WHERE {sql_window(window, "done_on")} GROUP BY ALL"""
 
-register(
-    "top_contributors",
-    with_bindings(
-        _per_author(ALL)
-        + """
+
+register("monthly_activity", with_bindings(_monthly(ALL)), "M6 monthly activity")(
+    lambda b: kpis.monthly_activity(b.stored(), ALL)
+)
+
+_TOP = """
 SELECT repo_full_name, row_number() OVER top AS rank, author, commits,
        total_activity - commits AS pull_requests, total_activity
 FROM per_author
 WINDOW top AS (PARTITION BY repo_full_name ORDER BY total_activity DESC, author)
 QUALIFY rank < 13"""
-    ),
-    "M7 top 12 contributors per repository",
-)(lambda b: kpis.top_contributors(b.stored(), ALL, 12))
+
+register("top_contributors", with_bindings(_per_author(ALL) + _TOP), "M7 top 12 contributors per repository")(
+    lambda b: kpis.top_contributors(b.stored(), ALL, 12)
+)
 
 # An author's month 0 is its first month, so a cohort's size is its activity in month 0.
-_RETENTION = f"""{_per_author(ALL)},
+def _retention(window) -> str:
+    return f"""{_per_author(window)},
 present AS (
   SELECT DISTINCT repo_full_name, author, date_trunc('month', done_on) AS month
-  FROM contribution WHERE author IS NOT NULL AND {sql_window(ALL, "done_on")}),
+  FROM contribution WHERE author IS NOT NULL AND {sql_window(window, "done_on")}),
 aged AS (
   SELECT *, min(month) OVER (PARTITION BY repo_full_name, author) AS cohort_month FROM present),
 retention AS (
@@ -178,6 +177,9 @@ retention AS (
   FROM aged GROUP BY repo_full_name, cohort_month, month
   WINDOW same AS (PARTITION BY repo_full_name, cohort_month) QUALIFY month_number <= 12)"""
 
+
+_RETENTION = _retention(ALL)
+
 register("contributor_retention", with_bindings(_RETENTION + "\nSELECT * FROM retention"), "M8 cohort retention")(
     lambda b: kpis.contributor_retention(b.stored(), ALL)
 )
@@ -216,8 +218,8 @@ register(
 # --- M15 / M16 ----------------------------------------------------------------------------
 
 
-def _aged_counts(kind: str, total: str, prefix: str) -> str:
-    days = f"date_diff('second', x.created_at, {ORDER_AS_OF_SQL}) / 86400.0"
+def _aged_counts(kind: str, total: str, prefix: str, at: str) -> str:
+    days = f"date_diff('microsecond', x.created_at, {at}) / 86400e6"
     is_kind = f"x.kind = '{kind}'"
     old = f"count(CASE WHEN {is_kind} AND {days} > 90 THEN 1 END)"
     return f"""
@@ -225,24 +227,28 @@ def _aged_counts(kind: str, total: str, prefix: str) -> str:
   CASE WHEN count(CASE WHEN {is_kind} THEN 1 END) > 0 THEN round_even(100.0 * {old} / count(CASE WHEN {is_kind} THEN 1 END), 1) END AS {prefix}_backlog_90_pct"""
 
 
-register(
-    "backlog_kpis",
-    with_bindings(
-        f"""{_ITEM}
-SELECT r.repo_full_name, {_aged_counts("issue", "open_issues", "issue")}, {_aged_counts("pr", "open_prs", "pr")}
+def _backlog(at: str) -> str:
+    return f"""{_ITEM}
+SELECT r.repo_full_name, {_aged_counts("issue", "open_issues", "issue", at)}, {_aged_counts("pr", "open_prs", "pr", at)}
 FROM repositories r LEFT JOIN item x
-  ON x.repo_full_name = r.repo_full_name AND x.state = 'open' AND x.created_at < {ORDER_AS_OF_SQL}
+  ON x.repo_full_name = r.repo_full_name AND x.state = 'open' AND x.created_at < {at}
 GROUP BY r.repo_full_name"""
-    ),
-    "M15 backlog ageing",
-)(lambda b: kpis.backlog_kpis(b.stored(), ALL, ORDER_AS_OF))
 
-_COMPARISON = f"""{_ITEM} {_per_author(ALL)}
+
+register("backlog_kpis", with_bindings(_backlog(ORDER_AS_OF_SQL)), "M15 backlog ageing")(
+    lambda b: kpis.backlog_kpis(b.stored(), ALL, ORDER_AS_OF)
+)
+
+def _comparison(window, at: str) -> str:
+    return f"""{_ITEM} {_per_author(window)}
 SELECT repo_full_name AS repository, r.language, r.stars, i.close_rate AS issue_close_rate,
        i.median_close_hours AS issue_median_close_hours, p.merge_rate AS pr_merge_rate,
        p.median_merge_hours AS pr_median_merge_hours, a.active_90d, a.top_contributor_share
-FROM repositories r JOIN ({_issues(ALL, EVENT_AS_OF_SQL)}) i USING (repo_full_name)
-JOIN ({_pulls(ALL)}) p USING (repo_full_name) JOIN ({_contributors(EVENT_AS_OF_SQL)}) a USING (repo_full_name)"""
+FROM repositories r JOIN ({_issues(window, at)}) i USING (repo_full_name)
+JOIN ({_pulls(window)}) p USING (repo_full_name) JOIN ({_contributors(at)}) a USING (repo_full_name)"""
+
+
+_COMPARISON = _comparison(ALL, EVENT_AS_OF_SQL)
 
 register("comparison_kpis", with_bindings(_COMPARISON), "M16 cross-repository comparison")(
     lambda b: kpis.comparison_kpis(b.stored(), ALL, EVENT_AS_OF)

@@ -19,6 +19,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.operators.upsert import keep_last
+
 # Reference instants for the two families of bound entities.
 ORDER_AS_OF = datetime(2001, 8, 1)
 EVENT_AS_OF = datetime(2024, 1, 31)
@@ -160,6 +162,11 @@ class Bindings:
 
     @cached_property
     def item_events(self) -> DataFrame:
+        """One event per id: of line items that share a key the last arrival counts."""
+        return keep_last(self.item_event_versions, ["event_id"], ["arrival_seq"])
+
+    @cached_property
+    def item_event_versions(self) -> DataFrame:
         li = (
             self.table("lineitem").select(
                 "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"
@@ -178,18 +185,19 @@ class Bindings:
             "l_linenumber",
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event_id"),
             author.alias("author"),
+            supp.alias("supplier"),
             _plus_seconds(_utc("l_shipdate"), (F.col("l_partkey") * 31) % 86400).alias(
                 "created_at"
             ),
-        )
+        ).withColumn("arrival_seq", F.unix_seconds("created_at") * 10_000_000 + F.col("supplier")).drop("supplier")
 
-    def _events_for(self, items: DataFrame, number_col: str) -> DataFrame:
+    def events_for(self, items: DataFrame, number_col: str, events: DataFrame) -> DataFrame:
         keys = items.select("repo_full_name", F.col(number_col).alias("number"))
-        return self.item_events.join(keys, "number")
+        return events.join(keys, "number")
 
     @cached_property
     def issue_comments(self) -> DataFrame:
-        e = self._events_for(self.issues, "issue_number")
+        e = self.events_for(self.issues, "issue_number", self.item_events)
         return e.select(
             "repo_full_name",
             F.col("number").alias("issue_number"),
@@ -201,7 +209,7 @@ class Bindings:
 
     @cached_property
     def pr_reviews(self) -> DataFrame:
-        e = self._events_for(self.pull_requests, "pr_number")
+        e = self.events_for(self.pull_requests, "pr_number", self.item_events)
         return e.select(
             "repo_full_name",
             F.col("number").alias("pr_number"),

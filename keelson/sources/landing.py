@@ -26,6 +26,8 @@ FEEDS = {
     "commits": (testfeeds.commit_feed, "day"),
     "repository": (testfeeds.repository_feed, None),
     "releases": (testfeeds.release_feed, None),
+    "issue_comments": (testfeeds.comment_feed, None),
+    "pr_reviews": (testfeeds.review_feed, None),
 }
 
 ENV = [f.name for f in ENVELOPE.fields]

@@ -145,3 +145,46 @@ def release_feed(b: Bindings) -> DataFrame:
         iso_micros("published_at").alias("published_at"),
     )
     return r.select(*_envelope(F.lit("r3"), rid, payload))
+
+
+#: The ISO-8601 forms that collectors deliver; a record's number picks one.
+_TIME_FORMS = (
+    "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS'Z'", "yyyyMMdd'T'HHmmss'Z'",
+    "yyyy-MM-dd'T'HH:mm:ss'+0000'", "yyyy-MM-dd'T'HH:mm:ss'+00'", "EEE, dd MMM yyyy HH:mm:ss 'GMT'",
+)
+
+
+def _some_form(c: str, pick: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for i, form in enumerate(_TIME_FORMS):
+        out = F.when(pick % len(_TIME_FORMS) == i, F.date_format(c, form)).otherwise(out)
+    return out
+
+
+def comment_feed(b: Bindings) -> DataFrame:
+    """The comments endpoint with every arrival of an id; some URLs lack a number, some users are gone."""
+    e = b.events_for(b.issues, "issue_number", b.item_event_versions)
+    n = F.col("number")
+    payload = F.struct(
+        F.col("event_id").alias("id"),
+        F.concat(F.lit("https://api.example.org/repos/"), REPO, F.lit("/issues/"), F.when(n % 41 != 0, n.cast("string")).otherwise("")).alias("issue_url"),
+        F.when(n % 50 != 0, F.struct(F.col("author").alias("login"))).alias("user"),
+        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("body"),
+        _some_form("created_at", n).alias("created_at"),
+    )
+    return e.select(*_envelope(F.lit("r4"), F.col("arrival_seq"), payload))
+
+
+def review_feed(b: Bindings) -> DataFrame:
+    """The reviews endpoint with every arrival of an id; pending reviews have no time."""
+    e = b.events_for(b.pull_requests, "pr_number", b.item_event_versions)
+    n = F.col("number")
+    payload = F.struct(
+        F.col("event_id").alias("id"),
+        n.alias("pr_number"),
+        F.struct(F.col("author").alias("login")).alias("user"),
+        F.when(F.col("l_linenumber") % 3 == 0, "APPROVED").otherwise("COMMENTED").alias("state"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("line "), F.col("l_linenumber").cast("string"))).alias("body"),
+        F.when(n % 43 != 0, _some_form("created_at", n)).alias("submitted_at"),
+    )
+    return e.select(*_envelope(F.lit("r5"), F.col("arrival_seq"), payload))
