@@ -26,6 +26,8 @@ SHARDS = 40
 ROUNDS = 6
 #: Bytes counted for a row besides its text.
 ROW_BYTES = 16
+#: Equal rows unfolded at once; more are dealt to other tasks first.
+UNFOLD = 10_000
 
 
 def _half_bits(n: int) -> int:
@@ -76,7 +78,8 @@ def assign(
     """doc_id, size, text_crc32, row_number, shard and slot of every row of ``docs``.
 
     Rows equal in id and text are summed into one before they are numbered and
-    unfolded after, so a hot id or text stays one row in the shuffles.
+    unfolded after, so a hot id or text stays one row in the shuffles. Unfolding
+    deals stretches of at most :data:`UNFOLD` numbers to the tasks.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     thin = docs.select(
@@ -92,9 +95,15 @@ def assign(
         F.lit(0).alias("all"), F.lit(max(1, int(distinct**0.5))).cast("long").alias("n_buckets")
     )
     ranked = numbered(rows, ["all"], same, "copies", buckets)
-    unfolded = ranked.withColumn(
-        "row_number", F.explode(F.sequence(F.col("rank"), F.col("rank") + F.col("copies") - 1))
-    ).select("doc_id", "size", "text_crc32", "row_number")
+    last = F.col("rank") + F.col("copies") - 1
+    stretches = ranked.select(
+        "doc_id", "size", "text_crc32", last.alias("last"),
+        F.explode(F.sequence("rank", last, F.lit(UNFOLD).cast("long"))).alias("from"),
+    ).repartition("from")
+    unfolded = stretches.select(
+        "doc_id", "size", "text_crc32",
+        F.explode(F.sequence("from", F.least("last", F.col("from") + UNFOLD - 1))).alias("row_number"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -238,6 +238,15 @@ def test_sharding_law_slots_and_inverse(spark, which):
         assert sorted(map(repr, again)) == sorted(map(repr, got))
 
 
+def test_sharding_unfolds_many_equal_rows_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "UNFOLD", 7)
+    docs = spark.createDataFrame([(1, "same")] * 50 + [(None, None)] * 15 + [(2, "b")], "doc_id long, text string")
+    rows = sharding.assign(docs, shards=4).collect()
+    assert sorted(r.row_number for r in rows) == list(range(66))
+    assert sorted(r.slot * 4 + r.shard for r in rows) == list(range(66))
+    assert sum(r.doc_id == 1 for r in rows) == 50
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 40, 1000, 4097):
         y = sharding.permute(np.arange(n), n, 9)
