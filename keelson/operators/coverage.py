@@ -81,12 +81,20 @@ def page_limit_hit(page: str, items: str, max_pages: int | str, per_page: int =
     return (F.col(page) == mp) & (F.col(items) == per_page)
 
 
-def run_stats(page_log: DataFrame) -> DataFrame:
-    """Pagination statistics per (repository, entity, run): pages, items, truncated."""
-    return page_log.groupBy(REPO, "entity_type", "run_day").agg(
+def run_stats(page_log: DataFrame, run: str = "run_day") -> DataFrame:
+    """Pagination statistics per (repository, entity, run): pages, items, truncated.
+
+    ``run`` is the page log's column that tells runs apart.
+    """
+    return _run_stats(page_log, run).drop("last_fetch")
+
+
+def _run_stats(page_log: DataFrame, run: str) -> DataFrame:
+    return page_log.groupBy(REPO, "entity_type", run).agg(
         F.count(F.lit(1)).alias("pages"),
         F.sum("items").cast("long").alias("items"),
         F.bool_or("limit_hit").alias("truncated"),
+        F.max("fetched_at").alias("last_fetch"),
     )
 
 
@@ -108,24 +116,28 @@ def observed(tables) -> DataFrame:
     )
 
 
-def coverage(tables, page_log: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
-    """Coverage evidence per (repository, entity) for every repository with a run."""
-    stats = run_stats(page_log)
-    fold = stats.groupBy(REPO, "entity_type").agg(
+def coverage(
+    tables, page_log: DataFrame, max_pages: int = DEFAULT_MAX_PAGES, run: str = "run_day"
+) -> DataFrame:
+    """Coverage evidence per (repository, entity) for every repository with a run.
+
+    The latest run is the one that fetched last. The page limit is the latest
+    run's where the log has a column ``max_pages``, else the parameter.
+    """
+    by_time = F.struct("last_fetch", run)
+    fold = _run_stats(page_log, run).groupBy(REPO, "entity_type").agg(
         F.bool_or("truncated").alias("ever_truncated"),
-        F.max_by(F.struct("run_day", "pages", "truncated"), "run_day").alias("last"),
-    )
-    runs = page_log.groupBy(REPO).agg(
-        F.max("run_day").alias("last_run_day"), F.max("fetched_at").alias("refreshed_at")
+        F.max_by(F.struct(F.col(run).alias("run"), "pages", "truncated"), by_time).alias("last"),
     )
+    limit = F.col("max_pages") if "max_pages" in page_log.columns else F.lit(max_pages)
+    newest = F.max_by(F.struct(F.col(run).alias("last_run"), limit.alias("max_pages")), F.struct("fetched_at", run))
+    runs = page_log.groupBy(REPO).agg(newest.alias("n"), F.max("fetched_at").alias("refreshed_at"))
     entities = F.array(*[F.lit(e) for e in OBSERVED_BY])
-    per_entity = runs.select(
-        REPO, "last_run_day", "refreshed_at", F.explode(entities).alias("entity_type")
-    )
+    per_entity = runs.select(REPO, "n.*", "refreshed_at", F.explode(entities).alias("entity_type"))
     j = per_entity.join(fold, [REPO, "entity_type"], "left").join(
         observed(tables), [REPO, "entity_type"], "left"
     )
-    in_last = F.col("last.run_day") == F.col("last_run_day")
+    in_last = F.col("last.run") == F.col("last_run")
     last_pages = F.when(in_last, F.col("last.pages")).otherwise(F.lit(0)).cast("int")
     last_trunc = F.coalesce(F.when(in_last, F.col("last.truncated")), F.lit(False))
     complete = F.when(
@@ -141,11 +153,11 @@ def coverage(tables, page_log: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) ->
         "first_observed_at",
         "last_observed_at",
         last_pages.alias("pages_fetched"),
-        F.lit(max_pages).alias("max_pages"),
+        "max_pages",
         last_trunc.alias("last_run_truncated"),
         complete.alias("history_complete"),
         scope.alias("coverage_scope"),
-        F.concat(F.col(REPO), F.lit("@"), F.col("last_run_day").cast("string")).alias(
+        F.concat(F.col(REPO), F.lit("@"), F.col("last_run").cast("string")).alias(
             "last_run_id"
         ),
         "refreshed_at",

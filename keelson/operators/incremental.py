@@ -88,10 +88,10 @@ def reviews_in_scope(reviews: DataFrame, scope: DataFrame) -> DataFrame:
     return reviews.join(scope, [REPO, "pr_number"], "left_semi")
 
 
-def collection_results(page_log: DataFrame) -> DataFrame:
-    """Per run (repository, run day): rows loaded per entity, total, and the
+def collection_results(page_log: DataFrame, run: str = "run_day") -> DataFrame:
+    """Per run (repository, ``run``): rows loaded per entity, total, and the
     sorted list of entities whose pagination hit the limit."""
-    per_entity = page_log.groupBy(REPO, "run_day", "entity_type").agg(
+    per_entity = page_log.groupBy(REPO, run, "entity_type").agg(
         F.sum("items").cast("long").alias("items"),
         F.bool_or("limit_hit").alias("truncated"),
     )
@@ -100,7 +100,7 @@ def collection_results(page_log: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(e == name, F.col("items"))), F.lit(0)).cast("long").alias(f"{name}_loaded")
         for name in ENTITIES
     ]
-    return per_entity.groupBy(REPO, "run_day").agg(
+    return per_entity.groupBy(REPO, run).agg(
         *aggs,
         F.sum("items").cast("long").alias("total_loaded"),
         F.array_join(

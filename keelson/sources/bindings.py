@@ -17,8 +17,10 @@ from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keelson.operators.coverage import page_limit_hit
 from keelson.operators.upsert import keep_last
 
 # Reference instants for the two families of bound entities.
@@ -310,6 +312,31 @@ class Bindings:
         ).withColumn("limit_hit", F.col("items") == 100)
 
 
+    @cached_property
+    def run_pages(self) -> DataFrame:
+        """A page log by run: two runs a day, each with its page limit; one page in 200 is full.
+
+        Pages are numbered within a run's entity in fetch order and end at the
+        limit, so each map task keeps no more than a run's pages of an entity.
+        """
+        day = F.to_date("ts")
+        half = F.when(F.hour("ts") < 12, "a").otherwise("b")
+        comments = F.when(F.col("event_id") % 2 == 0, "issue_comments").otherwise("pr_reviews")
+        names = F.create_map(*[F.lit(x) for kv in PAGE_ENTITY.items() if kv[0] != "error" for x in kv])
+        turn = F.dayofmonth("ts") % 3
+        pages = self._ev.select(
+            "repo_full_name",
+            F.concat(day.cast("string"), half).alias("run_id"),
+            F.when(F.col("event_type") == "error", comments).otherwise(names[F.col("event_type")]).alias("entity_type"),
+            "event_id",
+            F.when(F.col("event_id") % 200 == 0, 100).otherwise(40).alias("items"),
+            F.when(turn == 0, 2).when(turn == 1, 8).otherwise(30).alias("max_pages"),
+            F.col("ts").alias("fetched_at"),
+        )
+        w = W.partitionBy("repo_full_name", "run_id", "entity_type").orderBy("event_id")
+        numbered = pages.withColumn("page", F.row_number().over(w)).where(F.col("page") <= F.col("max_pages"))
+        return numbered.withColumn("limit_hit", page_limit_hit("page", "items", "max_pages")).drop("event_id")
+
     @contextmanager
     def shared_inputs(self):
         """Persist the two joins every bound entity derives from (orders with
