@@ -173,17 +173,22 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[str], weight: str, buckets: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, group: list[str], order: list[str], weight: str, buckets: DataFrame | int) -> DataFrame:
     """``rows`` with ``rank``: where a row's ``weight`` numbers begin, dense from 0 within each ``group``.
 
     ``buckets`` has for each group the number of buckets ``n_buckets`` to count
-    in, at most 100,000 rows in all (it is broadcast); about the square root of
+    in, at most 100,000 rows in all (it is broadcast), or is their number where
+    there is one group; about the square root of
     a group's rows keeps both the buckets and the table of their sums small.
     Rows are dealt by a hash of ``order``, so a large group is spread, and the
     numbers depend on the rows alone. Rows equal in ``order`` should be summed
     into one row first.
     """
-    dealt = rows.join(F.broadcast(buckets), group).withColumn(
+    if isinstance(buckets, int):
+        counted = rows.withColumn("n_buckets", F.lit(buckets).cast("long"))
+    else:
+        counted = rows.join(F.broadcast(buckets), group)
+    dealt = counted.withColumn(
         "__bucket", F.pmod(F.xxhash64(*order), F.col("n_buckets"))
     )
     sums = dealt.groupBy(*group, "__bucket").agg(F.sum(weight).alias("__sum"))

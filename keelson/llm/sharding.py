@@ -91,10 +91,7 @@ def assign(
     same = ["doc_id", "size", "text_crc32", "digest"]
     rows = cut(thin.groupBy(*same).agg(F.count("*").alias("copies")).withColumn("all", F.lit(0)))
     n, distinct = rows.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
-    buckets = rows.sparkSession.range(1).select(
-        F.lit(0).alias("all"), F.lit(max(1, int(distinct**0.5))).cast("long").alias("n_buckets")
-    )
-    ranked = numbered(rows, ["all"], same, "copies", buckets)
+    ranked = numbered(rows, ["all"], same, "copies", max(1, int(distinct**0.5)))
     last = F.col("rank") + F.col("copies") - 1
     stretches = ranked.select(
         "doc_id", "size", "text_crc32", last.alias("last"),
