@@ -368,8 +368,9 @@ def first_responses(items: DataFrame, events: DataFrame, number: str, event_time
     Built skew-safe: events are first reduced to one row per (item, author)
     (map-side combine), self-replies are removed by an anti join on
     (repo, number, author) -- a key with one row per side -- and only then
-    reduced to one row per item. No join ever meets a hot (repo, number) key
-    with more than one row on either side.
+    reduced to one row per item. No join here meets a hot (repo, number) key
+    with more than one row on either side. ``items`` need only be those whose
+    responses are read.
     """
     per_author = (
         events.where(not_bot("author"))
@@ -394,8 +395,12 @@ PR_RESPONSE = ("reviewed_prs", "median_first_review_hours", "p90_first_review_ho
 def _response_parts(
     window: Window, items: DataFrame, events: DataFrame, number: str, event_time: str, x: str
 ) -> list[DataFrame]:
-    first = first_responses(items, events, number, event_time)
     scoped = items.where(window.contains("created_at")).select(REPO, number, "author", "created_at")
+    if window.start or window.end:
+        # Only the window's items' events are shuffled for aggregation. Raw events may meet a hot
+        # item here; the semi join's event side is one that Spark can split.
+        events = events.join(scoped.select(REPO, number), [REPO, number], "left_semi")
+    first = first_responses(scoped, events, number, event_time)
     joined = scoped.join(first, [REPO, number], "left")
     # One pass: unresponded items carry a NULL duration, so the quantile pass
     # also yields the responded (non-NULL) and total (all rows) counts.

@@ -18,15 +18,9 @@ HIGH, MEDIUM = "high", "medium"
 ITEM_URL_BASE = "https://github.com/"
 
 
-def _responded(
-    candidates: DataFrame, all_items: DataFrame, events: DataFrame, number: str, event_time: str
-) -> DataFrame:
-    """``candidates`` with a flag: at least one qualifying (non-bot, non-self) event.
-
-    First responses are computed over *all* items -- the same subplan as the
-    response KPIs, so a job using both reuses its shuffle output.
-    """
-    first = first_responses(all_items, events, number, event_time)
+def _responded(candidates: DataFrame, events: DataFrame, number: str, event_time: str) -> DataFrame:
+    """``candidates`` with a flag: at least one qualifying (non-bot, non-self) event."""
+    first = first_responses(candidates, events, number, event_time)
     return candidates.join(first, [REPO, number], "left").withColumn(
         "responded", F.col("first_response_at").isNotNull() & F.col("author").isNotNull()
     )
@@ -50,7 +44,7 @@ def maintainer_tasks(tables, window: Window, as_of: datetime, limit: int | None
     open_issues = tables.issues.where(
         (F.col("state") == "open") & (F.col("created_at") < ts_lit(end))
     ).select(REPO, "issue_number", "author", "title", "created_at")
-    issues = _responded(open_issues, tables.issues, tables.issue_comments, "issue_number", "created_at")
+    issues = _responded(open_issues, tables.issue_comments, "issue_number", "created_at")
     un = ~F.col("responded")
     issue_tasks = issues.where(o30 | (un & o7)).select(
         REPO,
@@ -71,7 +65,7 @@ def maintainer_tasks(tables, window: Window, as_of: datetime, limit: int | None
     open_prs = tables.pull_requests.where(
         (F.col("state") == "open") & ~F.col("draft") & (F.col("created_at") < ts_lit(end))
     ).select(REPO, "pr_number", "author", "title", "created_at")
-    prs = _responded(open_prs, tables.pull_requests, tables.pr_reviews, "pr_number", "submitted_at")
+    prs = _responded(open_prs, tables.pr_reviews, "pr_number", "submitted_at")
     ur = ~F.col("responded")
     pr_tasks = prs.where(o30 | (ur & o7)).select(
         REPO,

@@ -27,6 +27,15 @@ def test_bot_filter_reaches_event_scan(spark):
     assert "Not(StringStartsWith(author,dependabot))" in p
 
 
+def test_windowed_responses_read_only_the_windows_events(spark):
+    p = plan(spark, "pr_response_kpis_180d")
+    assert "LeftSemi" in p
+    events = [line for line in p.splitlines() if "FileScan" in line and "submitted_at" in line]
+    assert len(events) == 1
+    own = [line for line in p.splitlines() if "FileScan" in line and "created_at" in line]
+    assert own and all("GreaterThanOrEqual(created_at" in line for line in own)
+
+
 def test_distinct_counts_do_not_expand(spark):
     assert "Expand" not in plan(spark, "contributor_kpis")
 
