@@ -86,15 +86,10 @@ def run_stats(page_log: DataFrame, run: str = "run_day") -> DataFrame:
 
     ``run`` is the page log's column that tells runs apart.
     """
-    return _run_stats(page_log, run).drop("last_fetch")
-
-
-def _run_stats(page_log: DataFrame, run: str) -> DataFrame:
     return page_log.groupBy(REPO, "entity_type", run).agg(
         F.count(F.lit(1)).alias("pages"),
         F.sum("items").cast("long").alias("items"),
         F.bool_or("limit_hit").alias("truncated"),
-        F.max("fetched_at").alias("last_fetch"),
     )
 
 
@@ -121,25 +116,23 @@ def coverage(
 ) -> DataFrame:
     """Coverage evidence per (repository, entity) for every repository with a run.
 
-    The latest run is the one that fetched last. The page limit is the latest
-    run's where the log has a column ``max_pages``, else the parameter.
+    The latest run is the one that fetched last; runs may overlap in time. The page limit
+    is the latest run's where the log has a column ``max_pages``, else the parameter.
     """
-    by_time = F.struct("last_fetch", run)
-    fold = _run_stats(page_log, run).groupBy(REPO, "entity_type").agg(
-        F.bool_or("truncated").alias("ever_truncated"),
-        F.max_by(F.struct(F.col(run).alias("run"), "pages", "truncated"), by_time).alias("last"),
-    )
     limit = F.col("max_pages") if "max_pages" in page_log.columns else F.lit(max_pages)
     newest = F.max_by(F.struct(F.col(run).alias("last_run"), limit.alias("max_pages")), F.struct("fetched_at", run))
     runs = page_log.groupBy(REPO).agg(newest.alias("n"), F.max("fetched_at").alias("refreshed_at"))
+    in_last = F.when(F.col(run) == F.col("last_run"), F.struct("pages", "truncated"))
+    fold = run_stats(page_log, run).join(runs.select(REPO, "n.last_run"), REPO).groupBy(REPO, "entity_type").agg(
+        F.bool_or("truncated").alias("ever_truncated"), F.max(in_last).alias("last")
+    )
     entities = F.array(*[F.lit(e) for e in OBSERVED_BY])
     per_entity = runs.select(REPO, "n.*", "refreshed_at", F.explode(entities).alias("entity_type"))
     j = per_entity.join(fold, [REPO, "entity_type"], "left").join(
         observed(tables), [REPO, "entity_type"], "left"
     )
-    in_last = F.col("last.run") == F.col("last_run")
-    last_pages = F.when(in_last, F.col("last.pages")).otherwise(F.lit(0)).cast("int")
-    last_trunc = F.coalesce(F.when(in_last, F.col("last.truncated")), F.lit(False))
+    last_pages = F.coalesce(F.col("last.pages"), F.lit(0)).cast("int")
+    last_trunc = F.coalesce(F.col("last.truncated"), F.lit(False))
     complete = F.when(
         F.col("entity_type").isin(*FULL_REPLACE), ~last_trunc
     ).otherwise(~F.coalesce(F.col("ever_truncated"), F.lit(False)))

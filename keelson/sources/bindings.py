@@ -314,10 +314,10 @@ class Bindings:
 
     @cached_property
     def run_pages(self) -> DataFrame:
-        """A page log by run: two runs a day, each with its page limit; one page in 200 is full.
+        """A page log by run: runs of each half day, each with its page limit; one page in 200 is full.
 
-        Pages are numbered within a run's entity in fetch order and end at the
-        limit, so each map task keeps no more than a run's pages of an entity.
+        Pages of an entity are numbered in fetch order; where a half day has more
+        than the limit, the next run goes on, so every page is in one run.
         """
         day = F.to_date("ts")
         half = F.when(F.hour("ts") < 12, "a").otherwise("b")
@@ -334,8 +334,13 @@ class Bindings:
             F.col("ts").alias("fetched_at"),
         )
         w = W.partitionBy("repo_full_name", "run_id", "entity_type").orderBy("event_id")
-        numbered = pages.withColumn("page", F.row_number().over(w)).where(F.col("page") <= F.col("max_pages"))
-        return numbered.withColumn("limit_hit", page_limit_hit("page", "items", "max_pages")).drop("event_id")
+        before = F.row_number().over(w) - 1
+        nth = F.floor(F.col("before") / F.col("max_pages")).cast("int")
+        later = F.format_string("%s.%06d", F.col("run_id"), nth)
+        numbered = pages.withColumn("before", before).withColumns(
+            {"run_id": F.when(nth > 0, later).otherwise(F.col("run_id")), "page": F.col("before") % F.col("max_pages") + 1}
+        )
+        return numbered.withColumn("limit_hit", page_limit_hit("page", "items", "max_pages")).drop("event_id", "before")
 
     @contextmanager
     def shared_inputs(self):
