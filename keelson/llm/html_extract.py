@@ -3,9 +3,11 @@
 A page is read once into a light tree of block elements. Every paragraph (a run
 of text in one block) passes points for its length and commas to its parent, in
 full, and to its grandparent, by half; a container's score is discounted by its
-link density. The best container is kept, with those siblings that score well
-or read like prose; menus, headers, footers, sidebars, notices, adverts, forms
-and reader comments are known by element, role, class or id and left out first.
+link density. The best container is kept, with what stands beside it on every
+level up to its outermost article or main element, and beside that (without one,
+beside the container): text, headings and blocks of any size that aren't mostly links. Menus,
+headers, footers, sidebars, notices, adverts, forms and reader comments are known
+by element, role, class or id and left out first.
 
 Defined cases: null and empty pages and pages without text give the empty
 string; broken markup (unclosed elements, unmatched end tags, missing ends) is
@@ -66,8 +68,9 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in RAW}
 
-#: Shares and sizes by which a sibling of the best container is kept.
-SIBLING_SHARE, PROSE_CHARS, PROSE_LINKS = 0.2, 80, 0.25
+#: Share of link text from which a block beside the best container is left out.
+DENSE_LINKS = 0.5
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 
 @dataclass(slots=True)
@@ -214,22 +217,23 @@ def main_text(source: str) -> str:
 
     value = {i: (nodes[i].score + BONUS.get(nodes[i].tag, 0.0)) * (1 - density(i)) for i in scored}
     best = max(value, key=lambda i: (value[i], -i))
-    kept = {best}
-    first: dict[int, str] = {}
-    for at, text, _ in runs:
-        first.setdefault(at, text)
+    # Up to the outermost article or main element, then on to the first element that holds more.
+    path = [best]
+    while nodes[path[-1]].parent >= 0:
+        path.append(nodes[path[-1]].parent)
+    tops = [k for k, i in enumerate(path) if nodes[i].tag in ("article", "main")]
+    whole = tops[-1] if tops else 0
+    top = next((k for k, i in enumerate(path) if nodes[i].chars > nodes[path[whole]].chars), whole)
+    kept, around = {best}, set(path[1 : top + 1])
     for i, node in enumerate(nodes):
-        if node.parent == nodes[best].parent and i != best and node.chars:
-            good = value.get(i, 0.0) >= max(10.0, SIBLING_SHARE * value[best])
-            prose = node.tag == "p" and density(i) < PROSE_LINKS and (
-                node.chars > PROSE_CHARS or re.search(r"[.!?…](?:\s|$)", first.get(i, ""))
-            )
-            if good or prose:
-                kept.add(i)
+        if node.parent in around and i not in around and (density(i) < DENSE_LINKS or node.tag in HEADINGS):
+            kept.add(i)
     inside = [False] * len(nodes)
     for i, node in enumerate(nodes):
         inside[i] = i in kept or (node.parent >= 0 and inside[node.parent])
-    return "\n".join(text for at, text, _ in runs if inside[at])
+    return "\n".join(
+        text for at, text, links in runs if inside[at] or (at in around and links < DENSE_LINKS * len(text))
+    )
 
 
 def extract(pages: DataFrame, carry: list[str], html_col: str = "html") -> DataFrame:

@@ -334,6 +334,22 @@ def test_pages_match_an_independent_reading(spark):
     assert [(r.text, r.n_chars) for r in html_extract.extract(odd, ["page_id", "url"]).collect()] == [("", 0)] * 3
 
 
+def test_main_text_beside_the_best_container():
+    long = "One clause, two clauses, three clauses, and the rest of a paragraph that goes on for a while. " * 3
+    body, text = f"<p>{long}</p>" * 10, "\n".join([long.strip()] * 10)
+    menu = "<div><a href=a>Home</a> <a href=b>News</a></div>"
+    cases = {
+        f"<article><h1>T</h1><div class=content>{body}</div><ul><li>a<li>b<li>c</ul></article>": f"T\n{text}\na\nb\nc",
+        f"<article><section>{body}</section>loose<section><p>Short.</p></section>{menu}</article>": f"{text}\nloose\nShort.",
+        f"{menu}<div><h2><a href=x>T</a></h2><section><div>{body}</div></section><div><p>Short</p></div></div><p>far</p>":
+            f"T\n{text}\nShort",
+        f"<main><h1>T</h1><article><p>In.</p><article>{body}</article><table><tr><td>1</table></article>{menu}"
+        "<blockquote>Q</blockquote></main><p>Beside.</p>": f"T\nIn.\n{text}\n1\nQ\nBeside.",
+        f"<article>{body}</article>{menu}<article><p>Other.</p></article>": f"{text}\nOther.",
+    }
+    assert {k: html_extract.main_text(k) for k in cases} == cases
+
+
 # ------------------------------------------------------------ 7 suffix dedup
 
 
