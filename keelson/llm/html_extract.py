@@ -22,6 +22,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,13 +52,25 @@ BONUS = {
     "article": 15.0, "main": 10.0, "div": 5.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0,
     "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "dt": -3.0, "dd": -3.0,
 }
-#: Words in class, id or role that mark parts around the article.
+#: Marks of an element: plain, around the article by its words or a form, around it by what it is, never shown.
+PLAIN, WORDED, FOREIGN, GONE = range(4)
+#: Dropped elements that can hold the article by mistake, with their marks; the others are never shown as text.
+HOLDERS = {"form": WORDED} | dict.fromkeys("nav header footer aside dialog menu search".split(), FOREIGN)
+#: Parts of a word in class, id or role that mark parts around the article, those of others' texts, and
+#: parts that may stand beside them. A word with any other part (has-sidebar, menu-open) marks nothing.
 _AROUND = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|cookies?|consent|notices?|notification|alert|"
-    r"popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommended|sidebar|side|"
-    r"widgets?|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|topbar|comments?|disqus|repl(?:y|ies)|"
-    r"respond|login|signup|search|pagination|pager|skip|complementary|contentinfo|hidden)(?:$|[\s_-])",
-    re.I,
+    r"banners?|notices?|notification|alert|popup|modal|overlay|share|sharing|social|related|recommended|sidebar|side|"
+    r"widgets?|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|topbar|login|signup|search|pagination|"
+    r"pager|skip|complementary|contentinfo|hidden"
+)
+_FOREIGN = re.compile(
+    r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|newsletter|subscribe|subscription|comments?|disqus|"
+    r"repl(?:y|ies)|respond"
+)
+_BESIDE = re.compile(
+    r"\d*|site|page|main|global|top|bottom|left|right|primary|secondary|sticky|fixed|mobile|desktop|area|box|bar|block|"
+    r"wrap|wrapper|container|inner|outer|panel|section|region|row|group|unit|slot|module|leaderboard|google|list|items?|"
+    r"links?|icons?|buttons?|form|title|text|body|media|posts?|article|entry|thread|toggle|trail"
 )
 _NEVER = {"html", "body", "article", "main"}
 _TOKEN = re.compile(
@@ -70,6 +83,8 @@ _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in R
 
 #: Share of link text from which a block beside the best container is left out.
 DENSE_LINKS = 0.5
+#: A run of text is prose if it is a paragraph or so long, with a smaller share of links.
+PROSE_CHARS, PROSE_LINKS = 80, 0.25
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 
@@ -77,7 +92,8 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 class Node:
     tag: str
     parent: int
-    dropped: bool
+    mark: int
+    foreign: bool = False  # an article element of others' text, such as a comment
     score: float = 0.0
     chars: int = 0
     links: int = 0
@@ -85,24 +101,36 @@ class Node:
 
 @dataclass(slots=True)
 class Page:
-    nodes: list[Node] = field(default_factory=lambda: [Node("#root", -1, False)])
+    nodes: list[Node] = field(default_factory=lambda: [Node("#root", -1, PLAIN)])
     runs: list[tuple[int, str, int]] = field(default_factory=list)  # node, text, characters in links
 
 
-def _around(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if not attributes or tag in _NEVER:
-        return False
+def _mark(tag: str, attributes: str) -> int:
+    mark = HOLDERS.get(tag, GONE if tag in DROPPED else PLAIN)
+    if not attributes or mark == GONE:
+        return mark
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id", "role") and _AROUND.search(value):
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+        if name in ("class", "id", "role"):
+            mark = max(mark, *map(_word_mark, value.lower().split()), PLAIN)
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            mark = FOREIGN
+        elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            mark = FOREIGN
+    return mark
+
+
+@lru_cache(maxsize=10_000)
+def _word_mark(word: str) -> int:
+    mark = PLAIN
+    for part in re.split("[-_]+", word):
+        if _FOREIGN.fullmatch(part):
+            mark = FOREIGN
+        elif _AROUND.fullmatch(part):
+            mark = max(mark, WORDED)
+        elif not _BESIDE.fullmatch(part):
+            return PLAIN
+    return mark
 
 
 def parse(source: str) -> Page:
@@ -176,20 +204,57 @@ def parse(source: str) -> Page:
                 close_to(next((d for d in range(1, len(stack)) if stack[d][0] == "head"), len(stack)))
             flush()
         _, node, dropped, in_link = stack[-1]
-        dropped = dropped or _around(tag, attributes)
+        mark = _mark(tag, attributes)
+        foreign = tag == "article" and mark == FOREIGN
+        if tag in _NEVER:
+            mark = PLAIN
         if tag in BLOCK:
-            nodes.append(Node(tag, node, dropped))
+            nodes.append(Node(tag, node, mark, foreign))
             node = len(nodes) - 1
+        # Marked blocks are judged with the whole page; parts of a line go at once.
+        dropped = dropped or mark == GONE or (mark != PLAIN and tag not in BLOCK)
         if not attributes.rstrip().endswith("/"):
             stack.append((tag, node, dropped, in_link or tag == "a"))
     flush()
     return page
 
 
+def shown(page: Page) -> list[tuple[int, str, int]]:
+    """The runs outside the parts around the article.
+
+    A marked element stays if it holds the page's article or main element (that
+    with most prose); one marked by its words alone, or a form, also if it holds
+    most of the page's prose.
+    """
+    nodes, runs = page.nodes, page.runs
+    if not any(node.mark for node in nodes):
+        return runs
+    prose, chars = [0] * len(nodes), [0] * len(nodes)
+    for at, text, links in runs:
+        chars[at] += len(text)
+        if links < PROSE_LINKS * len(text) and (nodes[at].tag == "p" or len(text) > PROSE_CHARS):
+            prose[at] += len(text)
+    for i in range(len(nodes) - 1, 0, -1):
+        prose[nodes[i].parent] += prose[i]
+        chars[nodes[i].parent] += chars[i]
+    holds = set()
+    for tag in ("article", "main"):
+        of_page = (i for i, node in enumerate(nodes) if node.tag == tag and chars[i] and not node.foreign)
+        i = max(of_page, key=lambda i: (prose[i], chars[i], -i), default=0)
+        while i > 0:
+            holds.add(i)
+            i = nodes[i].parent
+    gone = [False] * len(nodes)
+    for i, node in enumerate(nodes):
+        stays = node.mark == PLAIN or i in holds or (node.mark == WORDED and 2 * prose[i] > prose[0])
+        gone[i] = not stays or (i > 0 and gone[node.parent])
+    return [run for run in runs if not gone[run[0]]]
+
+
 def main_text(source: str) -> str:
     """The page's main text: one line per block, in page order."""
     page = parse(source)
-    nodes, runs = page.nodes, page.runs
+    nodes, runs = page.nodes, shown(page)
     if not runs:
         return ""
     scored = set()

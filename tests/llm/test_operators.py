@@ -350,6 +350,33 @@ def test_main_text_beside_the_best_container():
     assert {k: html_extract.main_text(k) for k in cases} == cases
 
 
+def test_wrappers_named_like_boilerplate_keep_the_article():
+    body = "<p>" + "One clause, two clauses, and the rest of a paragraph. " * 9 + "</p>"
+    text = body[3:-4].strip()
+    around = "<div class=sidebar><p>Beside, no doubt.</p></div><nav><p>Menu.</p></nav><div id=comments><p>I think so.</p></div>"
+    wrappers = ["div class='layout has-sidebar'", "div class='content with-sidebar'", "div class=no-comments", "form action=x",
+                "div class=side-by-side", "div class=menu-open", "div class=category-social", "div class='row sidebar'",
+                "section id=header", "div role=search"]
+    for w in wrappers:
+        tag = w.split()[0]
+        for held in (body, f"<article>{body}</article>", f"<main><div>{body}</div></main>"):
+            page = f"<html><body><{w}>{held}{around}</{tag}<></body></html>".replace("<>", ">")
+            assert html_extract.main_text(page) == text, page
+    held = {
+        f"<{w}><article><h1>T</h1>{body}</article></{w.split()[0]}>{around}": f"T\n{text}"
+        for w in ("div class=comments", "aside", "header", "div style='display:none'", "div class=ad-slot")
+    }
+    held |= {
+        "<div><p>Short, but it is the text.</p></div><div class=post-comments>" + body + "</div>": "Short, but it is the text.",
+        f"<article>{body}</article><div class='cookie-banner'>{body}{body}</div><div class=site-footer><p>f.</p></div>": text,
+        f"<article>{body}<form><p>Name, please.</p></form></article><form>{around}</form>": text,
+        f"<article>{body}</article><div id=comments><article><p>So, so.</p></article></div>": text,
+        f"<div>{body}</div><ol class=comments><article class='comment-body x'><p>So.</p></article><li><article class=comment>"
+        "<p>No.</p></article></ol>": text,
+    }
+    assert {k: html_extract.main_text(k) for k in held} == held
+
+
 # ------------------------------------------------------------ 7 suffix dedup
 
 
