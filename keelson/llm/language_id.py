@@ -6,9 +6,10 @@ then shorter ones. A document's language is that of the largest sum.
 
 The model is fitted on a bounded, hash-drawn sample of labelled rows: about
 :data:`SAMPLE` documents of each language, whole texts. Its tables keep the
-:data:`WORDS` and :data:`NGRAMS` most frequent entries, so it can be broadcast
-whatever the corpus; a word beyond them counts as unseen. Prediction sees the
-text alone.
+:data:`WORDS` and :data:`NGRAMS` most frequent entries over all languages, and each
+language's own most frequent ones, up to an equal share of these bounds, so it
+can be broadcast whatever the corpus and a rare language keeps its words; a word
+beyond them counts as unseen. Prediction sees the text alone.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 ties go to the language first in order; without labelled rows every text is
@@ -25,13 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keelson.llm.common import blocks, cut, whole_texts
 
 #: Labelled documents sampled for each language (expected number).
 SAMPLE = 2_000
-#: Entries of the word table and of the table of n-grams of each length.
+#: Entries of the word table and of the table of n-grams of each length; languages' own come on top, as many at most.
 WORDS, NGRAMS = 60_000, 20_000
 #: Character n-gram lengths, longest first.
 LENGTHS = (5, 4, 3, 2, 1)
@@ -150,8 +152,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ))
     kept: list[tuple[int, str, str, int]] = []
     for n in (0, *LENGTHS):
-        top = per_gram.where(F.col("length") == n).orderBy(F.desc("total"), "gram").limit(WORDS if n == 0 else NGRAMS)
-        kept += [(n, r.gram, x.lang, x.n) for r in top.collect() for x in r.by_lang]
+        bound = WORDS if n == 0 else NGRAMS
+        entries = per_gram.where(F.col("length") == n)
+        top = entries.orderBy(F.desc("total"), "gram").limit(bound)
+        own = W.partitionBy("x.lang").orderBy(F.desc("x.n"), "gram")
+        tops = (
+            entries.select("gram", "by_lang", F.explode("by_lang").alias("x"))
+            .withColumn("place", F.row_number().over(own))
+            .where(F.col("place") <= max(1, bound // len(sizes)))
+        )
+        by_gram = {r.gram: r.by_lang for r in (*top.collect(), *tops.select("gram", "by_lang").collect())}
+        kept += [(n, gram, x.lang, x.n) for gram, by_lang in by_gram.items() for x in by_lang]
     return Model(list(sizes), kept)
 
 

@@ -470,6 +470,22 @@ def test_language_id_held_out_accuracy_and_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(odd, empty).collect()} == {"und"}
 
 
+def test_rare_language_keeps_its_own_words(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "WORDS", 60)
+    monkeypatch.setattr(language_id, "NGRAMS", 30)
+    rng = random.Random(3)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    rare = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20)]
+    rows = [(i, " ".join(rng.choices(common, k=60)), "common") for i in range(300)]
+    rows += [(1000 + i, " ".join(rare), "rare") for i in range(8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(d)
+    assert set(rare) <= model.index[0].keys() and len(model.index[0]) <= 2 * 60
+    assert all(len(model.index[n]) <= 2 * 30 for n in language_id.LENGTHS)
+    got = language_id.identify(spark.createDataFrame([(i, w) for i, w in enumerate(rare)], "doc_id long, text string"), model)
+    assert {r.lang_pred for r in got.collect()} == {"rare"}
+
+
 # ----------------------------------------------------------------- 10 packing
 
 
