@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10: each operator over its whole table, with production parameters.
+"""The registered queries op1 to op13: each operator over its whole table, with production parameters.
 
 Queries take (spark, sf_dir) and read only what Spark can read. ``ORACLES`` has
 DuckDB SQL where SQL can express the result; the others are tested against
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import (
-    exact_topk, html_extract, language_id, mixing, packing, quality_rules, sharding, simhash, suffix_dedup, token_counts,
+    exact_topk, html_extract, language_id, mixing, packing, quality_rules, sharding, simhash, sql_conversations, structure_repair,
+    suffix_dedup, token_counts,
 )
 from keelson.llm.common import ship
 from keelson.session import configure
@@ -83,6 +84,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return structure_repair.repair(turns, structure_repair.damage(turns))
+
+
 _MIX_ORACLE = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(text, '') AS body, strlen(coalesce(text, '')) AS n FROM documents
@@ -127,7 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_token_counts, op3_simhash, op4_sharding, op5_quality_rules, op6_html_extract,
-        op7_suffix_dedup, op8_exact_topk, op9_language_id, op10_packing,
+        op7_suffix_dedup, op8_exact_topk, op9_language_id, op10_packing, op11_structure_repair,
     )
 }
-ORACLES: dict[str, str] = {"op1_mixing": _MIX_ORACLE, "op8_exact_topk": _TOP_ORACLE}
+ORACLES: dict[str, str] = {"op1_mixing": _MIX_ORACLE, "op8_exact_topk": _TOP_ORACLE, **sql_conversations.ORACLES}
