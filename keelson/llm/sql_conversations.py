@@ -98,4 +98,42 @@ LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
-ORACLES: dict[str, str] = {"op11_structure_repair": REPAIR}
+TRIE = f"""
+WITH {_CRC}, own AS (
+  SELECT conv_id, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS turn_key,
+         len(regexp_extract_all(coalesce(text, ''), '{_SPACE}+')) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, {_crc("conv_id::VARCHAR")} % 4 AS h, conv_id - conv_id % 20 AS base
+  FROM (SELECT DISTINCT conv_id FROM own), crc_table
+), rebuilt AS (
+  SELECT i.conv_id, 0 AS part, o.pos, o.turn_key, o.words FROM ids i JOIN own o ON o.conv_id = i.base AND o.pos <= i.h
+  UNION ALL
+  SELECT i.conv_id, 1, o.pos, o.turn_key, o.words FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.pos > i.h
+), path AS (
+  SELECT conv_id, 0 AS depth, '' AS node, NULL AS parent, 0 AS words FROM ids
+  UNION ALL
+  SELECT conv_id, depth, md5(keys), CASE WHEN depth = 1 THEN '' ELSE md5(left(keys, 64 * (depth::INT - 1))) END, words FROM (
+    SELECT conv_id, words, row_number() OVER w AS depth, string_agg(turn_key, '') OVER w AS keys
+    FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+  )
+), length AS (
+  SELECT conv_id, max(depth) AS depth FROM path GROUP BY conv_id
+), nodes AS (
+  SELECT p.node, any_value(p.parent) AS parent, any_value(p.depth) AS depth, min(p.conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(p.words) AS saved,
+         sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (p.depth = l.depth), '')) AS ends_sha256
+  FROM path p JOIN length l ON l.conv_id = p.conv_id GROUP BY p.node
+), branching AS (
+  SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), subtree AS (
+  SELECT a.node, count(*) FILTER (b.node IS NULL) AS n_leaves, sum(n.saved) AS saved_tokens
+  FROM nodes n JOIN path a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN branching b ON b.node = n.node GROUP BY a.node
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(b.n_children, 0)::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtree s ON s.node = n.node LEFT JOIN branching b ON b.node = n.node LEFT JOIN nodes u ON u.node = n.parent
+"""
+
+ORACLES: dict[str, str] = {"op11_structure_repair": REPAIR, "op13_prefix_trie": TRIE}

@@ -13,7 +13,7 @@ from functools import cache
 import duckdb
 import pytest
 
-from keelson.llm import q_llm, structure_repair
+from keelson.llm import prefix_trie, q_llm, structure_repair
 
 SF = "/root/testdata/sf0.001"
 TURNS = "conv_id long, turn long, role string, text string, marker string, first_at string, n string, symbol string"
@@ -177,3 +177,72 @@ def test_repair_sql_agrees_on_odd_rows(spark, tmp_path):
     d = odd_turns(spark, 5, 120)
     got = rows_of(structure_repair.repair(d, structure_repair.damage(d)), REPAIRED)
     assert got == duck_rows(spark, tmp_path, d, q_llm.ORACLES["op11_structure_repair"], REPAIRED)
+
+
+# ------------------------------------------------------------- 13 prefix trie
+
+NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def brute_trie(rows, rebuilt=True):
+    own = {}
+    for conv_id, turn, role, text in rows:
+        if conv_id is not None:
+            own.setdefault(conv_id, []).append((turn is not None, turn or 0, (role or "").encode(), (text or "").encode()))
+    own = {c: [t[2:] for t in sorted(ts)] for c, ts in own.items()}
+    members = {}
+    for c, ts in own.items():
+        if rebuilt:
+            h, base = zlib.crc32(str(c).encode()) % 4, c - (abs(c) % 20) * (1 if c > 0 else -1)
+            ts = own.get(base, [])[:h] + ts[h:]
+        for d in range(len(ts) + 1):
+            members.setdefault(tuple(ts[:d]), []).append((c, d == len(ts)))
+    out = []
+    for path, found in members.items():
+        below = [p for p in members if p[: len(path)] == path]
+        children = [p for p in below if len(p) == len(path) + 1]
+        leaves = sum(not any(q[:-1] == p for q in below if q) for p in below)
+        saved = sum((len(members[p]) - 1) * len(re.findall(rb"[^\x20\x09-\x0D]+", p[-1][1])) for p in below if p)
+        ends = ",".join(str(c) for c, last in sorted(found) if last)
+        up = min(members[path[:-1]])[0] if path else None
+        out.append((min(found)[0], len(path), up, len(found), len(children), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def hot_turns(spark):
+    """A hot first turn, many copies of one conversation, one that is part of another."""
+    rows = []
+    for c in range(90):
+        first = "hello there" if c % 3 else f"turn {c % 4}"
+        rest = [("assistant", "same words again"), ("user", "and on")] if c % 2 else [("assistant", f"own {c % 7}")] * (c % 5)
+        rows += [(c * 20, i, r, t, "m", "f", "n", "s") for i, (r, t) in enumerate([("user", first), *rest])]
+    return spark.createDataFrame(rows, TURNS)
+
+
+@pytest.mark.parametrize("limit", [1, 3, 1024])
+@pytest.mark.parametrize("which", [0, 1, 2, 3])
+def test_trie_matches_brute_force(spark, which, limit):
+    d = (odd_turns(spark, 4, 120), spark.read.parquet(f"{SF}/conversations.parquet"), hot_turns(spark).limit(0), hot_turns(spark))[which]
+    want = brute_trie([(r.conv_id, r.turn, r.role, r.text) for r in d.collect()])
+    assert rows_of(prefix_trie.trie(d, limit=limit), NODE) == want
+
+
+def test_trie_without_families(spark):
+    d = hot_turns(spark)
+    want = brute_trie([(r.conv_id, r.turn, r.role, r.text) for r in d.collect()], rebuilt=False)
+    assert rows_of(prefix_trie.trie(d, rebuilt=False, limit=5), NODE) == want
+
+
+def test_trie_shards_across_arrow_batches(spark):
+    d = hot_turns(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows_of(prefix_trie.trie(d, limit=20), NODE) == rows_of(prefix_trie.trie(d, limit=1000), NODE)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(q_llm.ARROW_ROWS))
+
+
+def test_trie_sql_agrees_on_odd_rows(spark, tmp_path):
+    d = odd_turns(spark, 6, 150)
+    got = rows_of(prefix_trie.trie(d, limit=4), NODE)
+    assert got == duck_rows(spark, tmp_path, d, q_llm.ORACLES["op13_prefix_trie"], NODE)
