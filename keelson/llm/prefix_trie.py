@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from keelson.llm.common import cut, maybe_broadcast
 
 #: Members beyond which a node is shared by several shards.
-LIMIT = 1024
+LIMIT = 128
 #: Conversations in a family share the first turns of its first id; at most so many turns less one.
 FAMILY, HEADS = 20, 4
 

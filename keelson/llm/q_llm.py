@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import (
-    exact_topk, html_extract, language_id, mixing, packing, prefix_trie, quality_rules, sharding, simhash, sql_conversations, structure_repair,
+    exact_topk, hpy_lm, html_extract, language_id, mixing, packing, prefix_trie, quality_rules, sharding, simhash, sql_conversations, structure_repair,
     suffix_dedup, token_counts,
 )
 from keelson.llm.common import ship
@@ -89,6 +89,10 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.repair(turns, structure_repair.damage(turns))
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpy_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -137,7 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_token_counts, op3_simhash, op4_sharding, op5_quality_rules, op6_html_extract,
-        op7_suffix_dedup, op8_exact_topk, op9_language_id, op10_packing, op11_structure_repair, op13_prefix_trie,
+        op7_suffix_dedup, op8_exact_topk, op9_language_id, op10_packing, op11_structure_repair, op12_lm_score, op13_prefix_trie,
     )
 }
 ORACLES: dict[str, str] = {"op1_mixing": _MIX_ORACLE, "op8_exact_topk": _TOP_ORACLE, **sql_conversations.ORACLES}
