@@ -1,24 +1,30 @@
-"""Coverage by run: two runs a day, page limits per run, the limit rule on real page numbers."""
+"""Coverage by run: two runs a day, page limits per run, the limit rule on real page numbers; runs found in the log.
+
+Every page is in a run: where a half day has more pages than its limit, further
+runs go on. Runs without ids are sessions of fetch times.
+"""
 
 from __future__ import annotations
 
 from keelson.operators import coverage as cov
 from keelson.operators import incremental as inc
-from keelson.operators import rules
+from keelson.operators import rules, sessions
 from keelson.plans import q_reports as qr
 from keelson.plans.catalog import ORDER_AS_OF, register
 from keelson.plans.oracle import with_bindings
 
 _PAGES = """
-, numbered AS (
-  SELECT repo_full_name, strftime(ts, '%Y-%m-%d') || CASE WHEN hour(ts) < 12 THEN 'a' ELSE 'b' END AS run_id,
+, fetched AS (
+  SELECT repo_full_name, strftime(ts, '%Y-%m-%d') || CASE WHEN hour(ts) < 12 THEN 'a' ELSE 'b' END AS half_day,
          CASE event_type WHEN 'view' THEN 'issues' WHEN 'click' THEN 'pull_requests' WHEN 'purchase' THEN 'commits'
               WHEN 'signup' THEN 'releases' WHEN 'error' THEN if(event_id % 2 = 0, 'issue_comments', 'pr_reviews') END AS entity_type,
          if(event_id % 200 = 0, 100, 40) AS items, [2, 8, 30][day(ts) % 3 + 1] AS max_pages, ts AS fetched_at,
-         row_number() OVER (PARTITION BY repo_full_name, run_id, entity_type ORDER BY event_id) AS page
+         row_number() OVER (PARTITION BY repo_full_name, half_day, entity_type ORDER BY event_id) AS nth
   FROM ev),
 run_pages AS (
-  SELECT *, page = max_pages AND items = 100 AS full_at_limit FROM numbered WHERE page <= max_pages),
+  SELECT *, half_day || CASE WHEN nth > max_pages THEN printf('.%06d', (nth - 1) // max_pages) ELSE '' END AS run_id,
+         nth % max_pages = 0 AND items = 100 AS full_at_limit
+  FROM fetched),
 per_run AS (
   SELECT repo_full_name, entity_type, run_id, count(*) AS pages, sum(items)::BIGINT AS items,
          bool_or(full_at_limit) AS truncated
@@ -26,7 +32,8 @@ per_run AS (
 
 _COVERED = f"""
 , newest AS (
-  SELECT repo_full_name, max(run_id) AS run_id, arg_max(max_pages, run_id) AS max_pages, max(fetched_at) AS refreshed_at
+  SELECT repo_full_name, arg_max(run_id, {{'at': fetched_at, 'run': run_id}}) AS run_id,
+         arg_max(max_pages, {{'at': fetched_at, 'run': run_id}}) AS max_pages, max(fetched_at) AS refreshed_at
   FROM run_pages GROUP BY repo_full_name),
 seen AS (
 {qr._OBS}),
@@ -73,3 +80,47 @@ register(
     with_bindings(_PAGES + _COVERED + qr._quality_sql() + "\nSELECT * FROM quality"),
     "M11 data-quality flags over coverage by run",
 )(lambda b: rules.quality_flags(b.stored(), cov.coverage(b.stored(), b.run_pages, run="run_id"), ORDER_AS_OF))
+
+
+# --- runs found by their fetch times -----------------------------------------------------------
+
+SESSION_PAGES = 10
+_SESSIONS = f"""
+, logged AS (
+  SELECT repo_full_name, entity_type, page_seq, items, fetched_at,
+         row_number() OVER (PARTITION BY repo_full_name, entity_type ORDER BY fetched_at, page_seq) AS page_no
+  FROM page_log),
+pages AS (
+  SELECT *, coalesce(fetched_at - lag(fetched_at) OVER w >= INTERVAL {sessions.GAP_MINUTES} MINUTE, true) AS begins
+  FROM logged WHERE page_seq % 97 <> 0 WINDOW w AS (PARTITION BY repo_full_name ORDER BY fetched_at, page_seq)),
+in_run AS (
+  SELECT *, count(*) FILTER (begins) OVER (PARTITION BY repo_full_name ORDER BY fetched_at, page_seq) AS run_no FROM pages),
+numbered AS (
+  SELECT *, min(fetched_at) OVER (PARTITION BY repo_full_name, run_no) AS run_started_at,
+         max(fetched_at) OVER (PARTITION BY repo_full_name, run_no) AS run_ended_at,
+         row_number() OVER (PARTITION BY repo_full_name, run_no, entity_type ORDER BY fetched_at, page_no) AS page,
+         lag(page_no, 1, 0) OVER (PARTITION BY repo_full_name, entity_type ORDER BY page_no) AS known
+  FROM in_run)"""
+
+register(
+    "session_runs",
+    with_bindings(
+        _SESSIONS
+        + f"""
+SELECT repo_full_name, run_started_at, run_ended_at, entity_type, count(*) AS pages, sum(items)::BIGINT AS items,
+       bool_or(page = {SESSION_PAGES} AND items = 100) AS truncated
+FROM numbered GROUP BY ALL"""
+    ),
+    "AGG17/INC6/N17: runs found by sessions of fetch times, their pages and truncation",
+)(lambda b: sessions.run_summary(sessions.numbered_pages(b.feed_pages, SESSION_PAGES)))
+
+register(
+    "session_lost_pages",
+    with_bindings(
+        _SESSIONS
+        + """
+SELECT repo_full_name, entity_type, run_started_at, known + 1 AS first_lost, page_no - 1 AS last_lost, page_no - known - 1 AS n_lost
+FROM numbered WHERE page_no > known + 1"""
+    ),
+    "AGG21/N17: ranges of pages that no run has, and the run that went on behind them",
+)(lambda b: sessions.lost_pages(sessions.numbered_pages(b.feed_pages, SESSION_PAGES)))

@@ -17,10 +17,10 @@ from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keelson.operators.coverage import page_limit_hit
+from keelson.operators.ranking import ranked
 from keelson.operators.upsert import keep_last
 
 # Reference instants for the two families of bound entities.
@@ -333,15 +333,22 @@ class Bindings:
             F.when(turn == 0, 2).when(turn == 1, 8).otherwise(30).alias("max_pages"),
             F.col("ts").alias("fetched_at"),
         )
-        w = W.partitionBy("repo_full_name", "run_id", "entity_type").orderBy("event_id")
-        before = F.row_number().over(w) - 1
+        placed = ranked(pages, ["repo_full_name", "run_id", "entity_type"], ["event_id"], "before")
         nth = F.floor(F.col("before") / F.col("max_pages")).cast("int")
         later = F.format_string("%s.%06d", F.col("run_id"), nth)
-        numbered = pages.withColumn("before", before).withColumns(
+        numbered = placed.withColumns(
             {"run_id": F.when(nth > 0, later).otherwise(F.col("run_id")), "page": F.col("before") % F.col("max_pages") + 1}
         )
         return numbered.withColumn("limit_hit", page_limit_hit("page", "items", "max_pages")).drop("event_id", "before")
 
+    @cached_property
+    def feed_pages(self) -> DataFrame:
+        """A page log without run ids: pages of each feed numbered in fetch order, one in 97 lost."""
+        pages = self.page_log.select("repo_full_name", "entity_type", "page_seq", "items", "fetched_at")
+        placed = ranked(pages, ["repo_full_name", "entity_type"], ["fetched_at", "page_seq"], "before")
+        kept = placed.where("page_seq % 97 <> 0")
+        return kept.select("repo_full_name", "entity_type", (F.col("before") + 1).alias("page_no"), "items", "fetched_at")
+
     @contextmanager
     def shared_inputs(self):
         """Persist the two joins every bound entity derives from (orders with
