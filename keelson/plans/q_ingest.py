@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -11,12 +9,14 @@ from pyspark.sql import functions as F
 from keelson.functions.time import ts_lit
 from keelson.operators import incremental as inc
 from keelson.operators.kpis import REPO
-from keelson.operators.upsert import evolve, keep_last, upsert
+from keelson.operators.upsert import keep_last, upsert
 from keelson.plans.catalog import ORDER_AS_OF, ORDER_AS_OF_SQL, register, sql_ts
 from keelson.plans.oracle import with_bindings
-from keelson.schemas import RUNS, RUNS_DEFAULTS, RUNS_LEGACY_COLUMNS
+from keelson.schemas import KEYS, RUNS, RUNS_DEFAULTS, RUNS_LEGACY_COLUMNS
 from keelson.session import scratch_path
 from keelson.sources import feeds, landing
+from keelson.sources.bucketed import BucketedTable
+from keelson.sources.warehouse import TABLE_BUCKETS, fingerprint, keyed_table
 
 STORED_BEFORE = datetime(2001, 1, 1)
 SCOPE_STORED_BEFORE = datetime(2001, 5, 1)
@@ -155,7 +155,8 @@ def _normalise_releases(b):
     raw = feeds.read_feed(b.spark, "releases", landing.land(b, "releases"))
     batch = feeds.normalise_releases(raw)
     stored = batch.where("release_id % 3 = 0")
-    return inc.replace_releases(stored, batch.where("release_id % 3 <> 0")).drop("arrival_seq")
+    batches = [stored, batch.where("release_id % 3 <> 0")]
+    return keyed_table(b, "normalise_releases", "releases", batches).read().drop("arrival_seq")
 
 
 # --- upserts --------------------------------------------------------------------------------
@@ -208,8 +209,7 @@ def commit_batches(b):
 
 @register("upsert_commits", UPSERT_COMMITS_SQL, "SRC4/PRJ4/SNK4: commits in two batches, keep-last")
 def _upsert_commits(b):
-    first, second = commit_batches(b)
-    return upsert(upsert(None, first, "commits"), second, "commits")
+    return keyed_table(b, "upsert_commits", "commits", list(commit_batches(b))).read()
 
 
 # Stored issues and PRs are earlier versions (open, as created); the batch replaces some, adds some.
@@ -231,19 +231,19 @@ def _earlier(rows):
     "upsert_issues",
     with_bindings(
         """
-SELECT repo_full_name, issue_number, CASE WHEN issue_number % 5 <> 0 THEN state ELSE 'open' END AS state,
+SELECT repo_full_name, issue_number, CASE WHEN (issue_number % 5 <> 0 OR issue_number % 3 = 0) THEN state ELSE 'open' END AS state,
        CASE WHEN issue_number % 50 <> 0 THEN author END AS author, title, created_at,
-       CASE WHEN issue_number % 5 <> 0 THEN updated_at ELSE created_at END AS updated_at,
-       CASE WHEN issue_number % 5 <> 0 THEN closed_at END AS closed_at
-FROM issues WHERE issue_number % 15 <> 0"""
+       CASE WHEN (issue_number % 5 <> 0 OR issue_number % 3 = 0) THEN updated_at ELSE created_at END AS updated_at,
+       CASE WHEN (issue_number % 5 <> 0 OR issue_number % 3 = 0) THEN closed_at END AS closed_at
+FROM issues"""
     ),
     "SNK2/INC3: an issue batch merged into stored issues, applied twice",
 )
 def _upsert_issues(b):
     rows = feeds.normalise_issues(feeds.read_feed(b.spark, "issues", landing.land(b, "issues")))
-    batch = rows.where("issue_number % 5 <> 0")
-    merged = upsert(_earlier(rows.where("issue_number % 3 <> 0")), batch, "issues")
-    return upsert(merged, batch, "issues").select(
+    batch = rows.where("issue_number % 5 <> 0 or issue_number % 3 = 0")
+    batches = [_earlier(rows.where("issue_number % 3 <> 0")), batch, batch]
+    return keyed_table(b, "upsert_issues", "issues", batches).read().select(
         REPO, "issue_number", "state", "author", "title", "created_at", "updated_at", "closed_at"
     )
 
@@ -252,19 +252,20 @@ def _upsert_issues(b):
     "upsert_pull_requests",
     with_bindings(
         """
-SELECT repo_full_name, pr_number, CASE WHEN pr_number % 5 <> 0 THEN state ELSE 'open' END AS state, author, title,
+SELECT repo_full_name, pr_number, CASE WHEN (pr_number % 5 <> 0 OR pr_number % 3 = 0) THEN state ELSE 'open' END AS state, author, title,
        draft, 0 AS comments, 0 AS review_comments, created_at,
-       CASE WHEN pr_number % 5 = 0 THEN created_at WHEN pr_number % 97 <> 0 THEN updated_at END AS updated_at,
-       CASE WHEN pr_number % 5 <> 0 THEN closed_at END AS closed_at,
-       CASE WHEN pr_number % 5 <> 0 THEN merged_at END AS merged_at, CAST(NULL AS VARCHAR) AS merge_commit_sha
-FROM pull_requests WHERE pr_number % 15 <> 0"""
+       CASE WHEN NOT (pr_number % 5 <> 0 OR pr_number % 3 = 0) THEN created_at WHEN pr_number % 97 <> 0 THEN updated_at END AS updated_at,
+       CASE WHEN (pr_number % 5 <> 0 OR pr_number % 3 = 0) THEN closed_at END AS closed_at,
+       CASE WHEN (pr_number % 5 <> 0 OR pr_number % 3 = 0) THEN merged_at END AS merged_at, CAST(NULL AS VARCHAR) AS merge_commit_sha
+FROM pull_requests"""
     ),
     "SRC3/PRJ3/SNK3: a PR batch merged into stored PRs",
 )
 def _upsert_pull_requests(b):
     rows = feeds.normalise_pull_requests(feeds.read_feed(b.spark, "pull_requests", landing.land(b, "pull_requests")))
     stored = _earlier(rows.where("pr_number % 3 <> 0")).withColumn("merged_at", F.lit(None).cast("timestamp"))
-    return upsert(stored, rows.where("pr_number % 5 <> 0"), "pull_requests").drop("arrival_seq")
+    batches = [stored, rows.where("pr_number % 5 <> 0 or pr_number % 3 = 0")]
+    return keyed_table(b, "upsert_pull_requests", "pull_requests", batches).read().drop("arrival_seq")
 
 
 def _event_batches(b, entity: str):
@@ -272,7 +273,7 @@ def _event_batches(b, entity: str):
     feed = feeds.read_feed(b.spark, entity, landing.land(b, entity))
     rows = feeds.NORMALISERS[entity](feed)
     late = F.col("arrival_seq") % 2 == 1
-    return upsert(upsert(None, rows.where(late), entity), rows.where(~late), entity).drop("arrival_seq")
+    return keyed_table(b, f"upsert_{entity}", entity, [rows.where(late), rows.where(~late)]).read().drop("arrival_seq")
 
 
 @register(
@@ -449,7 +450,7 @@ SELECT run_id, repo_full_name, started_at, finished_at, status, issues_loaded,
        started_at >= {sql_ts(LEGACY_BEFORE)} AS is_incremental, error_message
 FROM runs"""
     ),
-    "SNK14: legacy and current run files read together with mergeSchema",
+    "SNK14: legacy and current run files read together by the layout that each was written with",
 )
 def _schema_evolve(b):
     runs = b.stored().pipeline_runs
@@ -463,9 +464,9 @@ def _schema_evolve(b):
             "is_incremental": F.lit(True),
         }
     )
-    base = scratch_path(b.spark, f"runs-{uuid.uuid4().hex}")
-    legacy.write.parquet(os.path.join(base, "layout=legacy"))
-    current.write.parquet(os.path.join(base, "layout=current"))
-    merged = b.spark.read.option("mergeSchema", True).parquet(base).drop("layout")
-    types = {f.name: f.dataType for f in RUNS.fields}
-    return evolve(merged, [f.name for f in RUNS.fields], RUNS_DEFAULTS, types)
+    path = scratch_path(b.spark, f"merged-{fingerprint(b)}/schema_evolve")
+    table = BucketedTable(b.spark, path).create(legacy.schema, KEYS["pipeline_runs"], ["started_at"], TABLE_BUCKETS)
+    table.upsert(legacy, 0)
+    table.evolve(RUNS, RUNS_DEFAULTS)  # older files keep their layout and are read with the defaults
+    table.upsert(current.select(*RUNS.names), 1)
+    return table.read()

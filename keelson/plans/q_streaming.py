@@ -7,17 +7,17 @@ import uuid
 
 from pyspark.sql.types import StructType
 
-from keelson.operators.upsert import upsert
 from keelson.plans.catalog import register
 from keelson.plans.oracle import with_bindings
 from keelson.plans.q_ingest import UPSERT_COMMITS_SQL
-from keelson.schemas import ENVELOPE, RAW
+from keelson.schemas import ENVELOPE, KEYS, RAW
 from keelson.session import scratch_path
 from keelson.sources import feeds, landing
-from keelson.sources.warehouse import table_path
+from keelson.sources.bucketed import BucketedTable
+from keelson.sources.warehouse import TABLE_BUCKETS, table_path
 from keelson.streaming.activity import run_activity_stream
 from keelson.streaming.coverage import fold as coverage_fold
-from keelson.streaming.upsert import run_upsert_stream
+from keelson.streaming.upsert import run_table_stream, run_upsert_stream
 
 
 @register(
@@ -54,12 +54,8 @@ def _stream_upsert_commits(b):
         .json(landing.land(b, "commits"))
     )
     rows = feeds.normalise_commits(stream)
-    return run_upsert_stream(
-        rows,
-        os.path.join(base, "snapshot"),
-        os.path.join(base, "checkpoint"),
-        lambda current, batch: upsert(current, batch, "commits"),
-    )
+    table = BucketedTable(spark, os.path.join(base, "table")).create(rows.schema, KEYS["commits"], ["arrival_seq"], TABLE_BUCKETS)
+    return run_table_stream(rows, table, os.path.join(base, "checkpoint"), "commits")
 
 
 @register(

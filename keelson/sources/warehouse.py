@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.operators.tables import Tables
+from keelson.schemas import KEYS
 from keelson.session import scratch_path
+from keelson.sources.bucketed import BucketedTable
 
 # Stored entities, their natural keys and their time column.
 LAYOUT = {
@@ -70,6 +72,7 @@ def publish(spark: SparkSession, write, path: str) -> None:
 
 
 WRITERS = 4  # concurrent table-writing jobs
+TABLE_BUCKETS = 16  # hash buckets of a merged entity table; a deployment sets them by its rows
 
 
 def write_table(df: DataFrame, path: str, keys: tuple[str, ...], time_col: str | None) -> None:
@@ -102,7 +105,7 @@ def store(spark: SparkSession, source, root: str) -> Tables:
 _OPENED: dict[tuple[str, str], Tables] = {}
 
 
-_SOURCES = ("bindings", "testfeeds", "warehouse", "landing", "feeds")
+_SOURCES = ("bindings", "testfeeds", "warehouse", "landing", "feeds", "bucketed")
 
 
 def fingerprint(bindings) -> str:
@@ -141,3 +144,15 @@ def table_path(bindings, name: str) -> str:
     """Folder of one stored entity table (materialising the tables if needed)."""
     stored_tables(bindings)
     return os.path.join(scratch_path(bindings.spark, f"warehouse-{fingerprint(bindings)}"), name)
+
+
+def keyed_table(bindings, name: str, entity: str, batches: list[DataFrame], order: str = "arrival_seq") -> BucketedTable:
+    """A bucketed table of ``entity`` that ``batches`` were merged into, one after the other.
+
+    Batches are numbered, so a table that has them already is left as it is.
+    """
+    path = scratch_path(bindings.spark, f"merged-{fingerprint(bindings)}/{name}")
+    table = BucketedTable(bindings.spark, path).create(batches[0].schema, KEYS[entity], [order], TABLE_BUCKETS)
+    for number, batch in enumerate(batches):
+        table.upsert(batch, number)
+    return table

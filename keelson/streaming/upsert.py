@@ -1,16 +1,13 @@
 """INC3: idempotent incremental upserts with ``foreachBatch``.
 
-Each micro-batch of landed records is normalised and merged into the current
-snapshot with :func:`keelson.operators.upsert.upsert`; the merged snapshot is
-written as version ``batch_id + 1`` under the snapshot folder. A version is
-committed by its ``_SUCCESS`` marker, so a batch replayed after a failure
-(same ``batch_id``, same input) rewrites the same version and a reader
-always sees the latest complete one. Restarting from the checkpoint resumes
-at the first uncommitted batch.
-
-At scale the snapshot would be partitioned (e.g. by repository hash and
-created month) and only partitions touched by the batch rewritten; the merge
-logic is the same per partition.
+Keyed rows go to a bucketed table (:mod:`keelson.sources.bucketed`): a
+micro-batch writes delta files for the buckets that it touches and commits them
+with its number, so a batch replayed after a failure is not applied twice and
+nothing stored is rewritten but buckets that are due for compaction.
+
+State that is folded (coverage by run day) is small and is written whole as
+version ``batch_id + 1``, committed by its ``_SUCCESS`` marker; versions older
+than the one that was read go.
 """
 
 from __future__ import annotations
@@ -20,6 +17,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keelson.sources.bucketed import BucketedTable
+
 
 def _versions(spark: SparkSession, snapshot_dir: str) -> list[int]:
     jvm = spark.sparkContext._jvm
@@ -56,6 +55,9 @@ def upsert_batches(
             spark.read.parquet(os.path.join(snapshot_dir, f"v={previous[-1]}")) if previous else None
         )
         merge(current, batch).write.mode("overwrite").parquet(target)
+        for old in previous[:-1]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(snapshot_dir, f"v={old}"))
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     return apply
 
@@ -74,3 +76,16 @@ def run_upsert_stream(
     )
     query.awaitTermination()
     return latest_snapshot(stream.sparkSession, snapshot_dir)
+
+
+def run_table_stream(stream: DataFrame, table: BucketedTable, checkpoint_dir: str, name: str) -> DataFrame:
+    """Apply every available micro-batch of ``stream`` to ``table``; then its rows."""
+    query = (
+        stream.writeStream.foreachBatch(lambda batch, batch_id: table.upsert(batch, batch_id, name) and None)
+        .option("checkpointLocation", checkpoint_dir)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    table.vacuum()
+    return table.read()
