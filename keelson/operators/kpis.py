@@ -361,25 +361,25 @@ def retention_matrix(tables, window: Window) -> DataFrame:
 # --- M13 / M14 first response -----------------------------------------------------------
 
 
-def first_responses(items: DataFrame, events: DataFrame, number: str, event_time: str) -> DataFrame:
-    """Earliest qualifying event per item: (repo, number, first_response_at).
-
-    Qualifying = author not a bot, not NULL, and not the item's own author.
-    Built skew-safe: events are first reduced to one row per (item, author)
-    (map-side combine), self-replies are removed by an anti join on
-    (repo, number, author) -- a key with one row per side -- and only then
-    reduced to one row per item. No join here meets a hot (repo, number) key
-    with more than one row on either side. ``items`` need only be those whose
-    responses are read.
+def with_first_response(items: DataFrame, events: DataFrame, number: str, event_time: str) -> DataFrame:
+    """``items`` (one row per repository and number, with ``author``) and ``first_response_at``.
+
+    That is the earliest event by an author who is known, no bot and not the
+    item's own. Items and events are one union, reduced twice: to one row per
+    (item, author), where an item's own row marks its author's replies, then to
+    one row per item, which takes the earliest unmarked time. Both steps combine
+    map-side, so a hot item is a row from each task, and nothing is joined.
+    Events without an item fall away in the second step.
     """
-    per_author = (
-        events.where(not_bot("author"))
-        .groupBy(REPO, number, "author")
-        .agg(F.min(event_time).alias("t"))
-    )
-    own = items.where(F.col("author").isNotNull()).select(REPO, number, "author")
-    others = per_author.join(own, [REPO, number, "author"], "left_anti")
-    return others.groupBy(REPO, number).agg(F.min("t").alias("first_response_at"))
+    rest = [c for c in items.columns if c not in (REPO, number)]
+    key, none = [REPO, number, "author"], F.lit(None)
+    payload = F.struct(*rest)
+    told = events.where(not_bot("author")).select(*key, F.col(event_time).alias("_t"), none.cast(items.select(payload.alias("p")).schema["p"].dataType).alias("_item"))
+    own = items.select(*key, none.cast(events.schema[event_time].dataType).alias("_t"), payload.alias("_item"))
+    by_author = told.unionByName(own).groupBy(*key).agg(F.min("_t").alias("_t"), F.max("_item").alias("_item"))
+    other = F.when(F.col("_item").isNull(), F.col("_t"))
+    found = by_author.groupBy(REPO, number).agg(F.min(other).alias("first_response_at"), F.max("_item").alias("_item"))
+    return found.where(F.col("_item").isNotNull()).select(REPO, number, "_item.*", "first_response_at")
 
 
 ISSUE_RESPONSE = (
@@ -400,8 +400,7 @@ def _response_parts(
         # Only the window's items' events are shuffled for aggregation. Raw events may meet a hot
         # item here; the semi join's event side is one that Spark can split.
         events = events.join(scoped.select(REPO, number), [REPO, number], "left_semi")
-    first = first_responses(scoped, events, number, event_time)
-    joined = scoped.join(first, [REPO, number], "left")
+    joined = with_first_response(scoped, events, number, event_time)
     # One pass: unresponded items carry a NULL duration, so the quantile pass
     # also yields the responded (non-NULL) and total (all rows) counts.
     hours = joined.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.predicates import older_than
 from keelson.functions.time import Window, days_between, ts_lit
-from keelson.operators.kpis import REPO, first_responses
+from keelson.operators.kpis import REPO, with_first_response
 
 # Priority codes (the reference shows localised text for these)
 # and the base of item links, ``<base><repo>/issues/<n>`` and ``<base><repo>/pull/<n>``.
@@ -20,10 +20,9 @@ ITEM_URL_BASE = "https://github.com/"
 
 def _responded(candidates: DataFrame, events: DataFrame, number: str, event_time: str) -> DataFrame:
     """``candidates`` with a flag: at least one qualifying (non-bot, non-self) event."""
-    first = first_responses(candidates, events, number, event_time)
-    return candidates.join(first, [REPO, number], "left").withColumn(
-        "responded", F.col("first_response_at").isNotNull() & F.col("author").isNotNull()
-    )
+    of_open = events.join(candidates.select(REPO, number), [REPO, number], "left_semi")
+    found = with_first_response(candidates, of_open, number, event_time)
+    return found.withColumn("responded", F.col("first_response_at").isNotNull() & F.col("author").isNotNull())
 
 
 def _url(kind: str, number: str):
