@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Mapping, Set
 
 import numpy as np
 import public_tokenizers
@@ -25,6 +25,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Known(dict):
+    """Ids by piece; pieces too long to be kept are held apart until the next lookup."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.passing: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.passing[piece]
+
+
 class PieceIds:
     """A worker's tokenizer with a cache from pieces to their ids (little-endian, 4 bytes each).
 
@@ -40,36 +51,38 @@ class PieceIds:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.model, self.lower = self.tokenizer.model, lower
         self.letters = _byte_letters()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> array:
-        shown = (part.lower() if self.lower else part).encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(shown)])
-
-    def lookup(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """The ids of each piece."""
+        self.young, self.old = _Known(), _Known()
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        """Ids of letters or marks; words that differ in capitals or marks share their letters'."""
+        part = part.lower() if self.lower else part
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part.encode().decode("latin-1").translate(self.letters)
+            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def lookup(self, pieces: Set[str]) -> Mapping[str, bytes]:
+        """A mapping that has the ids of each piece, until the next lookup."""
         if len(self.young) > CACHE_SIZE:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, _Known()
+        if len(self.parts) > CACHE_SIZE:
+            self.parts = {}
         young, old, plain = self.young, self.old, _PLAIN.fullmatch
-        out: dict[str, bytes] = {}
+        young.passing = {}
         other = []
-        for p in pieces:
-            ids = young.get(p)
+        for p in pieces - young.keys():
+            ids = old.get(p)
             if ids is None:
-                ids = old.get(p)
-                if ids is None:
-                    if len(p) > CACHE_PIECE or not (m := plain(p)):
-                        other.append(p)
-                        continue
-                    ids = (self._part(m[1]) + self._part(m[2]) if m[2] else self._part(m[1])).tobytes()
-                young[p] = ids
-            out[p] = ids
+                if len(p) > CACHE_PIECE or not (m := plain(p)):
+                    other.append(p)
+                    continue
+                ids = self._part(m[1]) + self._part(m[2]) if m[2] else self._part(m[1])
+            young[p] = ids
         for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            out[p] = ids = np.array(e.ids, "<u4").tobytes()
-            if len(p) <= CACHE_PIECE:
-                young[p] = ids
-        return out
+            (young if len(p) <= CACHE_PIECE else young.passing)[p] = np.array(e.ids, "<u4").tobytes()
+        return young
 
 
 _WORKERS: dict[tuple[str, bool], PieceIds] = {}

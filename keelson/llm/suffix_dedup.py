@@ -43,7 +43,9 @@ from keelson.llm.common import (
 
 LENGTH = 400
 #: Bytes of text handled at once by a task; bytes around anchors in a bucket.
-BLOCK, BUCKET = 1 << 21, 1 << 24
+BLOCK, BUCKET = 1 << 20, 1 << 22
+#: Windows that a task compares at once.
+WINDOWS = 1 << 18
 #: Runs of one gram beyond which windows are counted one by one.
 HOT_GRAM = 20_000
 #: Runs of one gram with different bytes that a block reports one by one.
@@ -251,6 +253,27 @@ def _windows(batch_bytes: list[bytes], length: int):
     return text, run, place, starts[run] + place
 
 
+def _steps(gram: np.ndarray, count: np.ndarray, anchor: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(runs, d0, d1): whole grams of about ``WINDOWS`` windows, a larger one by distances d0 <= d < d1 to the anchor.
+
+    Equal windows hold their anchor at the same distance, so no step parts them.
+    """
+    order = np.argsort(gram, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1], [True]]))
+    every = int(anchor.max()) + 1
+    begin = edges[0]
+    for end in edges[1:].tolist():
+        runs = order[begin:end]
+        n = int(count[runs].sum())
+        following = edges[np.searchsorted(edges, end) + 1] if end < edges[-1] else None
+        if following is not None and n + int(count[order[end:following]].sum()) <= WINDOWS:
+            continue
+        step = every if n <= WINDOWS else max(1, WINDOWS // len(runs))
+        for d in range(0, every, step):
+            yield runs, d, d + step
+        begin = end
+
+
 def _spans(keys: list[bytes], s1: np.ndarray, run: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """Neighbouring repeated windows as (key, s1, s2)."""
     if len(run):
@@ -281,11 +304,18 @@ def _sorted_buckets(edges: DataFrame, length: int, buckets: int) -> DataFrame:
         order = np.flatnonzero(repeated(gram))
         if not len(order):
             return
-        text, own, place, at = _windows(table["bytes"].take(pa.array(order)).to_pylist(), length)
-        # equal windows hold their anchor at the same distance
-        group = mix(gram[order].view(np.uint64))[own] + (anchor[order][own] - place).astype(np.uint64)
-        same = tied(text, at, group, length)
-        yield _spans(keys, s1, order[own[same]], place[same])
+        size = pa.compute.binary_length(table["bytes"]).to_numpy()
+        for runs, d0, d1 in _steps(gram[order], size[order] - length + 1, anchor[order]):
+            some = order[runs]
+            text, starts, ends = joined(table["bytes"].take(pa.array(some)).to_pylist())
+            low = np.clip(anchor[some] - d1 + 1, 0, ends - starts - length + 1)
+            high = np.clip(anchor[some] - d0 + 1, 0, ends - starts - length + 1)
+            own = np.repeat(np.arange(len(some)), high - low)
+            place = np.arange(len(own)) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
+            group = mix(gram[some].view(np.uint64))[own] + (anchor[some][own] - place).astype(np.uint64)
+            same = tied(text, starts[own] + place, group, length)
+            if same.any():
+                yield _spans(keys, s1, some[own[same]], place[same])
 
     dealt = edges.repartitionByRange(buckets, "lead", "gram")
     return dealt.select("gram", "bytes", "at", "key", "s1").mapInArrow(run, "key binary, s1 int, s2 int")

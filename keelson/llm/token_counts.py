@@ -67,7 +67,9 @@ def count(texts: list[str], table: dict[str, int], ids: PieceIds) -> list[int]:
     cut = [pieces(t) for t in texts]
     words = {" " + w for w in set().union(*(b for b, _ in cut))}.union(*(o for _, o in cut))
     known = {w: table[w] for w in words if w in table}
-    known.update((w, len(i) // 4) for w, i in ids.lookup(words - known.keys()).items())
+    missing = words - known.keys()
+    found = ids.lookup(missing)
+    known.update((w, len(found[w]) // 4) for w in missing)
     after_blank = {w[1:]: n for w, n in known.items() if w[0] == " "}
     return [sum(map(after_blank.__getitem__, b)) + sum(map(known.__getitem__, o)) for b, o in cut]
 
@@ -84,7 +86,7 @@ def frequent_table(docs: DataFrame, text_col: str, vocabulary: str) -> dict[str,
                     seen.update(" " + w for w in blank)
                     seen.update(other)
         top = [w for w, _ in seen.most_common(TABLE_SIZE) if len(w) <= CACHE_PIECE]
-        ids = worker(vocabulary, False).lookup(top)
+        ids = worker(vocabulary, False).lookup(set(top))
         lengths = [len(ids[w]) // 4 for w in top]
         yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array(lengths, pa.int32())], ["piece", "n"])
 
