@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Slots of the quantile scale to a doubling of ``1 + |value|``.
+SLOTS = 256
 _SPLIT = 134217729.0  # 2**27 + 1, Veltkamp splitter for IEEE doubles
 
 
@@ -59,39 +61,62 @@ def interpolated_quantiles(
 ) -> DataFrame:
     """One row per group with one column per requested quantile (NULL if no values).
 
-    Rows are first reduced to (group, value, frequency) with a partial
-    aggregate, so the per-group window runs over *distinct* values only; for
-    durations in whole minutes that is bounded by the span of the data, not by
-    the number of rows, which keeps a hot group's task small. NULL values are
-    kept in the frequency table, so ``values_as`` / ``rows_as`` can return the
-    non-NULL and total row counts from the same pass, and ``counts_if``
-    (``name -> SQL condition``) adds conditional row counts per group.
+    A selection in rounds, so that no task holds all values of a group:
+
+    1. rows are reduced to (group, value, frequency) by a partial aggregate;
+    2. frequencies are summed in slots of a monotone scale, ``SLOTS`` to a
+       doubling, and prefix sums over a group's slots (some thousands, however
+       many values it has) tell which slots hold the wanted ranks;
+    3. only the values of those slots are sorted, each slot on its own.
+
+    NULL values have a slot of their own, so ``values_as`` / ``rows_as`` can
+    return the non-NULL and total row counts from the same pass, and
+    ``counts_if`` (``name -> SQL condition``) adds conditional row counts per group.
     """
     counts_if = counts_if or {}
     keys_sql = ", ".join(f"`{k}`" for k in keys)
     v = f"`{value}`"
+    slot = f"CAST(floor(signum({v}) * log2(1.0D + abs({v})) * {SLOTS}.0D) AS BIGINT) AS _slot"
     freq = df.groupBy(*keys, value).agg(
         F.expr("count(1) AS _c"), *[F.expr(f"count_if({c}) AS `{n}`") for n, c in counts_if.items()]
+    ).selectExpr("*", slot)
+    by_slot = freq.groupBy(*keys, "_slot").agg(F.expr("sum(_c) AS _c"), *[F.expr(f"sum(`{n}`) AS `{n}`") for n in counts_if])
+    group = f"(PARTITION BY {keys_sql})"
+    known = "CASE WHEN _slot IS NOT NULL THEN _c ELSE 0 END"
+    slots = by_slot.selectExpr(
+        *[f"`{k}`" for k in keys], "_slot",
+        f"sum({known}) OVER (PARTITION BY {keys_sql} ORDER BY _slot ASC NULLS FIRST "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _to",
+        "_c AS _in", f"sum({known}) OVER {group} AS _n", f"sum(_c) OVER {group} AS _rows",
+        *[f"sum(`{n}`) OVER {group} AS `{n}`" for n in counts_if],
+    )
+    ranks = {n: f"(CAST(_n - 1 AS DOUBLE) * {float(p)!r})" for n, p in probs.items()}
+    ends = [f"{end}({r})" for r in ranks.values() for end in ("floor", "ceil")]
+    holds = " OR ".join(f"(_to - _in <= {i} AND {i} < _to)" for i in ends)
+    wanted = slots.where(f"_slot IS NOT NULL AND ({holds})").selectExpr(
+        *[f"`{k}` AS _k{i}" for i, k in enumerate(keys)], "_slot AS _s", "_to - _in AS _from", "_n"
     )
-    ranked = freq.selectExpr(
-        "*",
-        f"coalesce(sum(CASE WHEN {v} IS NOT NULL THEN _c END) OVER (PARTITION BY {keys_sql} "
-        f"ORDER BY {v} ASC NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS _cum",
-        f"coalesce(sum(CASE WHEN {v} IS NOT NULL THEN _c END) OVER (PARTITION BY {keys_sql}), 0) AS _n",
-        f"sum(_c) OVER (PARTITION BY {keys_sql}) AS _rows",
+    same = F.col("_slot") == F.col("_s")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    ranked = freq.join(wanted, same).selectExpr(
+        *[f"`{k}`" for k in keys], v, "_c", "_n",
+        f"_from + sum(_c) OVER (PARTITION BY {keys_sql}, _slot ORDER BY {v} "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum",
     )
-    aggs = []
-    for name, p in probs.items():
-        rn = f"(CAST(_n - 1 AS DOUBLE) * {float(p)!r})"
-        hit = "{v} IS NOT NULL AND _cum - _c <= {i} AND {i} < _cum"
-        aggs += [
-            f"max(CASE WHEN {hit.format(v=v, i=f'floor({rn})')} THEN {v} END) AS _{name}_lo",
-            f"max(CASE WHEN {hit.format(v=v, i=f'ceil({rn})')} THEN {v} END) AS _{name}_hi",
-            f"max({rn} - floor({rn})) AS _{name}_d",
-        ]
-    aggs += ["max(_n) AS _n", "max(_rows) AS _rows"]
-    aggs += [f"sum(`{n}`) AS `{n}`" for n in counts_if]
-    out = ranked.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+    picked, merged = [], []
+    for n, r in ranks.items():
+        for end, f in (("lo", "floor"), ("hi", "ceil")):
+            picked.append(f"CASE WHEN _cum - _c <= {f}({r}) AND {f}({r}) < _cum THEN {v} END AS _{n}_{end}")
+            merged.append(f"max(_{n}_{end}) AS _{n}_{end}")
+    none = [f"CAST(NULL AS DOUBLE) AS _{n}_{end}" for n in ranks for end in ("lo", "hi")]
+    totals = [*(f"`{n}`" for n in counts_if), "_n", "_rows"]
+    every = slots.groupBy(*keys).agg(*[F.expr(f"max({t}) AS {t}") for t in totals]).selectExpr(
+        *[f"`{k}`" for k in keys], *totals, *none
+    )
+    found = ranked.selectExpr(*[f"`{k}`" for k in keys], *[f"CAST(NULL AS BIGINT) AS {t}" for t in totals], *picked)
+    out = every.union(found).groupBy(*keys).agg(*[F.expr(f"max({t}) AS {t}") for t in totals], *map(F.expr, merged))
+    out = out.selectExpr("*", *[f"{r} - floor({r}) AS _{n}_d" for n, r in ranks.items()])
     counts = []
     if values_as:
         counts.append(f"_n AS `{values_as}`")
@@ -108,6 +133,3 @@ def interpolated_quantiles(
         *counts,
         *[f"`{n}`" for n in counts_if],
     )
-
-
-# Session setting selecting the quantile method for every KPI.

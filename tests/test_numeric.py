@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import duckdb
 from pyspark.sql import functions as F
@@ -45,3 +46,24 @@ def test_rounding_matches_duckdb(spark):
     ).fetchone()
     assert [r[0] for r in got] == want[0]
     assert [r[1] for r in got] == want[1]
+
+
+def test_quantiles_of_a_hot_group_are_selected_in_slots(spark):
+    """A group of many distinct values, negative ones too: only the slots that hold the ranks are sorted."""
+    rng = random.Random(11)
+    values = [("hot", rng.choice([-1, 1]) * rng.expovariate(1 / 500)) for _ in range(60_000)]
+    values += [("small", x) for x in (3.0, -2.5, 0.0)] + [("none", None)] * 4 + [(None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(values, "g string, x double")
+    out = interpolated_quantiles(df, ["g"], "x", {"p50": 0.5, "p90": 0.9}, "n", "rows", {"big": "x > 100"})
+    got = {r.g: r for r in out.collect()}
+    con = duckdb.connect()
+    frame = df.toPandas()  # noqa: F841 - read by the query
+    want = con.sql(
+        "SELECT g, quantile_cont(x, 0.5), quantile_cont(x, 0.9), count(x), count(*), count(*) FILTER (x > 100) FROM frame GROUP BY g"
+    ).fetchall()
+    assert len(want) == len(got) == 4
+    for g, p50, p90, n, rows, big in want:
+        assert (got[g].p50, got[g].p90, got[g].n, got[g].rows, got[g].big) == (p50, p90, n, rows, big)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    by_value = [line for line in plan.splitlines() if "windowspecdefinition" in line and re.search(r"x#\d+ ASC", line)]
+    assert by_value and all(re.search(r"windowspecdefinition\(g#\d+, _slot#", line) for line in by_value)
