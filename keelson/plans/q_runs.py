@@ -6,12 +6,20 @@ runs go on. Runs without ids are sessions of fetch times.
 
 from __future__ import annotations
 
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from keelson.functions.time import ts_lit
 from keelson.operators import coverage as cov
 from keelson.operators import incremental as inc
-from keelson.operators import rules, sessions
+from keelson.operators import rules, runlog, sessions
+from keelson.operators.kpis import REPO
 from keelson.plans import q_reports as qr
 from keelson.plans.catalog import ORDER_AS_OF, register
 from keelson.plans.oracle import with_bindings
+from keelson.session import scratch_path
+from keelson.sources.warehouse import fingerprint
 
 _PAGES = """
 , fetched AS (
@@ -124,3 +132,55 @@ FROM numbered WHERE page_no > known + 1"""
     ),
     "AGG21/N17: ranges of pages that no run has, and the run that went on behind them",
 )(lambda b: sessions.lost_pages(sessions.numbered_pages(b.feed_pages, SESSION_PAGES)))
+
+
+# --- the transactional run log -----------------------------------------------------------------
+
+#: Events reach the log in batches that end at these instants.
+LOG_BATCHES = (datetime(2024, 1, 11), datetime(2024, 1, 21), datetime(9999, 1, 1))
+_LOADED = ", ".join(
+    f"CASE WHEN done = 'success' THEN event_id % {k} ELSE CASE WHEN done <> 'running' THEN 0 END END AS {c}"
+    for k, c in enumerate(runlog.COUNTS, 3)
+)
+
+
+@register(
+    "run_log_fenced",
+    with_bindings(
+        f"""
+, timed AS (
+  SELECT repo_full_name, event_id, ts, event_type, props,
+         CASE WHEN event_type <> 'view' THEN ts + INTERVAL 1 SECOND * CAST(floor(value * 60) AS BIGINT) END AS finished_at,
+         row_number() OVER w AS epoch, lead(ts) OVER w AS next_started_at
+  FROM ev WINDOW w AS (PARTITION BY repo_full_name ORDER BY ts, event_id)),
+ended AS (
+  SELECT *, CASE WHEN event_type = 'view' THEN 'running' WHEN next_started_at <= finished_at THEN 'fenced'
+                 WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS done FROM timed)
+SELECT repo_full_name, CAST(event_id AS VARCHAR) AS run_id, epoch, ts AS started_at, finished_at, done AS status,
+       CASE WHEN event_type = 'error' THEN props END AS error_message, {_LOADED}
+FROM ended"""
+    ),
+    "SNK8/SNK9/INC8: runs opened and closed in batches; stale runs fenced, failures kept, six counts",
+)
+def _run_log_fenced(b):
+    ev = b._ev
+    opened = ev.select(
+        REPO, F.col("event_id").cast("string").alias("run_id"), F.col("ts").alias("at"), F.col("event_id").alias("nth"),
+        F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("error_message"),
+        *[F.lit(None).cast("long").alias(c) for c in runlog.COUNTS],
+    )
+    end = F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("value") * 60).cast("long") * 1_000_000)
+    failed = F.col("event_type") == "error"
+    closed = ev.where("event_type <> 'view'").select(
+        REPO, F.col("event_id").cast("string").alias("run_id"), end.alias("at"), F.col("event_id").alias("nth"),
+        F.when(failed, "failed").otherwise("success").alias("status"), F.when(failed, F.col("props")).alias("error_message"),
+        *[(F.col("event_id") % k).alias(c) for k, c in enumerate(runlog.COUNTS, 3)],
+    )
+    events = opened.union(closed)
+    log = runlog.RunLog(b.spark, scratch_path(b.spark, f"merged-{fingerprint(b)}/run_log_fenced"))
+    since = datetime(1970, 1, 1)
+    for number, until in enumerate(LOG_BATCHES):
+        if log.table.manifest().applied.get("events", -1) < number:
+            log.apply(events.where((F.col("at") >= ts_lit(since)) & (F.col("at") < ts_lit(until))), number)
+        since = until
+    return log.runs()

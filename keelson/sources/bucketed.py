@@ -189,8 +189,14 @@ class BucketedTable:
 
     # --- writing -------------------------------------------------------------------
 
-    def upsert(self, batch: DataFrame, batch_id: int | None = None, stream: str = "batch") -> Manifest:
-        """Add ``batch``; of each key the row greatest in ``order`` counts, stored or new."""
+    def upsert(
+        self, batch: DataFrame, batch_id: int | None = None, stream: str = "batch", expect: int | None = None
+    ) -> Manifest:
+        """Add ``batch``; of each key the row greatest in ``order`` counts, stored or new.
+
+        With ``expect`` the batch was made from that version: if another one was
+        committed since, nothing is added and :class:`CommitConflict` is raised.
+        """
         now = self.manifest()
         if batch_id is not None and now.applied.get(stream, -1) >= batch_id:
             return now
@@ -198,6 +204,8 @@ class BucketedTable:
         delta = self._written(now, keep_last(batch, now.keys, now.order).select(*columns), base=False)
 
         def apply(m: Manifest) -> Manifest | None:
+            if expect is not None and m.version != expect:
+                raise CommitConflict(f"{self.path}: version {m.version}, not {expect}")
             if batch_id is not None:
                 if m.applied.get(stream, -1) >= batch_id:
                     return None
