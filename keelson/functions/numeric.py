@@ -64,10 +64,11 @@ def interpolated_quantiles(
     A selection in rounds, so that no task holds all values of a group:
 
     1. rows are reduced to (group, value, frequency) by a partial aggregate;
-    2. frequencies are summed in slots of a monotone scale, ``SLOTS`` to a
-       doubling, and prefix sums over a group's slots (some thousands, however
-       many values it has) tell which slots hold the wanted ranks;
-    3. only the values of those slots are sorted, each slot on its own.
+    2. each slot of a monotone scale, ``SLOTS`` to a doubling, is sorted on its
+       own; its last value stands for the slot;
+    3. prefix sums over the slots' last values (some thousands of a group,
+       however many values it has) tell how many values lie before each slot;
+    4. every value learns that from its slot, and those at the wanted ranks are taken.
 
     NULL values have a slot of their own, so ``values_as`` / ``rows_as`` can
     return the non-NULL and total row counts from the same pass, and
@@ -80,42 +81,34 @@ def interpolated_quantiles(
     freq = df.groupBy(*keys, value).agg(
         F.expr("count(1) AS _c"), *[F.expr(f"count_if({c}) AS `{n}`") for n, c in counts_if.items()]
     ).selectExpr("*", slot)
-    by_slot = freq.groupBy(*keys, "_slot").agg(F.expr("sum(_c) AS _c"), *[F.expr(f"sum(`{n}`) AS `{n}`") for n in counts_if])
-    group = f"(PARTITION BY {keys_sql})"
-    known = "CASE WHEN _slot IS NOT NULL THEN _c ELSE 0 END"
-    slots = by_slot.selectExpr(
-        *[f"`{k}`" for k in keys], "_slot",
-        f"sum({known}) OVER (PARTITION BY {keys_sql} ORDER BY _slot ASC NULLS FIRST "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _to",
-        "_c AS _in", f"sum({known}) OVER {group} AS _n", f"sum(_c) OVER {group} AS _rows",
-        *[f"sum(`{n}`) OVER {group} AS `{n}`" for n in counts_if],
-    )
-    ranks = {n: f"(CAST(_n - 1 AS DOUBLE) * {float(p)!r})" for n, p in probs.items()}
-    ends = [f"{end}({r})" for r in ranks.values() for end in ("floor", "ceil")]
-    holds = " OR ".join(f"(_to - _in <= {i} AND {i} < _to)" for i in ends)
-    wanted = slots.where(f"_slot IS NOT NULL AND ({holds})").selectExpr(
-        *[f"`{k}` AS _k{i}" for i, k in enumerate(keys)], "_slot AS _s", "_to - _in AS _from", "_n"
-    )
-    same = F.col("_slot") == F.col("_s")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    ranked = freq.join(wanted, same).selectExpr(
-        *[f"`{k}`" for k in keys], v, "_c", "_n",
-        f"_from + sum(_c) OVER (PARTITION BY {keys_sql}, _slot ORDER BY {v} "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum",
-    )
-    picked, merged = [], []
-    for n, r in ranks.items():
-        for end, f in (("lo", "floor"), ("hi", "ceil")):
-            picked.append(f"CASE WHEN _cum - _c <= {f}({r}) AND {f}({r}) < _cum THEN {v} END AS _{n}_{end}")
-            merged.append(f"max(_{n}_{end}) AS _{n}_{end}")
-    none = [f"CAST(NULL AS DOUBLE) AS _{n}_{end}" for n in ranks for end in ("lo", "hi")]
+    slot_of = f"PARTITION BY {keys_sql}, _slot"
+    alone = freq.selectExpr(
+        *[f"`{k}`" for k in keys], v, "_slot", "_c",
+        f"sum(_c) OVER ({slot_of} ORDER BY {v} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _run",
+        f"sum(_c) OVER ({slot_of}) AS _in",
+        *[f"sum(`{n}`) OVER ({slot_of}) AS `{n}`" for n in counts_if],
+    ).selectExpr("*", "_run = _in AS _last")
+    # the slots' last values of a group meet; all other values stay where their slot puts them
+    stand = f"PARTITION BY {keys_sql}, CASE WHEN NOT _last THEN _slot END"
+    known = "CASE WHEN _slot IS NOT NULL THEN _in ELSE 0 END"
     totals = [*(f"`{n}`" for n in counts_if), "_n", "_rows"]
-    every = slots.groupBy(*keys).agg(*[F.expr(f"max({t}) AS {t}") for t in totals]).selectExpr(
-        *[f"`{k}`" for k in keys], *totals, *none
+    stood = alone.selectExpr(
+        *[f"`{k}`" for k in keys], v, "_slot", "_c", "_run", "_last",
+        f"sum({known}) OVER ({stand} ORDER BY _slot ASC NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - {known} AS _from",
+        *[f"sum(`{n}`) OVER ({stand}) AS `{n}`" for n in counts_if],
+        f"sum({known}) OVER ({stand}) AS _n", f"sum(_in) OVER ({stand}) AS _rows",
+    )
+    ranked = stood.selectExpr(
+        *[f"`{k}`" for k in keys], v, "_c",
+        f"_run + max(CASE WHEN _last THEN _from END) OVER ({slot_of}) AS _cum",
+        *[f"max(CASE WHEN _last THEN {t} END) OVER ({slot_of}) AS {t}" for t in totals],
     )
-    found = ranked.selectExpr(*[f"`{k}`" for k in keys], *[f"CAST(NULL AS BIGINT) AS {t}" for t in totals], *picked)
-    out = every.union(found).groupBy(*keys).agg(*[F.expr(f"max({t}) AS {t}") for t in totals], *map(F.expr, merged))
+    ranks = {n: f"(CAST(_n - 1 AS DOUBLE) * {float(p)!r})" for n, p in probs.items()}
+    picked = [
+        f"max(CASE WHEN {v} IS NOT NULL AND _cum - _c <= {f}({r}) AND {f}({r}) < _cum THEN {v} END) AS _{n}_{end}"
+        for n, r in ranks.items() for end, f in (("lo", "floor"), ("hi", "ceil"))
+    ]
+    out = ranked.groupBy(*keys).agg(*[F.expr(f"max({t}) AS {t}") for t in totals], *map(F.expr, picked))
     out = out.selectExpr("*", *[f"{r} - floor({r}) AS _{n}_d" for n, r in ranks.items()])
     counts = []
     if values_as:

@@ -12,11 +12,6 @@ from datetime import datetime, time, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The open ends of a window are replaced by these sentinels so that
-# ``ts >= start AND ts < end`` never compares against NULL.
-OPEN_START = datetime(1970, 1, 1)
-OPEN_END = datetime(2286, 7, 5)
-
 # Named window choices offered to users, in days (None = all history).
 NAMED_WINDOWS = {"all": None, "30d": 30, "90d": 90, "180d": 180}
 
@@ -67,18 +62,18 @@ class Window:
         end = datetime.combine(last_day.date(), time.max)
         return cls(start=start, end=end)
 
-    def bounds(self) -> tuple[datetime, datetime]:
-        return (self.start or OPEN_START, self.end or OPEN_END)
-
     def end_or(self, as_of: datetime) -> datetime:
         return self.end or as_of
 
     def contains(self, column: str | Column) -> Column:
-        start, end = self.bounds()
-        if isinstance(column, str):
-            c = _ref(column) if "." not in column else column
-            return F.expr(f"{c} >= {ts_sql(start)} AND {c} < {ts_sql(end)}")
-        return (column >= ts_lit(start)) & (column < ts_lit(end))
+        """Whether a known instant lies in the window: only the ends that exist are compared."""
+        c = F.col(column) if isinstance(column, str) else column
+        inside = c.isNotNull()
+        if self.start is not None:
+            inside &= c >= ts_lit(self.start)
+        if self.end is not None:
+            inside &= c < ts_lit(self.end)
+        return inside
 
 
 def minutes_between(start: str | Column, end: str | Column) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.numeric import interpolated_quantiles, round_half_away
 from keelson.functions.predicates import not_bot
-from keelson.functions.time import Window, month_start, months_between_starts, ts_sql
+from keelson.functions.time import Window, month_start, ts_sql
 
 REPO = "repo_full_name"
 
@@ -312,25 +312,9 @@ def top_contributors(tables, window: Window, limit: int = 12) -> DataFrame:
 def contributor_retention(tables, window: Window) -> DataFrame:
     """Monthly cohorts: first active month inside the window, active authors in
     each of the following 0-12 months, and the retention percentage."""
-    c = tables.commits.where(F.col("author").isNotNull() & window.contains("committed_at")).select(
-        REPO, "author", month_start("committed_at").alias("activity_month")
-    )
-    p = tables.pull_requests.where(
-        F.col("author").isNotNull() & window.contains("created_at")
-    ).select(REPO, "author", month_start("created_at").alias("activity_month"))
-    author_months = c.unionByName(p).distinct()
-    by_author = W.partitionBy(REPO, "author")
-    cells = (
-        author_months.withColumn("cohort_month", F.min("activity_month").over(by_author))
-        .withColumn("month_number", months_between_starts("cohort_month", "activity_month"))
-        .where(F.col("month_number").between(0, 12))
-        .groupBy(REPO, "cohort_month", "month_number")
-        .agg(F.count(F.lit(1)).alias("active_contributors"))
-    )
-    # Every author is active in their cohort month, so month 0 holds the cohort size.
-    by_cohort = W.partitionBy(REPO, "cohort_month")
-    size = F.max(F.when(F.col("month_number") == 0, F.col("active_contributors"))).over(by_cohort)
-    return cells.withColumn("cohort_size", size).select(
+    from keelson.operators.author_months import months_of, retention
+
+    return retention(months_of(activity(tables, window))).select(
         REPO,
         "cohort_month",
         "month_number",
