@@ -14,9 +14,9 @@ from keelson.plans.catalog import ORDER_AS_OF, ORDER_AS_OF_SQL, register, sql_ts
 from keelson.plans.oracle import with_bindings
 from keelson.schemas import KEYS, RUNS, RUNS_DEFAULTS, RUNS_LEGACY_COLUMNS
 from keelson.session import scratch_path
-from keelson.sources import feeds, landing
+from keelson.sources import feeds, landing, paged
 from keelson.sources.bucketed import BucketedTable
-from keelson.sources.warehouse import TABLE_BUCKETS, fingerprint, keyed_table
+from keelson.sources.warehouse import TABLE_BUCKETS, fingerprint, keyed_table, publish
 
 STORED_BEFORE = datetime(2001, 1, 1)
 SCOPE_STORED_BEFORE = datetime(2001, 5, 1)
@@ -69,6 +69,30 @@ def _feed_since(b):
     return inc.since_filter(feed, since).select(REPO, "pr_number", "updated_at")
 
 
+COMMITS_STORED_BEFORE = datetime(2024, 1, 20)
+
+
+@register(
+    "feed_commits_since",
+    with_bindings(
+        f"""
+, stored AS (
+  SELECT repo_full_name, max(committed_at) - INTERVAL 5 MINUTE AS since
+  FROM commits WHERE committed_at < {sql_ts(COMMITS_STORED_BEFORE)} GROUP BY repo_full_name)
+SELECT c.repo_full_name, c.sha, c.author, c.committed_at FROM commits c LEFT JOIN stored s USING (repo_full_name)
+WHERE s.since IS NULL OR c.committed_at >= s.since"""
+    ),
+    "SRC4/INC1-2: commit pages read from each repository's cursor on, newest first, no page behind it",
+)
+def _feed_commits_since(b):
+    commits = b.stored().commits.select(REPO, "sha", "author", "committed_at")
+    stored = commits.where(F.col("committed_at") < ts_lit(COMMITS_STORED_BEFORE))
+    cursors = stored.groupBy(REPO).agg(F.max("committed_at").alias("since"))
+    path = scratch_path(b.spark, f"pages-{fingerprint(b)}/commits")
+    publish(b.spark, lambda target: paged.write_pages(commits, "committed_at", ["sha"], target), path)
+    return paged.read_since(b.spark, path, commits.schema, "committed_at", cursors).drop("page")
+
+
 @register(
     "comment_number",
     with_bindings(
