@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from keelson.functions.time import ts_lit
 from keelson.operators import incremental as inc
 from keelson.operators.kpis import REPO
+from keelson.operators.ranking import ranked
 from keelson.operators.upsert import keep_last, upsert
-from keelson.plans.catalog import ORDER_AS_OF, ORDER_AS_OF_SQL, register, sql_ts
+from keelson.plans.catalog import ORDER_AS_OF, ORDER_AS_OF_SQL, REGISTRY, register, sql_ts
 from keelson.plans.oracle import with_bindings
 from keelson.schemas import KEYS, RUNS, RUNS_DEFAULTS, RUNS_LEGACY_COLUMNS
 from keelson.session import scratch_path
@@ -432,6 +433,16 @@ def _review_scope(b):
     return scope.join(counts, [REPO, "pr_number"], "left").fillna(0, subset=["reviews"])
 
 
+@register(
+    "review_scope_ordered",
+    f"SELECT repo_full_name, pr_number, row_number() OVER (PARTITION BY repo_full_name ORDER BY pr_number) - 1 AS position "
+    f"FROM ({REGISTRY['review_scope'].oracle})",
+    "SRT10: the PR numbers of the review scope in order, each with its place in its repository's list",
+)
+def _review_scope_ordered(b):
+    return ranked(REGISTRY["review_scope"].build(b).select(REPO, "pr_number"), [REPO], ["pr_number"])
+
+
 @register(
     "run_log",
     with_bindings(

@@ -102,6 +102,25 @@ register(
     "M18 report findings of given dates (rules P1-P12)",
 )(lambda b: _report(b, TWO_DAYS)[1])
 
+#: Three weeks in which some repositories merge fast and some leave issues unanswered.
+WEEKS = Window.dates(datetime(1997, 6, 24), datetime(1997, 7, 14))
+WEEKS_END = "TIMESTAMP '1997-07-14 23:59:59.999999'"
+register(
+    "report_findings_weeks",
+    with_bindings(qr._findings_sql(WEEKS, WEEKS_END)),
+    "M18 report findings of three weeks (rules P6 and P8 too)",
+)(lambda b: _report(b, WEEKS)[1])
+
+# --- one repository ----------------------------------------------------------------------------
+
+ONE = "ASIA/NATION_12"
+for _name in ("issue_kpis", "pr_kpis", "contributor_kpis", "backlog_kpis", "maintainer_tasks"):
+    register(
+        f"{_name}_one",
+        f"SELECT * FROM ({REGISTRY[_name].oracle}) WHERE repo_full_name = '{ONE}'",
+        f"FLT1 {REGISTRY[_name].description}, of one repository",
+    )(lambda b, q=REGISTRY[_name]: kpis.for_repository(q.build(b), ONE))
+
 # --- evidence known at an instant: rules R3 and R7 fire for some repositories -----------------
 
 KNOWN_BEFORE = datetime(2024, 1, 1, 0, 10)
