@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import os
 import uuid
+from datetime import datetime
 
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from keelson.operators.kpis import REPO
 from keelson.plans.catalog import register
-from keelson.plans.oracle import with_bindings
+from keelson.plans.oracle import not_bot, with_bindings
 from keelson.plans.q_ingest import UPSERT_COMMITS_SQL
 from keelson.schemas import ENVELOPE, KEYS, RAW
 from keelson.session import scratch_path
 from keelson.sources import feeds, landing
 from keelson.sources.bucketed import BucketedTable
 from keelson.sources.warehouse import TABLE_BUCKETS, table_path
+from keelson.streaming import responses
 from keelson.streaming.activity import run_activity_stream
 from keelson.streaming.coverage import fold as coverage_fold
 from keelson.streaming.upsert import run_table_stream, run_upsert_stream
@@ -86,3 +90,40 @@ def _stream_coverage_fold(b):
         os.path.join(base, "checkpoint"),
         coverage_fold,
     )
+
+
+#: Items and events land in periods that end at these instants.
+PERIODS = [datetime(1996, 7, 1), datetime(1998, 1, 1), datetime(1999, 7, 1), datetime(2100, 1, 1)]
+
+
+@register(
+    "live_first_response",
+    with_bindings(
+        f"""
+, ends AS (
+  SELECT least((SELECT max(created_at) FROM issues), (SELECT max(created_at) FROM issue_comments WHERE {not_bot("author")}))
+         - INTERVAL 1 DAY AS passed),
+answered AS (
+  SELECT i.repo_full_name, i.issue_number, any_value(i.created_at) AS created_at, min(c.created_at) AS first_response_at
+  FROM issues i LEFT JOIN issue_comments c ON c.repo_full_name = i.repo_full_name AND c.issue_number = i.issue_number
+       AND {not_bot("c.author")} AND c.author <> i.author
+       AND c.created_at BETWEEN i.created_at - INTERVAL {responses.BEFORE_DAYS} DAY AND i.created_at + INTERVAL {responses.AFTER_DAYS} DAY
+  GROUP BY ALL)
+SELECT repo_full_name, issue_number AS number, created_at, first_response_at FROM answered
+WHERE first_response_at IS NOT NULL OR created_at + INTERVAL {responses.AFTER_DAYS} DAY < (SELECT passed FROM ends)"""
+    ),
+    "M13/INC9: first responses by a join of two streams; unanswered items once the watermark has passed them",
+)
+def _live_first_response(b):
+    spark, t = b.spark, b.stored()
+    base = scratch_path(spark, f"live-{uuid.uuid4().hex}")
+    parts = {
+        "items": t.issues.select(REPO, F.col("issue_number").alias("number"), "author", "created_at"),
+        "events": t.issue_comments.select(REPO, F.col("issue_number").alias("number"), "author", F.col("created_at").alias("at")),
+    }
+    streams = []
+    for name, rows in parts.items():
+        folder = os.path.join(base, name)
+        responses.land_in_time_order(rows, rows.columns[-1], PERIODS, folder)
+        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    return responses.run(*streams, base).responses()
