@@ -560,4 +560,4 @@ def test_pipeline_stages_match_brute_force(spark):
 
 
 def test_registered_queries():
-    assert len(q_llm.QUERIES) == 10 and set(q_llm.ORACLES) <= set(q_llm.QUERIES)
+    assert len(q_llm.QUERIES) == 13 and set(q_llm.ORACLES) <= set(q_llm.QUERIES)
