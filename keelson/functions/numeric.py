@@ -58,6 +58,7 @@ def interpolated_quantiles(
     values_as: str | None = None,
     rows_as: str | None = None,
     counts_if: dict[str, str] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group with one column per requested quantile (NULL if no values).
 
@@ -73,13 +74,16 @@ def interpolated_quantiles(
     NULL values have a slot of their own, so ``values_as`` / ``rows_as`` can
     return the non-NULL and total row counts from the same pass, and
     ``counts_if`` (``name -> SQL condition``) adds conditional row counts per group.
+    With ``weight``, a row stands for that many rows, and ``counts_if`` names the
+    numbers to sum instead of conditions.
     """
     counts_if = counts_if or {}
     keys_sql = ", ".join(f"`{k}`" for k in keys)
     v = f"`{value}`"
     slot = f"CAST(floor(signum({v}) * log2(1.0D + abs({v})) * {SLOTS}.0D) AS BIGINT) AS _slot"
+    rows, counted = ("count(1)", "count_if") if weight is None else (f"sum(`{weight}`)", "sum")
     freq = df.groupBy(*keys, value).agg(
-        F.expr("count(1) AS _c"), *[F.expr(f"count_if({c}) AS `{n}`") for n, c in counts_if.items()]
+        F.expr(f"{rows} AS _c"), *[F.expr(f"{counted}({c}) AS `{n}`") for n, c in counts_if.items()]
     ).selectExpr("*", slot)
     slot_of = f"PARTITION BY {keys_sql}, _slot"
     alone = freq.selectExpr(

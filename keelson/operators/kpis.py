@@ -314,7 +314,11 @@ def contributor_retention(tables, window: Window) -> DataFrame:
     each of the following 0-12 months, and the retention percentage."""
     from keelson.operators.author_months import months_of, retention
 
-    return retention(months_of(activity(tables, window))).select(
+    return with_retention_rate(retention(months_of(activity(tables, window))))
+
+
+def with_retention_rate(cells: DataFrame) -> DataFrame:
+    return cells.select(
         REPO,
         "cohort_month",
         "month_number",
@@ -508,8 +512,17 @@ def comparison_kpis(
         *_pr_parts(tables, window),
         *_contributor_parts(tables, window, as_of),
     ]
+    out = compared(parts)
+    if repositories is None:
+        return out
+    found = order.join(out, "repository", "left").na.fill({"active_90d": 0, "top_contributor_share": 0.0})
+    return found.select("position", *out.columns)
+
+
+def compared(parts: list[DataFrame]) -> DataFrame:
+    """The comparison's columns from repositories and the parts of issues, PRs and contributors."""
     i, p, c = _issue_cols(), _pr_cols(), _contributor_cols()
-    out = finish(
+    return finish(
         merge_by_repo(parts),
         {
             "repository": REPO,
@@ -524,7 +537,3 @@ def comparison_kpis(
         },
         keep=(),
     )
-    if repositories is None:
-        return out
-    found = order.join(out, "repository", "left").na.fill({"active_90d": 0, "top_contributor_share": 0.0})
-    return found.select("position", *out.columns)

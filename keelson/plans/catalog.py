@@ -75,6 +75,6 @@ __all__ = [
 
 def load_all() -> dict[str, Query]:
     """Import every query module so their ``@register`` calls run."""
-    from keelson.plans import q_ingest, q_metrics, q_reports, q_runs, q_streaming, q_windows  # noqa: F401
+    from keelson.plans import q_ingest, q_metrics, q_reports, q_rollup, q_runs, q_streaming, q_windows  # noqa: F401
 
     return REGISTRY
