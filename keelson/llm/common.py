@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelson.session import checkpoint_dir
@@ -78,6 +78,18 @@ def schema_of(df: DataFrame, *extra: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *extra])
 
 
+def set_aside(columns: list[str]) -> tuple[list[Column], list[Column]]:
+    """A caller's columns under names of this package's own, so that none clashes, and back under theirs."""
+    away = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)]
+    return away, [F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)]
+
+
+def without(columns: list[str], names: list[str]) -> list[str]:
+    """``columns`` but those that output columns replace (names differ in more than capitals, as Spark tells them apart)."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def random_table(seed: int) -> np.ndarray:
     """256 fixed 64-bit values, one per byte."""
     return np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)

@@ -10,8 +10,8 @@ its order.
 Defined cases: a null source is a source of its own; null texts have no bytes;
 a source without bytes is repeated at the rate ``epochs``; sources missing from
 given weights weigh 0; rows equal in id and text draw the same count; an empty
-table gives an empty table; other columns pass through (``copy``, ``n_copies``
-and ``shuffle_key`` are replaced).
+table gives an empty table; other columns pass through, whatever their names
+(``copy``, ``n_copies`` and ``shuffle_key`` are replaced).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import cut, maybe_broadcast
+from keelson.llm.common import cut, maybe_broadcast, set_aside, without
 
 #: Target weight of a source: its share of bytes to this power.
 FLATTEN = 0.7
@@ -71,9 +71,9 @@ def mix(
     text_col: str = "text",
 ) -> DataFrame:
     """``docs`` repeated to the target weights, with copy, n_copies and shuffle_key, shuffled globally."""
-    own = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
+    away, back = set_aside(without(docs.columns, ["copy", "n_copies", "shuffle_key"]))
     rates = source_rates(docs, weights, epochs, source_col, text_col)
-    rates = maybe_broadcast(rates.withColumnRenamed("source", "__source"), rates.count())
+    rates = maybe_broadcast(rates.withColumnRenamed("source", "__rated"), rates.count())
     ident = F.concat_ws(
         "|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.md5(F.coalesce(F.col(text_col), F.lit("")))
     )
@@ -82,11 +82,10 @@ def mix(
         "conv(substring(md5(concat_ws('|', __ident, cast(j as string))), 1, 13), 16, 10) / 4503599627370496D), "
         "0, (n, u) -> n + size(filter(cdf, c -> c <= u))) as int)"
     )
-    joined = docs.select(*own, ident.alias("__ident")).join(
-        rates, F.col(source_col).eqNullSafe(F.col("__source"))
-    )
+    taken = docs.select(*away, F.col(source_col).alias("__source"), ident.alias("__ident"))
+    joined = taken.join(rates, F.col("__source").eqNullSafe(F.col("__rated")))
     counted = joined.withColumn("n_copies", drawn).where("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("__ident"), F.lit("c"), F.col("copy").cast("string"))), 1, 15), 16, 10)
-    keyed = copies.select(*own, "copy", "n_copies", key.cast("long").alias("shuffle_key"))
+    keyed = copies.select(*back, "copy", "n_copies", key.cast("long").alias("shuffle_key"))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -8,8 +8,8 @@ n-gram length, one sort per length.
 
 Defined cases: null and empty texts have no words, fail the base rule and are
 not kept; repeated rows are judged alike; an empty table gives an empty table;
-other columns pass through untouched (carried columns must not bear a name of
-:data:`STATS`).
+other columns pass through untouched, whatever their names (those of
+:data:`STATS` are replaced).
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import (
-    blocks, joined, mix, prefix_hash, random_table, repeated, schema_of, span_hash, whole_texts,
-    words_of,
+    blocks, joined, mix, prefix_hash, random_table, repeated, schema_of, set_aside, span_hash, whole_texts,
+    without, words_of,
 )
 
 #: Largest share of word characters inside duplicated n-grams, by n-gram length.
@@ -121,6 +121,7 @@ def _lines(buf, starts, ends, prefix, point, w0, n):
 def quality_stats(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``carry`` of ``docs`` with those of :data:`STATS` (per row, no shuffle)."""
     names = [s.split()[0] for s in STATS.split(", ")]
+    carry = without(carry, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +130,7 @@ def quality_stats(docs: DataFrame, carry: list[str], text_col: str = "text") ->
                 stats = [pa.array(np.concatenate([p[c] for p in parts])) for c in names]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *stats], [*carry, *names])
 
-    taken = docs.select(*carry, F.col(text_col).alias("__text"))
+    taken = docs.select(*set_aside(carry)[0], F.col(text_col).alias("__text"))
     return taken.mapInArrow(run, schema_of(docs.select(*carry), STATS))
 
 
