@@ -5,11 +5,10 @@ back to its character n-grams, first the longest length of which any is known,
 then shorter ones. A document's language is that of the largest sum.
 
 The model is fitted on a bounded, hash-drawn sample of labelled rows: about
-:data:`SAMPLE` documents of each language, whole texts. Its tables keep the
-:data:`WORDS` and :data:`NGRAMS` most frequent entries over all languages, and each
-language's own most frequent ones, up to an equal share of these bounds, so it
-can be broadcast whatever the corpus and a rare language keeps its words; a word
-beyond them counts as unseen. Prediction sees the text alone.
+:data:`SAMPLE` documents of each language and about :data:`SAMPLE_BYTES` of text, in whole
+texts. All words and n-grams of the sample are kept, so the sample alone bounds
+the model, which is broadcast. An entry holds the languages that it was seen in
+and no others. Prediction sees the text alone.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 ties go to the language first in order; without labelled rows every text is
@@ -25,20 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keelson.llm.common import blocks, cut, whole_texts
+from keelson.llm.common import blocks, cut, maybe_broadcast, whole_texts
 
-#: Labelled documents sampled for each language (expected number).
-SAMPLE = 2_000
-#: Entries of the word table and of the table of n-grams of each length; languages' own come on top, as many at most.
-WORDS, NGRAMS = 60_000, 20_000
+#: Labelled documents sampled for each language, and bytes of their texts (expected numbers, the lesser counts).
+SAMPLE, SAMPLE_BYTES = 2_000, 1 << 24
 #: Character n-gram lengths, longest first.
 LENGTHS = (5, 4, 3, 2, 1)
-#: Languages that a model may hold (more labels than these are refused).
-MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
 #: Added to every count.
 SMOOTH = 0.5
@@ -59,23 +54,44 @@ def ngrams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies of words (length 0) and n-grams, one row per entry, one column per language."""
-
-    def __init__(self, languages: list[str], counts: list[tuple[int, str, str, int]]) -> None:
-        self.languages = languages
-        self.index: dict[int, dict[str, int]] = {n: {} for n in (0, *LENGTHS)}
-        for length, gram, _, _ in counts:
-            self.index[length].setdefault(gram, len(self.index[length]))
-        self.scores: dict[int, np.ndarray] = {}
-        place = {lang: i for i, lang in enumerate(languages)}
-        for length, entries in self.index.items():
-            table = np.full((len(entries), len(languages)), SMOOTH)
-            for n, gram, lang, count in counts:
-                if n == length:
-                    table[entries[gram], place[lang]] += count
-            self.scores[length] = np.log(table / table.sum(axis=0)) if len(entries) else table
+    """Log frequencies of words (length 0) and n-grams in each language.
+
+    ``counts`` has the columns length, gram, lang and n. Of an entry only the
+    languages that it was seen in are held: what each gains over ``base``, the
+    score of an entry that a language lacks.
+    """
+
+    def __init__(self, counts: pa.Table) -> None:
+        counts = counts.sort_by([("length", "ascending"), ("gram", "ascending"), ("lang", "ascending")])
+        self.languages: list[str] = sorted(pc.unique(counts["lang"]).to_pylist())
+        names = pa.array(self.languages, pa.string())
+        self.index: dict[int, dict[str, int]] = {}
+        self.first: dict[int, np.ndarray] = {}
+        self.lang: dict[int, np.ndarray] = {}
+        self.gain: dict[int, np.ndarray] = {}
+        self.base: dict[int, np.ndarray] = {}
+        for length in (0, *LENGTHS):
+            rows = counts.filter(pc.equal(counts["length"], length)).combine_chunks()
+            grams = rows["gram"].to_pylist()
+            new = np.array([i == 0 or g != grams[i - 1] for i, g in enumerate(grams)], bool)
+            first = np.flatnonzero(new)
+            lang = pc.index_in(rows["lang"], value_set=names).to_numpy().astype(np.int32)
+            n = rows["n"].to_numpy().astype(float)
+            total = np.bincount(lang, n, len(names)) + SMOOTH * len(first)
+            self.index[length] = {grams[at]: i for i, at in enumerate(first.tolist())}
+            self.first[length] = np.append(first, len(grams))
+            self.lang[length], self.gain[length] = lang, np.log((n + SMOOTH) / SMOOTH)
+            self.base[length] = np.log(SMOOTH / np.maximum(total, SMOOTH))
         self.cache: dict[str, np.ndarray] = {}
 
+    def _scores(self, length: int, entries: list[int]) -> np.ndarray:
+        """Mean score of some entries in each language."""
+        first, out = self.first[length], self.base[length].copy()
+        for i in entries:
+            rows = slice(first[i], first[i + 1])
+            out[self.lang[length][rows]] += self.gain[length][rows] / len(entries)
+        return out
+
     def word(self, word: str) -> np.ndarray:
         """Scores of a lower-case word in each language."""
         got = self.cache.get(word)
@@ -88,11 +104,11 @@ class Model:
     def _word(self, word: str) -> np.ndarray:
         at = self.index[0].get(word)
         if at is not None:
-            return self.scores[0][at]
+            return self._scores(0, [at])
         for n in LENGTHS:
             known = [i for g in ngrams(word, n) if (i := self.index[n].get(g)) is not None]
             if known:
-                return self.scores[n][known].mean(axis=0)
+                return self._scores(n, known)
         return np.zeros(len(self.languages))
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -112,17 +128,13 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the labelled rows that aren't held out."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    sizes = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
-    sizes = {r.lang: r.n for r in sizes.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
-        return Model([], [])
+    size = F.sum(F.octet_length(text_col).cast("long"))
+    sizes = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"), size.alias("bytes"))
+    rates = sizes.select("lang", F.least(F.lit(SAMPLE) / F.col("n"), F.lit(SAMPLE_BYTES) / F.greatest("bytes", F.lit(1))).alias("rate"))
+    rates = cut(rates)
     draw = F.pmod(F.xxhash64(F.lit("lang-sample"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.lit(0.0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col(lang_col) == lang, F.lit(min(1.0, SAMPLE / n))).otherwise(rate)
-    sample = labelled.where(draw < rate).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    drawn = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
+    sample = drawn.join(maybe_broadcast(rates, rates.count()), "lang").where("draw < rate").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,24 +158,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 )
 
     counts = sample.mapInArrow(run, "length int, gram string, lang string, n long")
-    grams = counts.groupBy("length", "gram", "lang").agg(F.sum("n").alias("n"))
-    per_gram = cut(grams.groupBy("length", "gram").agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang")
-    ))
-    kept: list[tuple[int, str, str, int]] = []
-    for n in (0, *LENGTHS):
-        bound = WORDS if n == 0 else NGRAMS
-        entries = per_gram.where(F.col("length") == n)
-        top = entries.orderBy(F.desc("total"), "gram").limit(bound)
-        own = W.partitionBy("x.lang").orderBy(F.desc("x.n"), "gram")
-        tops = (
-            entries.select("gram", "by_lang", F.explode("by_lang").alias("x"))
-            .withColumn("place", F.row_number().over(own))
-            .where(F.col("place") <= max(1, bound // len(sizes)))
-        )
-        by_gram = {r.gram: r.by_lang for r in (*top.collect(), *tops.select("gram", "by_lang").collect())}
-        kept += [(n, gram, x.lang, x.n) for gram, by_lang in by_gram.items() for x in by_lang]
-    return Model(list(sizes), kept)
+    return Model(counts.groupBy("length", "gram", "lang").agg(F.sum("n").alias("n")).toArrow())
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
