@@ -105,6 +105,48 @@ def test_token_counts_match_the_library(spark, which):
     assert rows_of(token_counts.count_tokens(d, ["doc_id"]), "doc_id", "n_bytes", "n_tokens") == want
 
 
+def test_frequent_pieces_come_from_every_task(spark):
+    rows = [(i, "left " * 50 if i < 50 else "right\n" * 50) for i in range(100)] + [(100, " ".join(f"w{i}" for i in range(500)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    table = token_counts.frequent_table(d, "text", token_counts.VOCABULARY, size=20)
+    assert {" left", "right", "\n"} <= table.keys() and len(table) <= 20
+    tok = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+    assert all(n == len(tok.encode(p, add_special_tokens=False).ids) for p, n in table.items())
+    assert token_counts.frequent_table(d.limit(0), "text", token_counts.VOCABULARY) == {}
+
+
+def test_bounded_counter_keeps_what_is_frequent():
+    rng = random.Random(4)
+    frequent, true = token_counts.Frequent(30), Counter()
+    for _ in range(400):
+        words = [f"x{rng.randint(0, 3000)}" for _ in range(40)] + ["hot"] * 5 + ["warm"] * 2
+        true.update(" " + w for w in words[1:])
+        frequent.add(" ".join(words))
+    found = frequent.found()
+    assert len(found) <= 30 and {" hot", " warm"} <= found.keys()
+    assert all(n <= true[w] for w, n in found.items())
+
+
+CLASHING = ["draws", "cdf", "mean", "one", "__source", "__rated", "__ident", "__c0", "__text", "Copy", "n_words", "kept",
+            "N_BYTES", "n_tokens", "bytes", "weight", "rate"]
+
+
+def test_extra_columns_of_internal_names(spark):
+    d = docs(spark).withColumns({c: F.lit(c) for c in CLASHING})
+    mixed = mixing.mix(d)
+    assert [c for c in mixed.columns if c not in ("copy", "n_copies", "shuffle_key")] == [c for c in d.columns if c != "Copy"]
+    assert rows_of(mixed, "doc_id", "copy") == rows_of(mixing.mix(docs(spark)), "doc_id", "copy")
+    assert {tuple(r) for r in mixed.select("cdf", "__c0", "mean").distinct().collect()} == {("cdf", "__c0", "mean")}
+    counted = token_counts.count_tokens(d, d.columns)
+    plain = token_counts.count_tokens(docs(spark), ["doc_id"])
+    assert rows_of(counted, "doc_id", "n_bytes", "n_tokens") == rows_of(plain, "doc_id", "n_bytes", "n_tokens")
+    assert counted.first()["__text"] == "__text"
+    stats = quality_rules.quality_stats(d, d.columns)
+    assert rows_of(stats, "doc_id", "n_words", "kept") == rows_of(
+        quality_rules.quality_stats(docs(spark), ["doc_id"]), "doc_id", "n_words", "kept")
+    assert stats.first()["__text"] == "__text"
+
+
 def test_pieces_and_cache_on_random_white_space():
     rng = random.Random(2)
     parts = [" ", "  ", "\n", "\t", " ", "a", "B", "é", "é", "Σ", "1", "23", "!", "'s", "<|endoftext|>", "\x1c",
@@ -470,20 +512,61 @@ def test_language_id_held_out_accuracy_and_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(odd, empty).collect()} == {"und"}
 
 
-def test_rare_language_keeps_its_own_words(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "WORDS", 60)
-    monkeypatch.setattr(language_id, "NGRAMS", 30)
+def brute_language(train, text):
+    """The backoff read plainly: dictionaries of counts, one word after the other."""
+    langs = sorted({lang for lang, _ in train})
+    counts = {n: {lang: Counter() for lang in langs} for n in (0, *language_id.LENGTHS)}
+    for lang, t in train:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            counts[0][lang][w] += 1
+            for n in language_id.LENGTHS:
+                counts[n][lang].update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
+    every = {n: set().union(*by.values()) for n, by in counts.items()}
+
+    def log_share(n, lang, entry):
+        return math.log((counts[n][lang][entry] + 0.5) / (sum(counts[n][lang].values()) + 0.5 * len(every[n])))
+
+    total = dict.fromkeys(langs, 0.0)
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        used, entries = 0, [w] if w in every[0] else []
+        while not entries and used < len(language_id.LENGTHS):
+            n = language_id.LENGTHS[used]
+            entries = [g for i in range(len(w) + 3 - n) if (g := f" {w} "[i : i + n]) in every[n]]
+            used += 1
+        n = language_id.LENGTHS[used - 1] if used else 0
+        for lang in langs:
+            total[lang] += sum(log_share(n, lang, e) for e in entries) / max(1, len(entries))
+    best = max(langs, key=lambda lang: total[lang])
+    return best, 1 / sum(math.exp(x - total[best]) for x in total.values())
+
+
+def test_language_id_matches_brute_force(spark):
     rng = random.Random(3)
-    common = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
-    rare = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20)]
-    rows = [(i, " ".join(rng.choices(common, k=60)), "common") for i in range(300)]
-    rows += [(1000 + i, " ".join(rare), "rare") for i in range(8)]
+    letters = {"common": "abcdefgh", "rare": "efghijkl", "third": "ghéèüß"}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+    rows = [(i, text("common", 60), "common") for i in range(100)] + [(1000 + i, text("rare", 9), "rare") for i in range(8)]
+    rows += [(2000 + i, text("third", 30), "third") for i in range(20)] + [(3000, None, "rare"), (3001, "xyz", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.fit(d)
-    assert set(rare) <= model.index[0].keys() and len(model.index[0]) <= 2 * 60
-    assert all(len(model.index[n]) <= 2 * 30 for n in language_id.LENGTHS)
-    got = language_id.identify(spark.createDataFrame([(i, w) for i, w in enumerate(rare)], "doc_id long, text string"), model)
-    assert {r.lang_pred for r in got.collect()} == {"rare"}
+    train = [(lang, t) for i, t, lang in rows if t and lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    words = {w for _, t in train for w in t.lower().split()}
+    assert model.index[0].keys() == words  # every word of the sample is kept
+    asked = [(i, text(rng.choice(list(letters)), rng.randint(1, 12)) + rng.choice(["", " zzz", " abcdefghij hgf"])) for i in range(60)]
+    got = language_id.identify(spark.createDataFrame(asked, "doc_id long, text string"), model)
+    for r in got.collect():
+        lang, score = brute_language(train, dict(asked)[r.doc_id])
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, rel=1e-9))
+
+
+def test_language_id_sample_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 50)
+    d = spark.range(4000).selectExpr("id AS doc_id", "concat('w', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS text", "'x' AS lang")
+    assert 15 < len(language_id.fit(d).index[0]) < 100
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 100)
+    assert len(language_id.fit(d).index[0]) < 50
 
 
 # ----------------------------------------------------------------- 10 packing
