@@ -35,6 +35,8 @@ SAMPLE, SAMPLE_BYTES = 2_000, 1 << 24
 #: Character n-gram lengths, longest first.
 LENGTHS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
+#: Scores (entries times languages) up to which a length's are also laid out as a plain table, for speed alone.
+PLAIN_SCORES = 1 << 23
 #: Added to every count.
 SMOOTH = 0.5
 #: Words kept in a worker's cache before it starts anew.
@@ -70,6 +72,7 @@ class Model:
         self.lang: dict[int, np.ndarray] = {}
         self.gain: dict[int, np.ndarray] = {}
         self.base: dict[int, np.ndarray] = {}
+        self.plain: dict[int, np.ndarray] = {}
         for length in (0, *LENGTHS):
             rows = counts.filter(pc.equal(counts["length"], length)).combine_chunks()
             grams = rows["gram"].to_pylist()
@@ -82,10 +85,15 @@ class Model:
             self.first[length] = np.append(first, len(grams))
             self.lang[length], self.gain[length] = lang, np.log((n + SMOOTH) / SMOOTH)
             self.base[length] = np.log(SMOOTH / np.maximum(total, SMOOTH))
+            if len(first) * len(names) <= PLAIN_SCORES:
+                self.plain[length] = np.tile(self.base[length], (len(first), 1))
+                self.plain[length][np.cumsum(new) - 1, lang] += self.gain[length]
         self.cache: dict[str, np.ndarray] = {}
 
     def _scores(self, length: int, entries: list[int]) -> np.ndarray:
         """Mean score of some entries in each language."""
+        if length in self.plain:
+            return self.plain[length][entries].mean(axis=0) if len(entries) > 1 else self.plain[length][entries[0]]
         first, out = self.first[length], self.base[length].copy()
         for i in entries:
             rows = slice(first[i], first[i + 1])

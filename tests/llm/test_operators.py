@@ -540,7 +540,9 @@ def brute_language(train, text):
     return best, 1 / sum(math.exp(x - total[best]) for x in total.values())
 
 
-def test_language_id_matches_brute_force(spark):
+@pytest.mark.parametrize("plain", [0, language_id.PLAIN_SCORES])
+def test_language_id_matches_brute_force(spark, monkeypatch, plain):
+    monkeypatch.setattr(language_id, "PLAIN_SCORES", plain)
     rng = random.Random(3)
     letters = {"common": "abcdefgh", "rare": "efghijkl", "third": "ghéèüß"}
 
