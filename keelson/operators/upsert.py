@@ -21,18 +21,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, IntegerType, LongType, NumericType, TimestampNTZType, TimestampType
 
 from keelson.schemas import KEYS
 
+#: Types of which hash aggregation keeps a value in place.
+FIXED_WIDTH = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
+
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the row with the greatest ``order`` tuple.
 
     ``order`` must be unique within a key (append a sequence column) so that
-    the winner is deterministic.
+    the winner is deterministic. Where all other columns have a fixed width and
+    one whole number orders them, each is kept beside it, which is hashed and not
+    sorted; all columns still come from one row.
     """
     keys = list(keys)
     payload = [c for c in df.columns if c not in keys]
+    types = {f.name: f.dataType for f in df.schema}
+    whole = len(order) == 1 and isinstance(types.get(order[0]), (IntegerType, LongType))
+    if whole and payload and all(isinstance(types[c], FIXED_WIDTH) and getattr(types[c], "precision", 0) <= 18 for c in payload):
+        at = F.coalesce(F.col(order[0]).cast("long"), F.lit(-(2**63)))  # nulls come first
+        return df.groupBy(*keys).agg(*[F.max_by(c, at).alias(c) for c in payload]).select(*keys, *payload)
     winner = F.max_by(F.struct(*payload), F.struct(*order)).alias("w")
     return df.groupBy(*keys).agg(winner).select(*keys, "w.*")
 

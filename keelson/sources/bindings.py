@@ -50,6 +50,19 @@ def _utc(column: str) -> Column:
     return F.col(column).cast("timestamp")
 
 
+def _event_author() -> Column:
+    """Who wrote an event, by its supplier."""
+    supp = F.col("supplier")
+    s = supp.cast("string")
+    return (
+        F.when(supp % 10 == 0, F.concat(F.lit("svc"), s, F.lit("[bot]")))
+        .when(supp % 10 == 1, F.lit("codecov"))
+        .when(supp % 10 == 2, F.concat(F.lit("dependabot-"), s))
+        .otherwise(F.concat(F.lit("u"), s))
+        .alias("author")
+    )
+
+
 @dataclass
 class Bindings:
     spark: SparkSession
@@ -165,33 +178,36 @@ class Bindings:
     @cached_property
     def item_events(self) -> DataFrame:
         """One event per id: of line items that share a key the last arrival counts."""
-        return keep_last(self.item_event_versions, ["event_id"], ["arrival_seq"])
+        last = keep_last(self._event_rows, ["event_id"], ["arrival_seq"])
+        return last.select("event_id", "number", "l_linenumber", _event_author(), "created_at", "arrival_seq")
 
     @cached_property
     def item_event_versions(self) -> DataFrame:
+        return self._event_rows.select("number", "l_linenumber", "event_id", _event_author(), "created_at", "arrival_seq")
+
+    @cached_property
+    def _event_rows(self) -> DataFrame:
+        """Line items as events whose columns all have a fixed width, by which versions are told apart without sorting."""
         li = (
             self.table("lineitem").select(
                 "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"
             )
         )
-        supp = F.col("l_suppkey")
-        s = supp.cast("string")
-        author = (
-            F.when(supp % 10 == 0, F.concat(F.lit("svc"), s, F.lit("[bot]")))
-            .when(supp % 10 == 1, F.lit("codecov"))
-            .when(supp % 10 == 2, F.concat(F.lit("dependabot-"), s))
-            .otherwise(F.concat(F.lit("u"), s))
-        )
         return li.select(
             F.col("l_orderkey").alias("number"),
             "l_linenumber",
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event_id"),
-            author.alias("author"),
-            supp.alias("supplier"),
+            F.col("l_suppkey").alias("supplier"),
             _plus_seconds(_utc("l_shipdate"), (F.col("l_partkey") * 31) % 86400).alias(
                 "created_at"
             ),
-        ).withColumn("arrival_seq", F.unix_seconds("created_at") * 10_000_000 + F.col("supplier")).drop("supplier")
+        ).withColumn("arrival_seq", F.unix_seconds("created_at") * 10_000_000 + F.col("supplier"))
+
+    @cached_property
+    def _placed_events(self) -> DataFrame:
+        """Events with the repository of their item, and whether that is an issue (else a pull request; null: neither)."""
+        items = self._items.select("repo_full_name", "number", (F.col("o_orderpriority") >= "3").alias("of_issue"))
+        return self.item_events.select("event_id", "number", "author", "created_at").join(items, "number")
 
     def events_for(self, items: DataFrame, number_col: str, events: DataFrame) -> DataFrame:
         keys = items.select("repo_full_name", F.col(number_col).alias("number"))
@@ -199,7 +215,7 @@ class Bindings:
 
     @cached_property
     def issue_comments(self) -> DataFrame:
-        e = self.events_for(self.issues, "issue_number", self.item_events)
+        e = self._placed_events.where("of_issue")
         return e.select(
             "repo_full_name",
             F.col("number").alias("issue_number"),
@@ -211,7 +227,7 @@ class Bindings:
 
     @cached_property
     def pr_reviews(self) -> DataFrame:
-        e = self.events_for(self.pull_requests, "pr_number", self.item_events)
+        e = self._placed_events.where("NOT of_issue")
         return e.select(
             "repo_full_name",
             F.col("number").alias("pr_number"),
@@ -351,11 +367,11 @@ class Bindings:
 
     @contextmanager
     def shared_inputs(self):
-        """Persist the two joins every bound entity derives from (orders with
-        their repository, events with their repository) while several entities
-        are written, then release them. Lost cached blocks are recomputed from
-        lineage, so this is safe under executor loss."""
-        shared = [self._items, self._ev]
+        """Persist the three joins every bound entity derives from (orders with
+        their repository, events with their repository, line items with their
+        order) while several entities are written, then release them. Lost cached
+        blocks are recomputed from lineage, so this is safe under executor loss."""
+        shared = [self._items, self._ev, self._placed_events]
         for df in shared:
             df.persist(StorageLevel.MEMORY_AND_DISK)
         try:
