@@ -35,6 +35,8 @@ REPEAT_WINDOW, REPEAT_PERCENT = 8, 30
 #: The characters counted as symbols.
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+#: Bytes of text measured at once; numpy takes some 60 times as much, and every worker of an executor does so at once.
+BLOCK = 1 << 19
 
 STATS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -91,6 +93,12 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     }
 
 
+def measured(column: pa.Array) -> dict[str, np.ndarray]:
+    """:func:`measure` for a batch's texts, a block at a time."""
+    parts = [measure(t) for _, t in blocks(whole_texts(column), BLOCK)]
+    return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else {}
+
+
 def _per_text(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     count = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     return count[ends] - count[starts]
@@ -125,10 +133,8 @@ def quality_stats(docs: DataFrame, carry: list[str], text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [measure(t) for _, t in blocks(whole_texts(batch.column(len(carry))))]
-            if parts:
-                stats = [pa.array(np.concatenate([p[c] for p in parts])) for c in names]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *stats], [*carry, *names])
+            if stats := measured(batch.column(len(carry))):
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(stats[c]) for c in names)], [*carry, *names])
 
     taken = docs.select(*set_aside(carry)[0], F.col(text_col).alias("__text"))
     return taken.mapInArrow(run, schema_of(docs.select(*carry), STATS))
@@ -140,8 +146,7 @@ def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [measure(t)["kept"] for _, t in blocks(whole_texts(batch.column(at)))]
-            if parts:
-                yield batch.filter(pa.array(np.concatenate(parts)))
+            if stats := measured(batch.column(at)):
+                yield batch.filter(pa.array(stats["kept"]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,11 +6,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -345,6 +347,22 @@ def test_quality_rules_on_random_lines():
     assert [tuple(got[c][i] for c in cols) for i in range(len(texts))] == [brute_quality(t) for t in texts]
 
 
+def test_quality_rules_measure_a_batch_in_small_blocks():
+    """A batch of 4 MB takes a few MB of numpy's memory at a time, and its rows are judged as one by one."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=700)).encode() for _ in range(1000)]
+    column = pa.array([*texts, None], pa.binary())
+    tracemalloc.start()
+    got = quality_rules.measured(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    few = quality_rules.measure(texts[-3:] + [b""])
+    assert all(np.array_equal(got[c][-4:], few[c]) for c in few)
+    assert quality_rules.measured(pa.array([], pa.string())) == {}
+
+
 # ------------------------------------------------------------ 6 html extract
 
 
