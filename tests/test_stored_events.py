@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from keelson.operators.upsert import keep_last
+from keelson.sources import warehouse
 from keelson.sources.bindings import Bindings
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +41,25 @@ def test_comments_and_reviews_share_one_cached_join(spark):
     both = b.issue_comments.select("comment_id").unionAll(b.pr_reviews.select("review_id"))
     ids = b.item_events.join(b._items.where("o_orderpriority is not null"), "number").select("event_id")
     assert both.exceptAll(ids).count() == ids.exceptAll(both).count() == 0
+
+
+def test_tables_are_written_in_small_parts(spark, monkeypatch, tmp_path):
+    scan, advice = warehouse.PART_SETTINGS
+    before = {name: spark.conf.get(name) for name in warehouse.PART_SETTINGS}
+    seen = []
+
+    def write(df, path, time_col):
+        seen.append([spark.conf.get(name) for name in warehouse.PART_SETTINGS])
+        raise InterruptedError
+
+    monkeypatch.setattr(warehouse, "write_table", write)
+    try:
+        spark.conf.set(scan, "128MB")
+        spark.conf.set(advice, "2m")  # asks for less, and gets it
+        with pytest.raises(InterruptedError):
+            warehouse.store(spark, SimpleNamespace(**dict.fromkeys(warehouse.LAYOUT)), str(tmp_path))
+        assert seen and all(x == [str(8 << 20), str(2 << 20)] for x in seen)
+        assert [spark.conf.get(name) for name in warehouse.PART_SETTINGS] == ["128MB", "2m"]  # also after a failure
+    finally:
+        for name, size in before.items():
+            spark.conf.set(name, size)
