@@ -122,8 +122,9 @@ def _live_first_response(b):
         "events": t.issue_comments.select(REPO, F.col("issue_number").alias("number"), "author", F.col("created_at").alias("at")),
     }
     streams = []
+    ends = responses.instants([(rows, rows.columns[-1]) for rows in parts.values()], PERIODS)
     for name, rows in parts.items():
         folder = os.path.join(base, name)
-        responses.land_in_time_order(rows, rows.columns[-1], PERIODS, folder)
+        responses.land_in_time_order(rows, rows.columns[-1], ends, folder)
         streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder))
     return responses.run(*streams, base).responses()
