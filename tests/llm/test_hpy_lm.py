@@ -178,6 +178,53 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     assert sum(abs(x - 1) < 1e-4 for x in sums.values()) >= 4
 
 
+def test_each_averaged_state_follows_a_whole_sweep(spark):
+    """Contexts that are spread move too, and the parent is seated anew: probabilities by the states themselves."""
+    rng = random.Random(3)
+    d = spark.createDataFrame([(i, " ".join(rng.choices("abcdefgh", [9, 5, 3, 2, 1, 1, 1, 1], k=15))) for i in range(300)], "doc_id long, text string")
+    fitted = hpy_lm.fit(d, bucket_tokens=500, split=200)
+    assert fitted.model.buckets > 2
+    (d0, s0), (discount, strength) = hpy_lm.PARENT, hpy_lm.CONTEXT
+
+    def now():
+        """Of the model as it is: tables and probability of every cell; customers and tables of every word in the parent."""
+        buckets = {r.bucket: r for r in fitted.state.collect()}
+        told = {(r.bucket, r.parent): r for r in fitted.told.collect()}
+        cells, parent, opened = {}, {}, Counter()
+        for b, r in buckets.items():
+            u, w, c, cu, t = (hpy_lm.unpack(r[x]).tolist() for x in ("u", "w", "c", "cu", "t"))
+            for at, cell in enumerate(zip(u, w, c, cu, t, strict=True)):
+                cells[b, at] = cell
+                opened[cell[0]] += cell[4]
+            for k in range(fitted.model.buckets):
+                own = sorted({x for x in w if x % fitted.model.buckets == k})
+                if own:
+                    parent.update(zip(own, zip(*(hpy_lm.unpack(told[b, k][x]).tolist() for x in ("c0", "t0")), strict=True), strict=True))
+        below = {w: (c0 - d0 * t0 + (s0 + d0 * fitted.tables) / (fitted.vocabulary + 1)) / (s0 + fitted.customers) for w, (c0, t0) in parent.items()}
+        p = {k: (max(c - discount * t, 0) + (strength + discount * opened[u]) * below[w]) / (strength + cu) if cu else below[w]
+             for k, (u, w, c, cu, t) in cells.items()}
+        sums = Counter()
+        for _, w, _, _, t in cells.values():
+            sums[w] += t
+        assert all(parent[w][0] == n for w, n in sums.items())
+        return cells, p, parent
+
+    asks = {(r.bucket, r.block): np.cumsum(hpy_lm.unpack(r.u)).tolist() for r in fitted.asks.collect()}
+    first, p1, parent1 = now()
+    given = fitted.answers(2).collect()
+    second, p2, parent2 = now()
+    moved = {u for k, (u, _, _, cu, t) in first.items() if cu >= 200 and second[k][4] != t}
+    assert moved and len({b for (b, _), (u, *_) in first.items() if u in moved}) > 1
+    assert parent1 != parent2
+    for r in given:
+        for at, p in zip(asks[r.bucket, r.block], hpy_lm.unpack(r.p).tolist(), strict=True):
+            k = r.bucket, at
+            assert p / hpy_lm.LOG_STEPS == pytest.approx(math.log10((p1[k] + p2[k]) / 2), abs=2e-6)
+    again = hpy_lm.fit(d, bucket_tokens=500, split=200)
+    more = {(r.bucket, r.block): r.p for r in again.answers(3).collect()}
+    assert more != {(r.bucket, r.block): r.p for r in given}
+
+
 def test_held_out_perplexity_beats_the_unigrams(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     scores = hpy_lm.score(d).cache()
